@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import ann, exact_dedup, html_extract, mixing, packing, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_quality": quality.op2_quality,
+        "op4_secrets": secrets.op4_secrets,
+        "op6_extract": html_extract.op6_extract,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_nearest": ann.op9_nearest,
         "op10_packing": packing.op10_packing,
     }
 

@@ -36,7 +36,7 @@ POOL = 2048
 CACHE_WORDS = 400_000
 
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class WordIds:

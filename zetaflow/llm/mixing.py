@@ -127,7 +127,7 @@ def _two_level_offsets(rows: DataFrame) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights=WEIGHTS, block_words: int = BLOCK_WORDS, shards: int = N_SHARDS, seed: int = SEED, payload: bool = False):
-    """(slots, rows): ``slots`` has rank, shard, slot, block, take; ``rows`` has the documents with their word offsets.
+    """(slots, rows): ``slots`` has rank, shard, slot, block, epoch, take; ``rows`` has the documents with their word offsets.
 
     The list of sources (one row each, with a size) goes to the driver: it is the
     mixing table, as long as the list of weights someone would write down.
@@ -153,7 +153,7 @@ def mix_plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", so
                 spec.append((r["rank"], s, given[r["rank"]], n, r["blocks"], r["cut_slot"], r["cut_words"], r["keys"]))
                 given[r["rank"]] += n
     slots = spark.createDataFrame(spec, "rank int, shard int, first long, n long, blocks long, cut_slot long, cut_words long, keys array<long>")
-    slots = slots.repartition(max(1, min(len(spec), spark.sparkContext.defaultParallelism * 4))).mapInArrow(_draw(block_words), "rank int, shard int, slot long, block long, take long")
+    slots = slots.repartition(max(1, min(len(spec), spark.sparkContext.defaultParallelism * 4))).mapInArrow(_draw(block_words), "rank int, shard int, slot long, block long, epoch int, take long")
     return slots, rows
 
 
@@ -166,8 +166,8 @@ def _draw(block_words: int):
                 for lo in range(r["first"], r["first"] + r["n"], 1 << 16):
                     slot = np.arange(lo, min(lo + (1 << 16), r["first"] + r["n"]), dtype=np.int64)
                     take = np.where(slot == r["cut_slot"], r["cut_words"], block_words)
-                    cols = [np.full(len(slot), r["rank"], np.int32), np.full(len(slot), r["shard"], np.int32), slot, permute(slot % r["blocks"], r["blocks"], r["keys"]), take]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["rank", "shard", "slot", "block", "take"])
+                    cols = [np.full(len(slot), r["rank"], np.int32), np.full(len(slot), r["shard"], np.int32), slot, permute(slot % r["blocks"], r["blocks"], r["keys"]), (slot // r["blocks"]).astype(np.int32), take]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["rank", "shard", "slot", "block", "epoch", "take"])
 
     return run
 
@@ -210,5 +210,29 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, **more) -> DataFrame:
     return hit.filter(F.size("words") > 0).select("shard", "rank", "slot", "lo", F.col("id").alias("doc_id"), F.array_join("words", " ").alias("text"))
 
 
+def mixed_documents(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", block_words: int = BLOCK_WORDS, **more) -> DataFrame:
+    """The mix as documents: a row per document and epoch it is taken in, with the columns of ``docs``.
+
+    A document taken whole keeps its text; of one taken in part, the taken words
+    stay, in order, joined by one space, and ``n_chars_col`` (if there) is their
+    length. Same defined cases as :func:`mix_counts`.
+    """
+    if not docs.head(1):
+        return docs
+    slots, rows = mix_plan(docs, text_col=text_col, block_words=block_words, payload=True, **more)
+    cover = pieces(rows.select("rank", "bucket", "pos", "size", "start"), block_words)
+    hit = slots.hint("merge").join(cover, ["rank", "block"]).withColumn("hi", F.least("hi", "take")).filter("hi > lo")
+    first = F.expr(f"int(block * {block_words}L + lo - start)")
+    spans = hit.groupBy("rank", "bucket", "pos", "epoch").agg(F.sort_array(F.collect_list(F.struct(first.alias("first"), (F.col("hi") - F.col("lo")).cast("int").alias("n")))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
+    out = rows.select("rank", "bucket", "pos", "size", "row").join(spans, ["rank", "bucket", "pos"])
+    text = F.col("row").getField(text_col)
+    part = "array_join(flatten(transform(spans, s -> slice(regexp_extract_all(t, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), s.first + 1, s.n))), ' ')"
+    out = out.withColumn("t", text).withColumn("t", F.when(F.col("words") == F.col("size"), F.col("t")).otherwise(F.expr(part)))
+    new = {text_col: F.col("t")}
+    if n_chars_col in docs.columns:
+        new[n_chars_col] = F.length("t").cast(docs.schema[n_chars_col].dataType)
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def op1_mixing(spark, sf_dir):
     return mix_counts(table(spark, sf_dir, "documents"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from .plans import algebra, base
+
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    return base.QUERIES["k2_aggregate"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(base.ORACLES)

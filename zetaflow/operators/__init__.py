@@ -1 +1 @@
-"""."""
+"""Operators: signed multisets, search, vectors, ranking, clustering, ingest, metrics."""

@@ -1 +1 @@
-"""."""
+"""Incremental pipelines over change streams."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import algebra, base
+from .plans import algebra, base, text  # noqa: F401
 
 
 def entry(spark, sf_dir):
-    return base.QUERIES["k2_aggregate"](spark, sf_dir)
+    return base.QUERIES["b4_bm25"](spark, sf_dir)
 
 
 def queries() -> dict:

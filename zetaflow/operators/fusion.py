@@ -134,7 +134,7 @@ def dedup_copies(hits: DataFrame, most: int = 2) -> DataFrame:
     copies = hits.groupBy("qid", "base").agg(F.countDistinct("doc").alias("_docs"))
     h = hits.join(copies, ["qid", "base"])
     multi = F.col("_docs") >= 2
-    unit = F.when(multi, F.col("base")).otherwise(F.col("doc"))
+    unit = F.when(multi, F.col("base").cast("string")).otherwise(F.col("doc").cast("string"))
     h = h.withColumn("_multi", multi).withColumn("_unit", unit)
     h = h.withColumn("_nth", F.row_number().over(Window.partitionBy("qid", "_unit", "page").orderBy("rank"))).filter("_nth = 1")
     h = h.withColumn("_of", F.row_number().over(Window.partitionBy("qid", "_unit").orderBy("rank"))).filter(~F.col("_multi") | (F.col("_of") <= most))

@@ -39,7 +39,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [3, 200])
+@pytest.mark.parametrize("hot", [2, 1000])
 def test_words_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_FRAGMENTS", hot)
     rows = corpus()
@@ -49,7 +49,7 @@ def test_words_against_brute_force(spark, monkeypatch, hot):
     assert got == want and sum(x[2] for x in want) > 1000
 
 
-@pytest.mark.parametrize("hot", [3, 200])
+@pytest.mark.parametrize("hot", [2, 1000])
 def test_bytes_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_FRAGMENTS", hot)
     rows = corpus()

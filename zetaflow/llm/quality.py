@@ -24,6 +24,8 @@ from .common import table
 MAX_FIT_ROWS = 20_000
 THRESHOLD = 0.3
 SEED = 11
+#: Least sum of second derivatives in a leaf.
+LEAST_LEAF = 0.1
 
 # Frequent function words of four languages.
 _STOP = frozenset("the of and to in a is that it for on was be are as with by this or an from at have not und der die das den von zu mit ist ein eine im auf für des dem nicht et le la les de des en un une du est que dans pour sur au par qui el los las y es por con una se del al lo como su".split())
@@ -87,7 +89,7 @@ def _tree(grad: np.ndarray, hess: np.ndarray, leaves: int, lam: float) -> np.nda
             gl, hl = g[mid] - g[lo], h[mid] - h[lo]
             gr, hr = g[hi] - g[mid], h[hi] - h[mid]
             gain = gl**2 / (hl + lam) + gr**2 / (hr + lam) - (gl + gr) ** 2 / (hl + hr + lam)
-            gain[(hl < 1) | (hr < 1)] = -1
+            gain[(hl < LEAST_LEAF) | (hr < LEAST_LEAF)] = -1
             i = int(np.argmax(gain))
             if gain[i] > best[0]:
                 best = (gain[i], (at, int(mid[i])))
@@ -102,7 +104,7 @@ def _tree(grad: np.ndarray, hess: np.ndarray, leaves: int, lam: float) -> np.nda
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, pair_rounds: int = 30, n_bins: int = 48, n_pairs: int = 6, rate: float = 0.2, lam: float = 2.0) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, pair_rounds: int = 30, n_bins: int = 48, n_pairs: int = 6, rate: float = 0.2, lam: float = 1.0) -> Model:
     """Cyclic boosting: one tree per feature and round on the logistic gradient, then trees over pairs of features."""
     d = len(FEATURES) if x.ndim < 2 or not len(x) else x.shape[1]
     if not len(x) or y.min() == y.max():

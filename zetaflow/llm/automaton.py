@@ -26,7 +26,7 @@ from .common import table, text_or_empty
 from .repeats import covered, finish, mix, repeated_windows
 
 WIDTH = 35
-GRAM = 8
+GRAMS = (8, 24, 32, 35)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -114,6 +114,11 @@ def _range(text: str):
     return lambda lo, hi: b" ".join(raw[lo:hi])
 
 
+def _word_range(data: bytes):
+    raw = data.split(b" ")
+    return lambda lo, hi: b" ".join(raw[lo:hi])
+
+
 def remove(text: str, spans: list[dict] | None) -> tuple[list[str], int]:
     """(kept words, number of words)."""
     found = words(text)
@@ -130,7 +135,7 @@ def _summary(text: str, spans: list[dict] | None) -> tuple:
 
 def _spans(docs: DataFrame, text) -> DataFrame:
     rows = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    return repeated_windows(rows, WIDTH, GRAM, lambda t: _hashes(words(t)), _range, lambda b: _hashes(b.split(b" ")), match_shard)
+    return repeated_windows(rows, WIDTH, GRAMS, lambda t: _hashes(words(t)), _range, lambda b: _hashes(b.split(b" ")), _word_range, match_shard)
 
 
 def dedup_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -8,16 +8,18 @@ window belongs to exactly one.
 
 1. Fragments are counted by minimiser. A window whose minimiser occurs once is
    unique; most of the corpus ends here.
-2. Fragments are counted by content. All windows of a fragment that occurs twice
-   are repeated.
+2. Fragments are counted by minimiser and content. All windows of a fragment that
+   occurs twice are repeated.
 3. What is left are distinct fragments that share a minimiser with others. Their
    units are fetched, gathered by minimiser and given to ``resolve``, which tells
-   for each window whether it occurs in a second place. Minimisers with very
-   many distinct fragments would fill one task; their windows are counted one by
-   one instead, by 128-bit hashes, combined before the shuffle.
+   for each window whether it occurs in a second place.
+4. Minimisers with very many distinct fragments would fill one task. Their
+   fragments are cut finer by a longer gram and go through the same steps; the
+   last gram is the window itself. Counts are combined before every shuffle, and
+   no step gathers more than a bucket.
 
 Rows with the same text are one node; their fragments count once per row.
-Nodes are 64-bit hashes of whole texts.
+Nodes, minimisers and contents are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ _PLACE_BITS = 24
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 #: Units handled at once; longer texts are cut with an overlap of one window.
 _PART = 1 << 23
-#: Minimisers with more distinct fragments are counted window by window.
-HOT_FRAGMENTS = 200
+#: Minimisers with more distinct fragments are cut finer.
+HOT_FRAGMENTS = 1000
 #: Distinct fragments in a bucket given to ``resolve``.
 BUCKET_FRAGMENTS = 4000
 
@@ -162,18 +164,19 @@ def _resolve_bucket(resolve: Resolve):
     return run
 
 
-def _window_hashes(units_of, width: int):
+def _finer(units_of, cut_units, width: int, gram: int):
+    """Fragments of fragments by a longer gram, with their units and weights."""
+
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                u = units_of(batch.column("units")[i].as_py())
-                span, m = batch.column("span")[i].as_py(), batch.column("m")[i].as_py()
-                n = span >> 10 & 1023
-                at = np.arange(n)
-                one = mix(compose(rolling(u, width), at, width))
-                two = mix(compose(rolling(mix(u), width), at, width))
-                cols = [one.view(np.int64), two.view(np.int64), np.full(n, m), np.full(n, batch.column("node")[i].as_py()), at + (span >> 20)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["one", "two", "m", "node", "lo"])
+            rows = []
+            nodes, spans, weights = (batch.column(c).to_pylist() for c in ("node", "span", "m"))
+            for i, data in enumerate(batch.column("units").to_pylist()):
+                part = cut_units(data)
+                for anchor, content, first, n, place in zip(*(x.tolist() for x in fragments(units_of(data), width, gram)), strict=True):
+                    rows.append((anchor, content, nodes[i], ((spans[i] >> 20) + first) << 20 | n << 10 | place, weights[i], part(first, first + n + width - 1)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=["anchor", "content", "node", "span", "m", "units"])
 
     return run
 
@@ -184,38 +187,43 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_windows(texts: DataFrame, width: int, gram: int, units, units_bytes, units_of, resolve: Resolve) -> DataFrame:
+def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], units, units_bytes, units_of, cut_units, resolve: Resolve) -> DataFrame:
     """``node, spans``: for each text with repeated windows, the ranges [lo, hi) of their first units.
 
     ``texts`` has ``node`` (long) and ``text``. ``units(text)`` gives the unit
     hashes; ``units_bytes(text)`` a function (lo, hi) -> bytes of a range of
-    units; ``units_of(bytes)`` the unit hashes of such a range.
+    units; ``units_of(bytes)`` and ``cut_units(bytes)`` the same for such a range.
+    ``grams`` grow up to ``width``.
     """
     spark = texts.sparkSession
-    rows = texts.mapInArrow(_fragment_rows(units, width, gram), "anchor long, content long, node long, span long")
-    shared = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    rows = materialize(rows.join(shared, "anchor"))
-    release(spark)
-    distinct = materialize(rows.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "span")).alias("at")).select("anchor", "content", "m", "at.node", "at.span"))
-    open_anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of"), F.min("m").alias("least")).filter("least = 1").select("anchor", (F.col("of") > HOT_FRAGMENTS).alias("hot"))
-    wanted = distinct.join(materialize(open_anchors), "anchor")
-    wanted = materialize(wanted.groupBy("node").agg(F.collect_list(F.struct("anchor", "content", "span", "m", "hot")).alias("wanted")))
-    release(spark)
-    once = texts.groupBy("node").agg(F.first("text").alias("text"))
-    cut = materialize(once.join(wanted, "node").select("node", "text", "wanted").mapInArrow(_cut(units_bytes, width), "anchor long, content long, node long, span long, m long, hot boolean, units binary"))
-    release(spark)
-
-    open_rows = cut.filter("not hot")
-    buckets = max(1, -(-open_rows.count() // BUCKET_FRAGMENTS))
-    ranges = open_rows.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(anchor), {buckets}) as int)")).groupBy("bucket").applyInArrow(_resolve_bucket(resolve), "node long, lo long, hi long")
-    hot = cut.filter("hot")
-    if hot.head(1):
-        single = hot.repartition(max(1, hot.count() // 500)).mapInArrow(_window_hashes(units_of, width), "one long, two long, m long, node long, lo long")
-        often = materialize(single.groupBy("one", "two").agg(F.sum("m").alias("of")).filter("of > 1").select("one", "two"))
-        found = single.filter("m = 1").join(often, ["one", "two"]).select("node", "lo", (F.col("lo") + 1).alias("hi"))
-        ranges = ranges.union(found)
-    whole = distinct.filter("m > 1").select("anchor", "content")
-    ranges = ranges.union(rows.join(whole, ["anchor", "content"]).select("node", F.expr("shiftright(span, 20)").alias("lo"), F.expr("shiftright(span, 20) + (shiftright(span, 10) & 1023)").alias("hi")))
+    lo, n = F.expr("shiftright(span, 20)"), F.expr("shiftright(span, 10) & 1023")
+    ranges = None
+    rows = texts.mapInArrow(_fragment_rows(units, width, grams[0]), "anchor long, content long, node long, span long").withColumn("m", F.lit(1).cast("long"))
+    for level, gram in enumerate(grams):
+        if level:
+            rows = hot.repartition(max(1, hot.count() // 1000)).mapInArrow(_finer(units_of, cut_units, width, gram), "anchor long, content long, node long, span long, m long, units binary")
+        shared = rows.groupBy("anchor").agg(F.sum("m").alias("c")).filter("c > 1").select("anchor")
+        rows = materialize(rows.join(materialize(shared), "anchor"))  # both sides shuffled by the join alone, so that skew is split
+        release(spark)
+        at = F.struct("node", "span", *(["units"] if level else []))
+        distinct = materialize(rows.groupBy("anchor", "content").agg(F.sum("m").alias("m"), F.min(at).alias("at")).select("anchor", "content", "m", "at.*"))
+        whole = distinct.filter("m > 1").select("anchor", "content")
+        repeated = rows.filter("m = 1").join(whole, ["anchor", "content"]).select("node", lo.alias("lo"), (lo + n).alias("hi"))
+        open_anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of"), F.min("m").alias("least")).filter("least = 1").select("anchor", (F.col("of") > HOT_FRAGMENTS).alias("hot"))
+        cut = distinct.join(materialize(open_anchors), "anchor")
+        if not level:
+            wanted = materialize(cut.groupBy("node").agg(F.collect_list(F.struct("anchor", "content", "span", "m", "hot")).alias("wanted")))
+            release(spark)
+            once = texts.groupBy("node").agg(F.first("text").alias("text"))
+            cut = once.join(wanted, "node").select("node", "text", "wanted").mapInArrow(_cut(units_bytes, width), "anchor long, content long, node long, span long, m long, hot boolean, units binary")
+        cut = materialize(cut)
+        release(spark)
+        open_rows, hot = cut.filter("not hot"), cut.filter("hot")
+        buckets = max(1, -(-open_rows.count() // BUCKET_FRAGMENTS))
+        found = open_rows.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(anchor), {buckets}) as int)")).groupBy("bucket").applyInArrow(_resolve_bucket(resolve), "node long, lo long, hi long")
+        ranges = repeated.union(found) if ranges is None else ranges.union(repeated).union(found)
+        if not hot.head(1):
+            break
     spans = materialize(ranges.groupBy("node").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     release(spark)
     return spans

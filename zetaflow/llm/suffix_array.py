@@ -22,7 +22,7 @@ from .common import table, text_or_empty
 from .repeats import covered, finish, mix, repeated_windows
 
 WIDTH = 200
-GRAM = 32
+GRAMS = (32, 128, 184, 200)
 _STRIDE = 8
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -100,7 +100,7 @@ def _summary(text: str, spans: list[dict] | None) -> tuple:
 
 def _spans(docs: DataFrame, text) -> DataFrame:
     rows = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    return repeated_windows(rows, WIDTH, GRAM, _bytes, _range, lambda b: _BYTE[np.frombuffer(b, np.uint8)], sort_bucket)
+    return repeated_windows(rows, WIDTH, GRAMS, _bytes, _range, lambda b: _BYTE[np.frombuffer(b, np.uint8)], lambda b: lambda lo, hi: b[lo:hi], sort_bucket)
 
 
 def dedup_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -29,7 +30,7 @@ def corpus():
         base = text(200)
         for c in range(12):
             copy = list(base)
-            for _ in range(int(rng.integers(0, 4))):
+            for _ in range(int(rng.integers(0, 9))):
                 copy[int(rng.integers(0, 200))] = str(rng.choice(words))
             rows.append((1000 + 100 * g + c, " ".join(copy)))
     passage = text(50)
@@ -58,7 +59,10 @@ def brute_classes(rows, idf, least=0.8):
     return {i: min((d for d in out[root(i)] if d is not None), default=None) for i in range(len(rows))}
 
 
-def test_classes_against_brute_force(spark):
+@pytest.mark.parametrize("block", [3, 2000])
+def test_classes_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 1 if block == 3 else 2)
     rows = corpus()
     frame = docs(spark, rows)
     idf = minhash.document_frequencies(frame.select("text").fillna(""))

@@ -11,9 +11,10 @@
    told apart by the shingle, the same way in every document.
 3. Texts that share a band are candidates. Pairs with a few pivots of each
    bucket are verified first, by exact weighted Jaccard similarity; they join
-   most of a large group at the cost of one pair per member. Then every pair in
-   a bucket whose members are still apart is verified, so no link is lost, and
-   no pair inside one class is emitted.
+   most of a large group at the cost of one pair per member. Then, in buckets
+   whose members are still apart, every member outside the largest class is held
+   against all members of other classes, block by block inside a task, so no link
+   is lost; only links that join classes are emitted.
 4. Classes are the connected components, by rounds of distributed label passing.
 
 Rows with the same text are one node throughout, and never expanded.
@@ -38,6 +39,12 @@ BANDS, ROWS = 14, 4
 IDF_SHARE, IDF_FLOOR = 0.1, 0.1
 SKETCH_ROWS, SKETCH_BITS = 4, 15
 SEED = 17
+#: Written tables of nodes and labels up to this many rows (under 10 MB) are broadcast.
+BROADCAST_ROWS = 100_000
+#: Rounds in which every bucket's members are held against one pivot.
+PIVOT_ROUNDS = 2
+#: Members of a bucket handled in one task, on either side.
+BLOCK = 2000
 _CHUNKS = 8
 _DRAWS = 1 << 16
 
@@ -219,16 +226,23 @@ def _verify(idf: Idf, least: float):
     return run
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``BROADCAST_ROWS`` short rows; beyond that joins shuffle it."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node each node is connected to. ``edges`` (a, b) are read many times: materialise them."""
+    """(node, comp): the smallest node each node is connected to."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, labels.node == near.a).select("node", "comp", F.least("comp", "m").alias("next"))
-        jump = step.select(F.col("node").alias("at"), F.col("next").alias("further"))
-        new = step.join(jump, step.next == jump.at, "left").select("node", F.least("next", F.coalesce("further", "next")).alias("comp"), (F.col("comp") != F.least("next", F.coalesce("further", "next"))).alias("moved"))
-        new = materialize(new)
+        known = small(labels)
+        near = both.join(known, both.b == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
+        step = near.join(known, near.a == F.col("node")).select("node", "comp", F.least("comp", "m").alias("next"))
+        jump = small(labels.select(F.col("node").alias("at"), F.col("comp").alias("further")))  # the label of the label
+        new = step.join(jump, F.col("next") == F.col("at"), "left")
+        best = F.least("next", F.coalesce("further", "next"))
+        new = materialize(new.select("node", best.alias("comp"), (F.col("comp") != best).alias("moved")))
         if not new.filter("moved").head(1):
             return labels
         labels = new.select("node", "comp")
@@ -259,7 +273,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     tested = edges = None
-    for turn in range(3):  # pivots: linear in the members; those already joined to their pivot leave the bucket
+    for turn in range(PIVOT_ROUNDS):  # pivots: linear in the members; those already joined to their pivot leave the bucket
         left = members
         if edges is not None:
             left = _apart(members, components(edges))
@@ -273,26 +287,81 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         found = verified(pairs)
         edges = found if edges is None else edges.union(found)
 
-    left = materialize(_apart(members, components(edges), keep_comp=True))
-    x, y = left.select("band", F.col("node").alias("x"), F.col("comp").alias("cx")), left.select("band", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    rest = x.join(y, "band").filter("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    edges = edges.union(verified(materialize(rest)))
+    left = _apart(members, components(edges), keep_comp=True)
+    edges = edges.union(_link_rest(left, texts, idf, least))
 
     labels = components(edges)
     ids = docs.select(F.col(id_col).alias("id"), node.alias("node"))
-    nodes = ids.groupBy("node").agg(F.min("id").alias("low")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    nodes = ids.groupBy("node").agg(F.min("id").alias("low")).join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     nodes = materialize(nodes)
     lowest = materialize(nodes.groupBy("comp").agg(F.min("low").alias("class_id")))
     named = materialize(nodes.join(lowest, "comp").select("node", "class_id"))
     return ids.join(named, "node").select(F.col("id").alias(id_col), "class_id")
 
 
+def _link_rest(left: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
+    """Links that still join classes within buckets (band, node, comp): every member outside a bucket's largest
+    class is held against all members of other classes, in blocks of at most ``BLOCK`` on either side."""
+    left = materialize(left)
+    per = left.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = per.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"))
+    main = materialize(main.select("band", F.col("m.comp").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("others")))
+    bins = max(1, -(-left.count() // BLOCK))
+    rows = left.join(small(main), "band").withColumn("is_query", F.col("comp") != F.col("main"))
+    near = rows.filter(F.col("size") <= BLOCK).select(F.expr(f"pmod(xxhash64(band), {bins}L)").alias("bin"), F.lit(0).alias("qb"), F.lit(0).alias("mb"), "band", "node", "comp", "is_query", F.lit(True).alias("is_member"))
+    wide = rows.filter(F.col("size") > BLOCK).withColumn("nq", F.expr(f"cast(ceil(others / {BLOCK}) as int)")).withColumn("nm", F.expr(f"cast(ceil(size / {BLOCK}) as int)"))
+    of = lambda n: F.expr(f"cast(pmod(xxhash64(7, node), {n}) as int)")
+    asks = wide.filter("is_query").select(F.col("band").alias("bin"), of("nq").alias("qb"), F.explode(F.expr("sequence(0, nm - 1)")).alias("mb"), "band", "node", "comp", "is_query", F.lit(False).alias("is_member"))
+    held = wide.select(F.col("band").alias("bin"), F.explode(F.expr("sequence(0, nq - 1)")).alias("qb"), of("nm").alias("mb"), "band", "node", "comp", F.lit(False).alias("is_query"), F.lit(True).alias("is_member"))
+    work = near.union(asks).union(held).join(texts, "node")
+    return materialize(work.groupBy("bin", "qb", "mb").applyInArrow(_links(idf, least), "a binary, b binary"))
+
+
+def _links(idf: Idf, least: float):
+    """Links that join classes of one group, as few as join them: a class joined already is not compared again."""
+
+    def band_links(nodes, comps, is_query, is_member, texts) -> list[tuple]:
+        found = [weights(t, idf) for t in texts]
+        size = np.array([len(h) for h, _ in found])
+        words, ids = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+        w = np.concatenate([x for _, x in found])
+        owner = np.repeat(np.arange(len(nodes)), size)
+        total = np.bincount(owner, w, len(nodes))
+        begin = np.r_[0, np.cumsum(size)]
+        _, root = np.unique(np.array(comps, dtype=object), return_inverse=True)
+        out = []
+        for q in np.flatnonzero(is_query):
+            open_ = is_member & (root != root[q])
+            if not open_.any():
+                continue
+            dense = np.zeros(len(words))
+            dense[ids[begin[q] : begin[q + 1]]] = w[begin[q] : begin[q + 1]]
+            both = np.bincount(owner, np.minimum(w, dense[ids]), len(nodes))
+            for y in np.flatnonzero(open_ & (both >= least * (total + total[q] - both))):
+                if root[y] != root[q]:
+                    out.append((nodes[q], nodes[y]))
+                    root[root == root[y]] = root[q]
+        return out
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("band", "ascending"), ("node", "ascending")])
+        band = group.column("band").to_numpy()
+        nodes, comps, texts = (group.column(c).to_pylist() for c in ("node", "comp", "t"))
+        is_query, is_member = (group.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("is_query", "is_member"))
+        edge = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True])
+        out = [x for lo, hi in zip(edge[:-1], edge[1:], strict=True) for x in band_links(nodes[lo:hi], comps[lo:hi], is_query[lo:hi], is_member[lo:hi], texts[lo:hi])]
+        cols = list(zip(*out, strict=True)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.binary()), "b": pa.array(cols[1], pa.binary())})
+
+    return run
+
+
 def _apart(members: DataFrame, labels: DataFrame, keep_comp: bool = False) -> DataFrame:
     """Members of buckets whose members are in more than one class so far; all of those buckets' members."""
-    placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = members.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialize(placed)
     split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    out = placed.join(materialize(split), "band")
+    out = placed.join(small(materialize(split)), "band")
     return out if keep_comp else out.drop("comp")
 
 

@@ -15,8 +15,12 @@ padding does not depend on how rows are dealt. No shuffle.
 from __future__ import annotations
 
 import bisect
+import functools
+import json
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ STEP_TOKENS = 1 << 20
 #: Rests held by a task before they are packed; bounds its memory to about POOL x WINDOW x 4 bytes.
 POOL = 2048
 #: Words whose ids a task remembers; forgotten all at once beyond that.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -44,12 +48,15 @@ class WordIds:
 
     The tokenizer drops white space and never merges across it, so the ids of a
     text are those of its chunks between ASCII blanks, which are remembered.
+    Chunks of Latin letters and ASCII are split and merged by a byte-pair encoder
+    that holds the tokenizer's own vocabulary; all others go to the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = _byte_pairs(path)
         self.cache: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -61,12 +68,64 @@ class WordIds:
             pass
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({c for c in chunks if c not in cache})
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        rest, merge = [], self.merge
+        for c in chunks:
+            if c not in cache:
+                if merge and _SIMPLE.fullmatch(c) and "<|" not in c:
+                    low = c.lower()  # such letters are composed already
+                    ids: list[int] = []
+                    for piece in (low,) if low.isalpha() else _PIECES.findall(low):
+                        ids += merge(piece.encode() + _END_OF_WORD)
+                    cache[c] = array("I", ids).tobytes()
+                else:
+                    cache[c] = b""
+                    rest.append(c)
+        for c, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             cache[c] = np.asarray(e.ids, dtype="<u4").tobytes()
         return b"".join([cache[c] for c in chunks])
 
 
+@functools.cache
+def _word_ids(path: str) -> WordIds:
+    """One per Python worker: its words are remembered from task to task."""
+    return WordIds(path)
+
+
+#: Stands for the end of a word; no byte of UTF-8.
+_END_OF_WORD = b"\xff"
+#: ASCII and Latin letters; letters of Latin Extended have one lower case each.
+_SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]+")
+# Fixed value: the tokenizer's pattern of word pieces, for such chunks.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+|[0-9]|[^\\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+")
+
+
+def _byte_pairs(path: str):
+    """An encoder of word bytes with the ids of a byte-level vocabulary with word ends, or None for another kind.
+
+    It merges the adjacent pair whose joint has the lowest id; that equals the
+    tokenizer's merges where ids follow the order of merges.
+    """
+    if sys.byteorder != "little":
+        return None
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix")
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    vocab = model["vocab"]
+    if not end or any(vocab.get(a + b) != 512 + i for i, (a, b) in enumerate(merges)):
+        return None
+    ranks = {}
+    for token, i in vocab.items():
+        core = token.removesuffix(end)
+        if i < 512 + len(merges) and all(c in letter for c in core):
+            ranks[bytes(letter[c] for c in core) + (_END_OF_WORD if core != token else b"")] = i
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Packer:
     """Packs one stream of documents; ``emit`` gets (doc index, start, ids, doc tokens, sequence, offset, tier)."""
 
@@ -132,7 +191,7 @@ def _pack_partition(path: str, window: int, tiers, step_tokens: int, end_id: int
     def run(batches):
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
-        encode, end = WordIds(path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = _word_ids(path), np.array([end_id], dtype="<u4").tobytes()
         out: list[tuple] = []
         emit = lambda doc, start, ids, total, seq, at, tier: out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, base + seq, at, tier, seq // max(1, step_tokens // tier)))
         packer = Packer(emit, window, tiers)

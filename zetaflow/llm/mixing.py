@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import materialize, n_words, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -136,6 +136,8 @@ def mix_plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", so
     count = max(1, docs.count())
     buckets = max(1, math.isqrt(count))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), *([F.struct(*docs.columns).alias("row")] if payload else []))
+    if not payload:
+        rows = materialize(rows)  # without the texts: words are counted once
     sizes = rows.groupBy("src").agg(F.sum("size").alias("size")).collect()
     sizes = sorted(((r["src"], int(r["size"])) for r in sizes), key=lambda x: (x[0] is None, x[0] or ""))  # code points; null last
     goals = targets([s for _, s in sizes], [weights[i % len(weights)] for i in range(len(sizes))])
@@ -193,7 +195,7 @@ def mix_counts(docs: DataFrame, block_words: int = BLOCK_WORDS, **more) -> DataF
     slots, rows = mix_plan(docs, block_words=block_words, **more)
     used = slots.groupBy("rank", "block").agg(F.sum(F.when(F.col("take") == block_words, 1).otherwise(0)).alias("times"), F.max(F.when(F.col("take") < block_words, F.col("take")).otherwise(0)).alias("cut"))
     cover = pieces(rows.select("id", "rank", "bucket", "pos", "size", "start"), block_words)
-    hit = cover.join(used, ["rank", "block"])
+    hit = cover.join(used.hint("merge"), ["rank", "block"])  # the blocks grow with the input; never broadcast
     got = hit.groupBy("rank", "bucket", "pos").agg(F.sum(F.expr("times * (hi - lo) + greatest(least(hi, cut) - lo, 0L)")).cast("long").alias("taken"))
     out = rows.join(got, ["rank", "bucket", "pos"], "left")
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -2,13 +2,15 @@
 
 1. Document frequencies of all shingles go into a count sketch of a fixed size.
    A weight is ``(1 + ln tf) * idf`` with an idf that is 1 up to a tenth of all
-   documents and falls to a floor beyond; saturation keeps the copies of one
-   text alike however many there are, and the sketch's error (its width against
-   that tenth) doesn't depend on the size of the corpus.
+   documents and falls to a floor beyond; the sketch's error (its width against
+   that tenth) doesn't depend on the size of the corpus. Where one group holds
+   more than that tenth, its own shingles are the common ones, so a pair is also
+   linked when it is similar with an idf of 1 throughout.
 2. Improved consistent weighted sampling (Ioffe 2010) gives ``BANDS x ROWS``
-   samples per document. Its (r, c, beta) triples come from a table of 2^16
-   draws addressed by 16 hash bits per shingle and function; equal draws are
-   told apart by the shingle, the same way in every document.
+   samples per document, and as many again with an idf of 1 where that differs.
+   Its (r, c, beta) triples come from a table of 2^16 draws addressed by 16 hash
+   bits per shingle and function; equal draws are told apart by the shingle, the
+   same way in every document.
 3. Texts that share a band are candidates. Pairs with a few pivots of each
    bucket are verified first, by exact weighted Jaccard similarity; they join
    most of a large group at the cost of one pair per member. Then, in buckets
@@ -146,9 +148,16 @@ def document_frequencies(texts: DataFrame) -> Idf:
     return Idf(docs, total, counts)
 
 
-def weights(text: str, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
+def both_weights(text: str, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, their weights, and those with an idf of 1; the same array twice where they are equal."""
     h, tf = shingles(text)
-    return h, (1.0 + np.log(tf)) * idf(h) if len(h) else np.array([])
+    plain = 1.0 + np.log(tf)
+    w = plain * idf(h) if len(h) else plain
+    return h, w, w if (w == plain).all() else plain
+
+
+def weights(text: str, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
+    return both_weights(text, idf)[:2]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -161,36 +170,52 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (total - both))
 
 
+def alike(a: tuple, b: tuple, least: float) -> bool:
+    """Whether two texts of ``both_weights`` are linked: similar by weight, or with an idf of 1."""
+    if similarity(a[:2], b[:2]) >= least:
+        return True
+    return (a[1] is not a[2] or b[1] is not b[2]) and similarity(a[::2], b[::2]) >= least
+
+
 def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One consistent weighted sample per function, as a hash of (shingle, quantised weight)."""
+    return _samples(h, [w])[0]
+
+
+def _samples(h: np.ndarray, weightings: list[np.ndarray]) -> np.ndarray:
+    """The samples of each weighting of the same shingles; what holds at weight 1 is worked out once for all."""
     k = len(_FUNCTION_MUL)
-    best, out = np.full(k, np.inf), np.zeros(k, np.uint64)
+    best, out = np.full((len(weightings), k), np.inf), np.zeros((len(weightings), k), np.uint64)
     for lo in range(0, len(h), 1 << 14):
-        part, pw = h[lo : lo + (1 << 14)], w[lo : lo + (1 << 14)]
+        part = h[lo : lo + (1 << 14)]
         draw = (part[None, :] * _FUNCTION_MUL[:, None]) >> np.uint64(48)
-        ln_a = _LN_A_ONE[draw.view(np.int64)]
-        other = np.flatnonzero(pw != 1.0)
-        if len(other):
-            d = draw[:, other].view(np.int64) if len(other) == len(part) else draw[:, other].astype(np.int64)
-            ln_w = np.log(pw[other])
-            t = np.floor(ln_w / _R[d] + _BETA[d])
-            ln_a[:, other] = (_LN_C[d] - _R[d] * (t - _BETA[d]) - _R[d]).astype(np.float32)
-        at = np.argmin(ln_a, axis=1)
-        low = ln_a[np.arange(k), at]
-        d = draw[np.arange(k), at].astype(np.int64)
-        t = np.floor(np.log(pw[at]) / _R[d] + _BETA[d]).astype(np.int64)
-        found = _mix(part[at] + t.astype(np.uint64) * _P)
-        better = low < best
-        best[better], out[better] = low[better], found[better]
+        ones = _LN_A_ONE[draw.view(np.int64)]
+        for m, w in enumerate(weightings):
+            pw = w[lo : lo + (1 << 14)]
+            ln_a = ones if m == len(weightings) - 1 else ones.copy()
+            other = np.flatnonzero(pw != 1.0)
+            if len(other):
+                d = draw[:, other].view(np.int64) if len(other) == len(part) else draw[:, other].astype(np.int64)
+                ln_w = np.log(pw[other])
+                t = np.floor(ln_w / _R[d] + _BETA[d])
+                ln_a[:, other] = (_LN_C[d] - _R[d] * (t - _BETA[d]) - _R[d]).astype(np.float32)
+            at = np.argmin(ln_a, axis=1)
+            low = ln_a[np.arange(k), at]
+            d = draw[np.arange(k), at].astype(np.int64)
+            t = np.floor(np.log(pw[at]) / _R[d] + _BETA[d]).astype(np.int64)
+            found = _mix(part[at] + t.astype(np.uint64) * _P)
+            better = low < best[m]
+            best[m, better], out[m, better] = low[better], found[better]
     return out
 
 
-def band_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    s = samples(h, w).reshape(BANDS, ROWS)
+def band_keys(h: np.ndarray, *weightings: np.ndarray) -> np.ndarray:
+    """The bands of all weightings, in one key space: equal samples are equal whatever the weighting."""
+    s = _samples(h, list(weightings)).reshape(len(weightings), BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for r in range(ROWS):
-        key = _mix((key ^ s[:, r]) * _P)
-    return key.view(np.int64)
+        key = _mix((key ^ s[:, :, r]) * _P)
+    return key.view(np.int64).ravel()
 
 
 def _bands(idf: Idf):
@@ -198,8 +223,8 @@ def _bands(idf: Idf):
         for batch in batches:
             texts, rows = batch.column(1), []
             for i in range(batch.num_rows):
-                h, w = weights(texts[i].as_py(), idf)
-                rows.append(band_keys(h, w) if len(h) else np.array([], np.int64))
+                h, w, plain = both_weights(texts[i].as_py(), idf)
+                rows.append(np.array([], np.int64) if not len(h) else band_keys(h, w) if plain is w else np.unique(band_keys(h, w, plain)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "bands"])
 
     return run
@@ -213,13 +238,13 @@ def _verify(idf: Idf, least: float):
             if node not in known:
                 if len(known) >= 256:
                     known.clear()
-                known[node] = weights(text.as_py(), idf)
+                known[node] = both_weights(text.as_py(), idf)
             return known[node]
 
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ta, tb = batch.column(2), batch.column(3)
-            good = [similarity(of(a[i], ta[i]), of(b[i], tb[i])) >= least for i in range(batch.num_rows)]
+            good = [alike(of(a[i], ta[i]), of(b[i], tb[i]), least) for i in range(batch.num_rows)]
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -261,7 +286,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     node = F.unhex(F.md5(text))
     idf = document_frequencies(docs.select(text.alias("t")))
     rows = docs.select(node.alias("node"), text.alias("t"))
-    members = rows.mapInArrow(_bands(idf), "node binary, bands array<long>").select("node", F.explode("bands").alias("band"))
+    members = materialize(rows.mapInArrow(_bands(idf), "node binary, bands array<long>")).select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min(F.xxhash64("node")).alias("lo"), F.max(F.xxhash64("node")).alias("hi")).filter("lo <> hi").select("band")
     members = materialize(members.join(shared, "band").distinct())
     texts = materialize(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t")))
@@ -321,12 +346,14 @@ def _links(idf: Idf, least: float):
     """Links that join classes of one group, as few as join them: a class joined already is not compared again."""
 
     def band_links(nodes, comps, is_query, is_member, texts) -> list[tuple]:
-        found = [weights(t, idf) for t in texts]
-        size = np.array([len(h) for h, _ in found])
-        words, ids = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
-        w = np.concatenate([x for _, x in found])
+        found = [both_weights(t, idf) for t in texts]
+        size = np.array([len(h) for h, _, _ in found])
+        words, ids = np.unique(np.concatenate([h for h, _, _ in found]), return_inverse=True)
         owner = np.repeat(np.arange(len(nodes)), size)
-        total = np.bincount(owner, w, len(nodes))
+        weightings = [np.concatenate([x[1] for x in found])]
+        if any(w is not plain for _, w, plain in found):
+            weightings.append(np.concatenate([x[2] for x in found]))
+        totals = [np.bincount(owner, w, len(nodes)) for w in weightings]
         begin = np.r_[0, np.cumsum(size)]
         _, root = np.unique(np.array(comps, dtype=object), return_inverse=True)
         out = []
@@ -334,10 +361,13 @@ def _links(idf: Idf, least: float):
             open_ = is_member & (root != root[q])
             if not open_.any():
                 continue
-            dense = np.zeros(len(words))
-            dense[ids[begin[q] : begin[q + 1]]] = w[begin[q] : begin[q + 1]]
-            both = np.bincount(owner, np.minimum(w, dense[ids]), len(nodes))
-            for y in np.flatnonzero(open_ & (both >= least * (total + total[q] - both))):
+            near = np.zeros(len(nodes), bool)
+            for w, total in zip(weightings, totals, strict=True):
+                dense = np.zeros(len(words))
+                dense[ids[begin[q] : begin[q + 1]]] = w[begin[q] : begin[q + 1]]
+                both = np.bincount(owner, np.minimum(w, dense[ids]), len(nodes))
+                near |= both >= least * (total + total[q] - both)
+            for y in np.flatnonzero(open_ & near):
                 if root[y] != root[q]:
                     out.append((nodes[q], nodes[y]))
                     root[root == root[y]] = root[q]

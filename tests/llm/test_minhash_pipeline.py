@@ -206,3 +206,22 @@ def test_two_rows_are_found_as_in_a_large_table(spark):
     assert 0.88 < plain_jaccard(*pair) < 0.92
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, list(enumerate(pair)))).collect()}
     assert got == {0: 0, 1: 0}
+
+
+def test_keep_one_decides_by_row(spark):
+    """Null and repeated identifiers in different classes; one row of each class stays."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(5000)]
+    base = [list(rng.choice(words, 200)) for _ in range(8)]
+    whole, near = [" ".join(b) for b in base], [edited(b, words, 1, rng) for b in base]
+    rows = [(1, whole[0]), (None, near[0]), (None, whole[1])]  # the second null is a class of its own
+    rows += [(2, whole[2]), (3, near[2]), (3, whole[3])]  # 3 loses in one class and is alone in another
+    rows += [(4, whole[4]), (4, near[4])]  # two near copies share the smallest identifier
+    rows += [(5, whole[5]), (5, whole[5]), (6, near[5])]  # the kept row is repeated
+    rows += [(None, whole[6]), (None, near[6]), (7, whole[7])]  # a class without identifiers
+    got = minhash.keep_one(docs(spark, rows))
+    assert got.columns == docs(spark, rows).columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    sure = [(1, whole[0]), (None, whole[1]), (2, whole[2]), (3, whole[3]), (5, whole[5]), (7, whole[7])]
+    either = [{(4, whole[4]), (4, near[4])}, {(None, whole[6]), (None, near[6])}]
+    assert len(got) == 8 and all(got.count(r) == 1 for r in sure) and all(sum(r in got for r in e) == 1 for e in either)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
@@ -282,8 +282,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     unless all its identifiers are null; an empty table gives an empty result;
     other columns are ignored.
     """
-    text = text_or_empty(text_col)
-    node = F.unhex(F.md5(text))
+    ids = docs.select(F.col(id_col).alias("id"), _node(text_col).alias("node"))
+    return ids.join(_named(docs, text_col, id_col, least), "node").select(F.col("id").alias(id_col), "class_id")
+
+
+def _node(text_col: str) -> Column:
+    return F.unhex(F.md5(text_or_empty(text_col)))
+
+
+def _named(docs: DataFrame, text_col: str, id_col: str, least: float) -> DataFrame:
+    """(node, class_id, head): of each distinct text, its class and the first node that holds the class's identifier."""
+    text, node = text_or_empty(text_col), _node(text_col)
     idf = document_frequencies(docs.select(text.alias("t")))
     rows = docs.select(node.alias("node"), text.alias("t"))
     members = materialize(rows.mapInArrow(_bands(idf), "node binary, bands array<long>")).select("node", F.explode("bands").alias("band"))
@@ -319,9 +328,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     ids = docs.select(F.col(id_col).alias("id"), node.alias("node"))
     nodes = ids.groupBy("node").agg(F.min("id").alias("low")).join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     nodes = materialize(nodes)
-    lowest = materialize(nodes.groupBy("comp").agg(F.min("low").alias("class_id")))
-    named = materialize(nodes.join(lowest, "comp").select("node", "class_id"))
-    return ids.join(named, "node").select(F.col("id").alias(id_col), "class_id")
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("x")
+    lowest = materialize(nodes.groupBy("comp").agg(first).select("comp", F.col("x.low").alias("class_id"), F.col("x.node").alias("head")))
+    return materialize(nodes.join(lowest, "comp").select("node", "class_id", "head"))
 
 
 def _link_rest(left: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
@@ -396,10 +405,25 @@ def _apart(members: DataFrame, labels: DataFrame, keep_comp: bool = False) -> Da
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, without those of a class that aren't its smallest identifier's."""
-    classes = near_duplicates(docs, text_col, id_col, least)
-    drop = materialize(classes.filter(f"not (`{id_col}` <=> class_id)").select(F.col(id_col).alias("__id")).distinct())
-    return docs.join(drop, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    """One row of each class, all columns unchanged: one with its smallest identifier.
+
+    Defined cases: rows are told apart by identifier and text, so a null or
+    repeated identifier in one class says nothing about rows of another; where
+    texts of a class share its identifier, the smallest digest stays, and of equal
+    rows one; a class without any identifier keeps one row too.
+    """
+    named = _named(docs, text_col, id_col, least)
+    rows = docs.select(F.col(id_col).alias("__id"), _node(text_col).alias("__node")).groupBy("__id", "__node").agg(F.count(F.lit(1)).alias("n"))
+    is_head = F.col("__id").eqNullSafe(F.col("class_id")) & (F.col("__node") == F.col("head"))
+    placed = rows.join(named, F.col("__node") == F.col("node")).select("__id", "__node", is_head.alias("__head"), "n")
+    drop = materialize(placed.filter("not __head or n > 1").drop("n"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_node(text_col) == F.col("__node"))
+    kept = docs.join(small(drop.drop("__head")), same, "left_anti")
+    repeated = drop.filter("__head").drop("__head")
+    if not repeated.head(1):
+        return kept
+    one = docs.join(small(repeated), same).groupBy("__id", "__node").agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias("__row"))
+    return kept.union(one.select("__row.*"))
 
 
 def op3_near_dedup(spark, sf_dir):

@@ -39,9 +39,18 @@ def corpus():
     return rows
 
 
+def strain(monkeypatch, hot, module):
+    """Cut almost every minimiser finer, join almost every key by broadcast, and let unit hashes collide."""
+    monkeypatch.setattr(repeats, "HOT_FRAGMENTS", hot)
+    if hot == 2:
+        monkeypatch.setattr(repeats, "HEAVY_ROWS", 2)
+        for name in ("parse", "parse_bytes"):
+            monkeypatch.setattr(module, name, (lambda f: lambda x: (lambda u, part: (u % np.uint64(3), part))(*f(x)))(getattr(module, name)))
+
+
 @pytest.mark.parametrize("hot", [2, 1000])
 def test_words_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_FRAGMENTS", hot)
+    strain(monkeypatch, hot, automaton)
     rows = corpus()
     sequences = [automaton.words(t or "") for _, t in rows]
     want = sorted((str(i), len(s), sum(g), hashlib.sha256(" ".join(w for w, x in zip(s, g) if not x).encode()).hexdigest()) for (i, _), s, g in zip(rows, sequences, brute(sequences, 35)))
@@ -51,7 +60,7 @@ def test_words_against_brute_force(spark, monkeypatch, hot):
 
 @pytest.mark.parametrize("hot", [2, 1000])
 def test_bytes_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_FRAGMENTS", hot)
+    strain(monkeypatch, hot, suffix_array)
     rows = corpus()
     sequences = [(t or "").encode() for _, t in rows]
     want = []
@@ -90,6 +99,45 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     whole = repeats.fragments(u, 35, 8)
     monkeypatch.setattr(repeats, "_PART", 700)
     parts = repeats.fragments(u, 35, 8)
-    assert whole[3].sum() == parts[3].sum() == 5000 - 34
-    at = lambda f: {int(s) + k: (int(a), int(p) - k) for a, _, s, n, p in zip(*f) for k in range(n)}
+    assert whole[2].sum() == parts[2].sum() == 5000 - 34
+    at = lambda f: {int(s) + k: (int(a), int(p) - k) for a, s, n, p in zip(*f) for k in range(n)}
     assert at(whole) == at(parts)
+
+
+def test_cover_is_a_difference_cover():
+    p, cover = suffix_array.PERIOD, suffix_array.COVER
+    assert {(a - b) % p for a in cover for b in cover} == set(range(p)) and len(cover) * (len(cover) - 1) == p - 1
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4, 26])
+def test_block_sort_against_a_plain_sort(letters):
+    rng = np.random.default_rng(letters)
+    data = rng.integers(0, letters, 5000).astype(np.uint8) + 97
+    data[1000:2500] = data[3000:4500]
+    data[4600:4900] = 97
+    raw, at = data.tobytes(), rng.permutation(4700)[:3000]
+    block = suffix_array.Block(data, 200)
+    order, _ = block.order(at)
+    found = [raw[at[i] : at[i] + 200] for i in order]
+    assert found == sorted(found)
+    classes = block.classes(at)
+    assert len({(raw[a : a + 200], int(c)) for a, c in zip(at, classes)}) == len(set(classes)) == len({raw[a : a + 200] for a in at})
+
+
+def test_what_stays(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdef"), 6)) for _ in range(n))
+    shared, own = text(40), [text(5), text(6)]
+    rows = [(1, f"{own[0]} {shared}"), (2, f"{shared}  {own[1]}"), (None, None)]
+    got = {r.doc_id: r.kept for r in automaton.kept_words(docs(spark, rows)).collect()}
+    assert got == {1: own[0], 2: own[1], None: ""}
+    got = {r.doc_id: r.kept for r in suffix_array.kept_bytes(docs(spark, rows)).collect()}
+    assert got == {1: own[0] + " ", 2: "  " + own[1], None: ""}  # the first text has no blank behind the passage, the second two
+
+
+def test_marks_of_whole_copies_come_from_the_automaton(spark, monkeypatch):
+    """Without the automaton's answers nothing is removed, however often a text occurs."""
+    rows = [(i, " ".join(f"w{j}" for j in range(80))) for i in range(5)]
+    assert {r.n_removed for r in automaton.dedup_words(docs(spark, rows)).collect()} == {80}
+    monkeypatch.setattr(automaton, "match_shard", lambda units, weights, places, windows: [np.zeros(n, bool) for n in windows])
+    assert {r.n_removed for r in automaton.dedup_words(docs(spark, rows)).collect()} == {0}

@@ -5,7 +5,9 @@ reference shards by minimiser. A shard's generalised suffix automaton, with the
 number of occurrences of every state, is built in the task that holds the shard;
 the shard's document fragments are streamed through it for matching statistics:
 the longest suffix at each word that occurs at least twice. Statistics of the
-threshold or more mark words; maximal marked spans are removed.
+threshold or more mark words; maximal marked spans are removed. Every mark comes
+from an automaton, those of fragments that occur many times included: such a
+fragment is streamed once, with its weight, and its marks go to all its places.
 
 Streaming every document through every shard would cost shards x words. A window
 of a document can only match in a shard that has its minimiser, so the other
@@ -20,10 +22,9 @@ import re
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
-from .repeats import covered, finish, mix, repeated_windows
+from .repeats import covered, finish, mix, node_of, repeated_windows
 
 WIDTH = 35
 GRAMS = (8, 24, 32, 35)
@@ -102,21 +103,24 @@ def match_shard(units: list[bytes], weights: np.ndarray, places: np.ndarray, win
     for sequence, weight in zip(sequences, weights.tolist(), strict=True):
         automaton.add(sequence, weight)
     automaton.close()
-    return [np.array(automaton.statistics(s)[WIDTH - 1 :]) >= WIDTH if w == 1 else np.ones(n, bool) for s, w, n in zip(sequences, weights.tolist(), windows.tolist(), strict=True)]
+    return [np.array(automaton.statistics(s)[WIDTH - 1 :]) >= WIDTH for s in sequences]
 
 
 def _hashes(found) -> np.ndarray:
     return mix(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
 
 
-def _range(text: str):
-    raw = [w.encode("utf-8", "surrogatepass") for w in words(text)]
-    return lambda lo, hi: b" ".join(raw[lo:hi])
+def parse(text: str):
+    """Word hashes of a text, and a function that gives a range of its words joined by one space."""
+    found = words(text)
+    joined = " ".join(found)
+    at = np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)].tolist()
+    return _hashes(found), lambda lo, hi: joined[at[lo] : at[hi] - 1].encode("utf-8", "surrogatepass")
 
 
-def _word_range(data: bytes):
+def parse_bytes(data: bytes):
     raw = data.split(b" ")
-    return lambda lo, hi: b" ".join(raw[lo:hi])
+    return _hashes(raw), lambda lo, hi: b" ".join(raw[lo:hi])
 
 
 def remove(text: str, spans: list[dict] | None) -> tuple[list[str], int]:
@@ -133,9 +137,9 @@ def _summary(text: str, spans: list[dict] | None) -> tuple:
     return n, n - len(kept), hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _spans(docs: DataFrame, text) -> DataFrame:
-    rows = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    return repeated_windows(rows, WIDTH, GRAMS, lambda t: _hashes(words(t)), _range, lambda b: _hashes(b.split(b" ")), _word_range, match_shard)
+def _finish(docs: DataFrame, id_col: str, text, summarise, schema: str) -> DataFrame:
+    rows = docs.select(node_of(text).alias("node"), text.alias("text"))
+    return finish(docs, *repeated_windows(rows, WIDTH, GRAMS, parse, parse_bytes, match_shard), id_col, text, summarise, schema)
 
 
 def dedup_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -150,13 +154,13 @@ def dedup_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     passed on; an empty table gives an empty result; other columns are ignored.
     """
     text = text_or_empty(text_col)
-    return finish(docs, _spans(docs, text), id_col, text, _summary, "n_words long, n_removed long, kept_sha256 string")
+    return _finish(docs, id_col, text, _summary, "n_words long, n_removed long, kept_sha256 string")
 
 
 def kept_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row the words that stay, joined by one space."""
     text = text_or_empty(text_col)
-    return finish(docs, _spans(docs, text), id_col, text, lambda t, s: (" ".join(remove(t, s)[0]),), "kept string")
+    return _finish(docs, id_col, text, lambda t, s: (" ".join(remove(t, s)[0]),), "kept string")
 
 
 def op5_automaton(spark, sf_dir):

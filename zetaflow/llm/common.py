@@ -16,21 +16,48 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary one serves a local master; on a cluster that is
+    an error, because every executor would write to a disk of its own.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="zetaflow-")
-    return _own_dirs[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="zetaflow-")
+    return _own_dirs[context.applicationId]
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/zf-{uuid.uuid4().hex}"
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    The files go when the driver ends, or before by :func:`discard`.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/zf-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more; anything else is left alone."""
+    path = getattr(df, "written", None)
+    if path:
+        files, at = _path(df.sparkSession, path)
+        files.delete(at, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -6,20 +6,25 @@ starts anywhere else. The minimiser of a window, the smallest hash of its
 Consecutive windows with one minimiser at one place form a fragment; every
 window belongs to exactly one.
 
-1. Fragments are counted by minimiser. A window whose minimiser occurs once is
-   unique; most of the corpus ends here.
-2. Fragments are counted by minimiser and content. All windows of a fragment that
-   occurs twice are repeated.
-3. What is left are distinct fragments that share a minimiser with others. Their
-   units are fetched, gathered by minimiser and given to ``resolve``, which tells
-   for each window whether it occurs in a second place.
+1. Fragments are written once and counted by minimiser. A window whose minimiser
+   occurs once is unique; most of the corpus ends here.
+2. Equal fragments (by a 128-bit digest of their units) become one with a weight,
+   the number of its occurrences.
+3. The units of all fragments that share a minimiser, repeated ones included, are
+   fetched, gathered by minimiser and given to ``resolve``, which compares the
+   units themselves and tells for each window whether it occurs a second time.
+   Its answer is joined back to every occurrence of the fragment.
 4. Minimisers with very many distinct fragments would fill one task. Their
-   fragments are cut finer by a longer gram and go through the same steps; the
-   last gram is the window itself. Counts are combined before every shuffle, and
-   no step gathers more than a bucket.
+   fragments are cut finer by a longer gram and go through the same steps, as
+   parts of the fragments they come from; the last gram is the window itself.
 
-Rows with the same text are one node; their fragments count once per row.
-Nodes, minimisers and contents are 64-bit hashes.
+Counts are combined before every shuffle. Keys that hold very many rows (their
+number is bounded by ``HEAVY_KEYS``) are joined by broadcast, all others by
+shuffle, so no task gathers more than ``HEAVY_ROWS`` rows of a key or a share of
+the input, whichever is more.
+
+Rows with the same text (128-bit digest) are one node; their fragments count once
+per row.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 _BASE = 0x9E3779B97F4A7C15
 _PLACE_BITS = 24
@@ -43,9 +49,15 @@ _PART = 1 << 23
 HOT_FRAGMENTS = 1000
 #: Distinct fragments in a bucket given to ``resolve``.
 BUCKET_FRAGMENTS = 4000
+#: A key with more rows than this, and than one in ``HEAVY_KEYS`` of all, is joined by broadcast.
+HEAVY_ROWS, HEAVY_KEYS = 10_000, 10_000
 
 #: (units, weights, first window's offset from the minimiser, windows) of a bucket's fragments -> a mask per fragment.
 Resolve = Callable[[list, np.ndarray, np.ndarray, np.ndarray], list]
+#: text or bytes -> (unit hashes, function (lo, hi) -> bytes of a range of units)
+Parse = Callable[[object], tuple]
+
+_RANGES = "array<struct<lo: int, hi: int>>"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -62,25 +74,19 @@ def _powers(most: int) -> dict[int, np.uint64]:
     return out
 
 
-def rolling(u: np.ndarray, least: int) -> dict[int, np.ndarray]:
-    """Polynomial hashes of all runs of 1, 2, 4, ... units up to ``least``."""
-    out, n, power = {1: u}, 1, _powers(least)
-    while n * 2 <= least:
-        h = out[n]
-        out[n * 2] = h[:-n] * power[n] + h[n:]
-        n *= 2
-    return out
-
-
-def compose(hashes: dict[int, np.ndarray], at: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the runs of ``length`` units that start at ``at``."""
-    out, done = np.zeros(len(at), np.uint64), 0
-    power = _powers(length)
-    for bit in reversed(range(length.bit_length())):
-        n = 1 << bit
-        if length & n:
-            out = out * power[n] + hashes[n][at + done]
+def rolling(u: np.ndarray, length: int) -> np.ndarray:
+    """Polynomial hashes of all runs of ``length`` units, put together from runs of 1, 2, 4, ... units."""
+    power, run, n = _powers(length), u, 1
+    out, done = None, 0
+    count = len(u) - length + 1
+    while n <= length:
+        if length & n:  # the runs are laid one behind the other, the shortest first
+            part = run[done : done + count]
+            out = part if out is None else out * power[n] + part
             done += n
+        if n * 2 <= length:
+            run = run[:-n] * power[n] + run[n:]
+        n *= 2
     return out
 
 
@@ -93,140 +99,230 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def fragments(u: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, content hash, first window, windows, place of the minimiser after the first window) of each fragment."""
+def fragments(u: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first window, windows, place of the minimiser after the first window) of each fragment."""
     outs = []
     for lo in range(0, max(1, len(u) - width + 1), _PART):
         part = u[lo : lo + _PART + width - 1]
         if len(part) < width:
             continue
-        hashes = rolling(part, width)
-        grams = mix(compose(hashes, np.arange(len(part) - gram + 1), gram) if gram & (gram - 1) else hashes[gram])
+        grams = mix(rolling(part, gram))
         keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         place = (_sliding_min(keys, width - gram + 1) & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        n = np.diff(np.r_[first, len(place)])
-        content = mix(compose(hashes, first, width) + n.astype(np.uint64)) + mix(compose(hashes, first + n - 1, width)) * np.uint64(3)
-        outs.append((grams[place[first]].view(np.int64), content.view(np.int64), first + lo, n, place[first] - first))
+        outs.append((grams[place[first]].view(np.int64), first + lo, np.diff(np.r_[first, len(place)]), place[first] - first))
     if not outs:
-        return (np.array([], np.int64),) * 5
-    return tuple(np.concatenate(x) for x in zip(*outs, strict=True))
+        return (np.array([], np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*outs, strict=True)) if len(outs) > 1 else outs[0]
+
+
+def _digests(part, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(part(a, a + k)) for a, k in zip(first.tolist(), size.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
+def _text_fragments(parse: Parse, data, width: int, gram: int) -> tuple:
+    """(anchor, digests, span, more) of a text; equal fragments of one text are one row, ``more`` their other places."""
+    u, part = parse(data)
+    anchor, first, n, place = fragments(u, width, gram)
+    digests = _digests(part, first, n + width - 1)
+    span = first << 20 | n << 10 | place
+    more: list = [None] * len(span)
+    if len(np.unique(digests[:, 0])) < len(span):
+        order = np.lexsort((first, digests[:, 1], digests[:, 0]))
+        d = digests[order]
+        new = np.r_[True, (d[1:] != d[:-1]).any(axis=1)]
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], len(order)]
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            more[order[a]] = first[order[a + 1 : b]].astype("<i4").tobytes()
+        keep = np.sort(order[starts])
+        anchor, digests, span, more = anchor[keep], digests[keep], span[keep], [more[i] for i in keep.tolist()]
+    return anchor, digests, span, more
+
+
+def _fragment_rows(parse: Parse, width: int, gram: int):
+    names = ["node", "anchor", "c1", "c2", "span", "more"]
 
-
-def _fragment_rows(units, width: int, gram: int):
     def run(batches):
         for batch in batches:
-            nodes, texts = batch.column(0).to_numpy(), batch.column(1)
+            nodes, texts = batch.column(0), batch.column(1)
             for lo in range(0, batch.num_rows, 1000):
-                got = [fragments(units(texts[i].as_py()), width, gram) for i in range(lo, min(lo + 1000, batch.num_rows))]
-                anchor, content, first, n, place = (np.concatenate(x) for x in zip(*got, strict=True))
-                node = np.repeat(nodes[lo : lo + len(got)], [len(x[0]) for x in got])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, content, node, first << 20 | n << 10 | place)], names=["anchor", "content", "node", "span"])
+                got = [_text_fragments(parse, texts[i].as_py(), width, gram) for i in range(lo, min(lo + 1000, batch.num_rows))]
+                digests = np.concatenate([g[1] for g in got])
+                owner = np.repeat(np.arange(lo, lo + len(got)), [len(g[0]) for g in got])
+                cols = [nodes.take(pa.array(owner)), pa.array(np.concatenate([g[0] for g in got])), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(np.concatenate([g[2] for g in got])), pa.array([m for g in got for m in g[3]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def _cut(units_bytes, width: int):
+def _cut(parse: Parse, width: int):
     """Fetch the units of a text's wanted fragments."""
+    names = ["anchor", "c1", "c2", "span", "m", "hot", "units"]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
 
     def run(batches):
         for batch in batches:
-            nodes, texts, wanted = batch.column(0), batch.column(1), batch.column(2)
-            rows = []
+            texts, wanted = batch.column(0), batch.column(1)
+            rows: list = []
             for i in range(batch.num_rows):
-                units = units_bytes(texts[i].as_py())
+                _, part = parse(texts[i].as_py())
                 for w in wanted[i].as_py():
                     first, n = w["span"] >> 20, w["span"] >> 10 & 1023
-                    rows.append((w["anchor"], w["content"], nodes[i].as_py(), w["span"], w["m"], w["hot"], units(first, first + n + width - 1)))
+                    rows.append((w["anchor"], w["c1"], w["c2"], w["span"], w["m"], w["hot"], part(first, first + n + width - 1)))
                 if len(rows) > 5000 or i == batch.num_rows - 1:
                     cols = list(zip(*rows, strict=True)) or [[]] * 7
-                    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "content", "node", "span", "m", "hot", "units"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                    rows = []
+
+    return run
+
+
+def _finer(parse: Parse, width: int, gram: int):
+    """Fragments of fragments by a longer gram, with their units; places are counted within the fragment they come from."""
+    names = ["o1", "o2", "anchor", "c1", "c2", "span", "more", "w", "units"]
+    kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.binary()]
+
+    def run(batches):
+        for batch in batches:
+            rows: list = []
+            o1, o2, weights = (batch.column(c).to_pylist() for c in ("c1", "c2", "m"))
+            for i, data in enumerate(batch.column("units").to_pylist()):
+                part = parse(data)[1]
+                anchor, digests, span, more = _text_fragments(parse, data, width, gram)
+                for a, (c1, c2), s, extra in zip(anchor.tolist(), digests.tolist(), span.tolist(), more, strict=True):
+                    first, n = s >> 20, s >> 10 & 1023
+                    rows.append((o1[i], o2[i], a, c1, c2, s, extra, weights[i] * (1 + len(extra or b"") // 4), part(first, first + n + width - 1)))
+                if len(rows) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
 
-def _ranges(mask: np.ndarray, first: int) -> list[dict]:
+def _ranges(mask: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
-    return [{"lo": int(a) + first, "hi": int(b) + first} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+_RANGES_ARROW = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _resolve_bucket(resolve: Resolve):
     def run(group: pa.Table) -> pa.Table:
         span = group.column("span").to_numpy()
-        m = group.column("m").to_numpy()
-        masks = resolve(group.column("units").to_pylist(), m, span & 1023, span >> 10 & 1023)
-        rows = [(node, r["lo"], r["hi"]) for node, s, k, mask in zip(group.column("node").to_pylist(), span, m, masks, strict=True) if k == 1 and mask.any() for r in _ranges(mask, int(s >> 20))]
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["node", "lo", "hi"])
+        masks = resolve(group.column("units").to_pylist(), group.column("m").to_numpy(), span & 1023, span >> 10 & 1023)
+        some = np.array([bool(m.any()) for m in masks], bool)
+        found = pa.array([_ranges(m) for m, s in zip(masks, some, strict=True) if s], _RANGES_ARROW)
+        keep = pa.array(some)
+        return pa.table([group.column("c1").filter(keep), group.column("c2").filter(keep), found], names=["c1", "c2", "ranges"])
 
     return run
 
 
-def _finer(units_of, cut_units, width: int, gram: int):
-    """Fragments of fragments by a longer gram, with their units and weights."""
+def _merge(owner: int):
+    """(owner columns, [(span, more, ranges)]) -> (owner columns, disjoint ranges in order)."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            nodes, spans, weights = (batch.column(c).to_pylist() for c in ("node", "span", "m"))
-            for i, data in enumerate(batch.column("units").to_pylist()):
-                part = cut_units(data)
-                for anchor, content, first, n, place in zip(*(x.tolist() for x in fragments(units_of(data), width, gram)), strict=True):
-                    rows.append((anchor, content, nodes[i], ((spans[i] >> 20) + first) << 20 | n << 10 | place, weights[i], part(first, first + n + width - 1)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=["anchor", "content", "node", "span", "m", "units"])
+            out = []
+            for marks in batch.column(owner).to_pylist():
+                lo, hi = [], []
+                for m in marks:
+                    first = np.r_[m["span"] >> 20, np.frombuffer(m["more"] or b"", "<i4").astype(np.int64)]
+                    for r in m["ranges"]:
+                        lo.append(first + r["lo"])
+                        hi.append(first + r["hi"])
+                lo, hi = np.concatenate(lo), np.concatenate(hi)
+                order = np.argsort(lo, kind="stable")
+                lo, reach = lo[order], np.maximum.accumulate(hi[order])
+                new = np.r_[True, lo[1:] > reach[:-1]]
+                starts = np.flatnonzero(new)
+                ends = np.r_[starts[1:], len(lo)] - 1
+                out.append([{"lo": a, "hi": b} for a, b in zip(lo[starts].tolist(), reach[ends].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:owner], pa.array(out, _RANGES_ARROW)], names=[*batch.schema.names[:owner], "spans"])
 
     return run
 
 
+def heavy(counts: DataFrame, key: list[str], total: int) -> DataFrame | None:
+    """Keys of ``counts`` (key, of) that hold very many of ``total`` rows, at most ``HEAVY_KEYS``; None if there are none."""
+    few = counts.filter(F.col("of") > max(HEAVY_ROWS, total // HEAVY_KEYS)).select(*key)
+    got = few.collect()
+    return F.broadcast(counts.sparkSession.createDataFrame(got, few.schema)) if got else None
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed`` (one row a key): heavy keys by broadcast, where they lie; all others by shuffle."""
+    if hot is None:
+        return rows.join(keyed, key, how)
+    there = rows.join(F.broadcast(keyed.join(hot, key, "left_semi")), key, how).join(hot, key, "left_semi")
+    return there.unionByName(rows.join(hot, key, "left_anti").join(keyed.join(hot, key, "left_anti"), key, how))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps now, rather than at the driver's next collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], units, units_bytes, units_of, cut_units, resolve: Resolve) -> DataFrame:
-    """``node, spans``: for each text with repeated windows, the ranges [lo, hi) of their first units.
+def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], parse: Parse, parse_bytes: Parse, resolve: Resolve) -> tuple[DataFrame, DataFrame | None]:
+    """(``node, spans``, heavy nodes): for each text with repeated windows, the ranges [lo, hi) of their first units.
 
-    ``texts`` has ``node`` (long) and ``text``. ``units(text)`` gives the unit
-    hashes; ``units_bytes(text)`` a function (lo, hi) -> bytes of a range of
-    units; ``units_of(bytes)`` and ``cut_units(bytes)`` the same for such a range.
-    ``grams`` grow up to ``width``.
+    ``texts`` has ``node`` (binary) and ``text``. ``parse`` reads a text's units,
+    ``parse_bytes`` those of a range of units. ``grams`` grow up to ``width``.
     """
     spark = texts.sparkSession
-    lo, n = F.expr("shiftright(span, 20)"), F.expr("shiftright(span, 10) & 1023")
-    ranges = None
-    rows = texts.mapInArrow(_fragment_rows(units, width, grams[0]), "anchor long, content long, node long, span long").withColumn("m", F.lit(1).cast("long"))
-    for level, gram in enumerate(grams):
-        if level:
-            rows = hot.repartition(max(1, hot.count() // 1000)).mapInArrow(_finer(units_of, cut_units, width, gram), "anchor long, content long, node long, span long, m long, units binary")
-        shared = rows.groupBy("anchor").agg(F.sum("m").alias("c")).filter("c > 1").select("anchor")
-        rows = materialize(rows.join(materialize(shared), "anchor"))  # both sides shuffled by the join alone, so that skew is split
+    places = F.lit(1) + F.coalesce(F.expr("octet_length(more) div 4"), F.lit(0))
+    rows = materialize(texts.mapInArrow(_fragment_rows(parse, width, grams[0]), "node binary, anchor long, c1 long, c2 long, span long, more binary"))
+    copies = rows.filter(f"span < {1 << 20}").groupBy("node").agg(F.count(F.lit(1)).alias("of"))  # every text has a first fragment
+    crowded = heavy(copies, ["node"], rows.count())
+
+    def fetch(cut: DataFrame) -> DataFrame:
+        wanted = materialize(cut.groupBy("node").agg(F.collect_list(F.struct("anchor", "c1", "c2", "span", "m", "hot")).alias("wanted")))
         release(spark)
-        at = F.struct("node", "span", *(["units"] if level else []))
-        distinct = materialize(rows.groupBy("anchor", "content").agg(F.sum("m").alias("m"), F.min(at).alias("at")).select("anchor", "content", "m", "at.*"))
-        whole = distinct.filter("m > 1").select("anchor", "content")
-        repeated = rows.filter("m = 1").join(whole, ["anchor", "content"]).select("node", lo.alias("lo"), (lo + n).alias("hi"))
-        open_anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of"), F.min("m").alias("least")).filter("least = 1").select("anchor", (F.col("of") > HOT_FRAGMENTS).alias("hot"))
-        cut = distinct.join(materialize(open_anchors), "anchor")
-        if not level:
-            wanted = materialize(cut.groupBy("node").agg(F.collect_list(F.struct("anchor", "content", "span", "m", "hot")).alias("wanted")))
-            release(spark)
-            once = texts.groupBy("node").agg(F.first("text").alias("text"))
-            cut = once.join(wanted, "node").select("node", "text", "wanted").mapInArrow(_cut(units_bytes, width), "anchor long, content long, node long, span long, m long, hot boolean, units binary")
-        cut = materialize(cut)
+        once = texts.groupBy("node").agg(F.first("text").alias("text"))
+        return once.join(wanted, "node").select("text", "wanted").mapInArrow(_cut(parse, width), "anchor long, c1 long, c2 long, span long, m long, hot boolean, units binary")
+
+    def solve(rows: DataFrame, owner: list[str], level: int) -> DataFrame:
+        total = rows.count()
+        shared = materialize(rows.groupBy("anchor").agg(F.sum("w").alias("c"), F.count(F.lit(1)).alias("of")).filter("c > 1").select("anchor", "of"))
+        kept = materialize(spread_join(rows, shared.select("anchor"), ["anchor"], heavy(shared, ["anchor"], total)))
+        discard(rows)
+        rows = kept
         release(spark)
-        open_rows, hot = cut.filter("not hot"), cut.filter("hot")
-        buckets = max(1, -(-open_rows.count() // BUCKET_FRAGMENTS))
-        found = open_rows.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(anchor), {buckets}) as int)")).groupBy("bucket").applyInArrow(_resolve_bucket(resolve), "node long, lo long, hi long")
-        ranges = repeated.union(found) if ranges is None else ranges.union(repeated).union(found)
-        if not hot.head(1):
-            break
-    spans = materialize(ranges.groupBy("node").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
-    release(spark)
-    return spans
+        at = F.struct(*owner, "span", *(["units"] if level else []))
+        distinct = materialize(rows.groupBy("anchor", "c1", "c2").agg(F.sum("w").alias("m"), F.count(F.lit(1)).alias("holders"), F.min(at).alias("at")).select("anchor", "c1", "c2", "m", "holders", "at.*"))
+        release(spark)
+        last = level == len(grams) - 1
+        per = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).select("anchor", "of", F.lit(False).alias("hot") if last else (F.col("of") > HOT_FRAGMENTS).alias("hot")))
+        cut = spread_join(distinct.drop("holders"), per.select("anchor", "hot"), ["anchor"], heavy(per, ["anchor"], total))
+        cut = materialize(cut if level else fetch(cut))
+        release(spark)
+        calm, hot = cut.filter("not hot"), cut.filter("hot")
+        buckets = max(1, -(-calm.count() // BUCKET_FRAGMENTS))
+        marks = calm.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(anchor), {buckets}) as int)")).groupBy("bucket").applyInArrow(_resolve_bucket(resolve), f"c1 long, c2 long, ranges {_RANGES}")
+        if hot.head(1):
+            finer = hot.select("c1", "c2", "m", "units").repartition(max(1, hot.count() // 1000)).mapInArrow(_finer(parse_bytes, width, grams[level + 1]), "o1 long, o2 long, anchor long, c1 long, c2 long, span long, more binary, w long, units binary")
+            below = solve(materialize(finer), ["o1", "o2"], level + 1)
+            marks = marks.unionByName(below.select(F.col("o1").alias("c1"), F.col("o2").alias("c2"), F.col("spans").alias("ranges")))
+        marks = materialize(marks)
+        busy = heavy(distinct.select("c1", "c2", F.col("holders").alias("of")), ["c1", "c2"], total)
+        found = spread_join(rows.select(*owner, "c1", "c2", "span", "more"), marks, ["c1", "c2"], busy)
+        found = found.groupBy(*owner).agg(F.collect_list(F.struct("span", "more", "ranges")).alias("marks"))
+        kinds = dict(rows.dtypes)
+        spans = materialize(found.mapInArrow(_merge(len(owner)), ", ".join(f"{c} {kinds[c]}" for c in owner) + f", spans {_RANGES}"))
+        for done in (rows, distinct, cut, marks):
+            discard(done)
+        release(spark)
+        return spans
+
+    rows_w = rows.withColumn("w", places.cast("long"))
+    rows_w.written = rows.written
+    return solve(rows_w, ["node"], 0), crowded
 
 
 def covered(spans: list[dict] | None, n: int, width: int) -> np.ndarray:
@@ -238,11 +334,8 @@ def covered(spans: list[dict] | None, n: int, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def finish(docs: DataFrame, spans: DataFrame, id_col: str, text, summarise, schema: str) -> DataFrame:
-    """Per row of ``docs`` what ``summarise(text, spans)`` gives, computed once per distinct text with spans.
-
-    ``summarise(text, None)`` serves the other texts; it is evaluated on every row in the same pass.
-    """
+def finish(docs: DataFrame, spans: DataFrame, crowded: DataFrame | None, id_col: str, text, summarise, schema: str) -> DataFrame:
+    """Per row of ``docs`` what ``summarise(text, spans)`` gives; ``summarise(text, None)`` serves texts without spans."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -253,7 +346,12 @@ def finish(docs: DataFrame, spans: DataFrame, id_col: str, text, summarise, sche
             kinds = [pa.int64() if c.endswith("long") else pa.string() for c in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", *names])
 
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("node"))
-    joined = rows.join(spans, "node", "left").select("id", "text", "spans")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), node_of(text).alias("node"))
+    joined = spread_join(rows, spans, ["node"], crowded, "left").select("id", "text", "spans")
     kind = dict(rows.dtypes)["id"]
     return joined.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+
+
+def node_of(text):
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))

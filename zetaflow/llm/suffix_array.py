@@ -1,13 +1,22 @@
-"""Byte-level substring deduplication by blockwise suffix sorting.
+"""Byte-level substring deduplication by blockwise suffix sorting with a difference cover.
 
 Candidate suffixes are found as in :mod:`repeats` and dealt into buckets by
 minimiser, so suffixes that could share 200 bytes meet. One bucket is sorted at a
-time. Its cover sample holds every eighth position, counted from the minimiser
-(equal windows have it at the same distance, so one residue class is a difference
-cover here). The ranks of the sample's 192-byte strings are computed first, by
-doubling; a suffix is then ordered by the rank of the first sample position in it
-and by the eight bytes before and behind that string, which resolves ties of any
-length exactly in bounded memory.
+time, which bounds the memory:
+
+1. The bucket's fragments are laid out in one array. Positions whose residue
+   modulo ``PERIOD`` is in ``COVER`` are the cover sample; any two residues have an
+   offset at which both are in it.
+2. The sample's ranks are computed first, by doubling from ``PERIOD`` bytes until
+   they cover a window.
+3. The bucket's suffixes are sorted by their first ``PERIOD`` bytes. Ties are
+   resolved by the ranks of the sample positions at the offset their residues have
+   in common, however long they are.
+4. Neighbours in suffix order are compared byte by byte over a window; equal runs
+   of a total weight above 1 are repeats.
+
+Fragments are laid out with their minimiser at residue 0. Equal windows then have
+one residue, so that most ties need one offset only.
 """
 
 from __future__ import annotations
@@ -16,72 +25,127 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
-from .repeats import covered, finish, mix, repeated_windows
+from .repeats import covered, finish, mix, node_of, repeated_windows
 
 WIDTH = 200
 GRAMS = (32, 128, 184, 200)
-_STRIDE = 8
+#: A perfect difference set: every residue but 0 is the difference of exactly one pair.
+PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+_NTH = np.full(PERIOD, -1)
+_NTH[list(COVER)] = np.arange(len(COVER))
+#: _OFFSET[a, b]: the least offset at which residues a and b are both in the cover.
+_OFFSET = np.array([[next(d for d in range(PERIOD) if _NTH[(a + d) % PERIOD] >= 0 and _NTH[(b + d) % PERIOD] >= 0) for b in range(PERIOD)] for a in range(PERIOD)])
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of tuples."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of integers."""
+    order = np.argsort(key)
+    s = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(key) else 0
     return out
 
 
+def _prefix_ranks(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Dense ranks of the ``PERIOD`` bytes at each place."""
+    ranks = _dense(words[at])
+    for k in range(8, PERIOD, 8):
+        part = words[at + k]
+        if k + 8 > PERIOD:
+            part = part >> np.uint64(8 * (k + 8 - PERIOD))
+        ranks = _dense(ranks * (len(at) + 1) + _dense(part))
+    return ranks
+
+
+class Block:
+    """Bytes laid out for sorting, with the ranks of their cover sample."""
+
+    def __init__(self, data: np.ndarray, width: int):
+        padded = np.r_[data, np.zeros(2 * PERIOD + width + 16, np.uint8)]
+        self.words = np.zeros(len(padded) - 8, np.uint64)
+        for i in range(8):
+            self.words = self.words << np.uint64(8) | padded[i : i + len(self.words)].astype(np.uint64)
+        rows = -(-len(data) // PERIOD) + 1
+        at = (np.arange(rows)[:, None] * PERIOD + np.array(COVER)).ravel()
+        ranks, reach, step = _prefix_ranks(self.words, at), PERIOD, len(COVER)
+        while reach < width:
+            behind = np.r_[ranks[step:], np.zeros(min(step, len(ranks)), np.int64)]
+            ranks = _dense(ranks * (len(ranks) + 1) + behind)
+            reach, step = reach * 2, step * 2
+        self.ranks, self.width = ranks, width
+
+    def rank_at(self, at: np.ndarray) -> np.ndarray:
+        return self.ranks[at // PERIOD * len(COVER) + _NTH[at % PERIOD]]
+
+    def order(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(an order of the suffixes at ``at`` that is right for their first ``width`` bytes, ranks of their first ``PERIOD`` bytes)."""
+        group = _prefix_ranks(self.words, at)
+        residue = at % PERIOD
+        key = self.rank_at(at + _OFFSET[residue, residue])
+        lone = np.bincount(group) == 1
+        least, most = np.full(len(lone), PERIOD), np.full(len(lone), -1)
+        np.minimum.at(least, group, residue)
+        np.maximum.at(most, group, residue)
+        mixed = np.flatnonzero((least < most)[group] & ~lone[group])
+        if len(mixed):
+            key = key.copy()
+            key[mixed] = self._places(group[mixed], at[mixed], residue[mixed])
+        return np.lexsort((key, group)), group
+
+    def _places(self, group: np.ndarray, at: np.ndarray, residue: np.ndarray) -> np.ndarray:
+        """How many suffixes of the same group come before each, residue against residue."""
+        before = np.zeros(len(at), np.int64)
+        of = {int(r): np.flatnonzero(residue == r) for r in np.unique(residue)}
+        scale = len(self.ranks) + 1
+        for a, mine in of.items():
+            for b, other in of.items():
+                d = _OFFSET[a, b]
+                keys = np.sort(group[other] * scale + self.rank_at(at[other] + d))
+                lower = np.searchsorted(keys, group[mine] * scale)
+                before[mine] += np.searchsorted(keys, group[mine] * scale + self.rank_at(at[mine] + d)) - lower
+        return before
+
+    def classes(self, at: np.ndarray) -> np.ndarray:
+        """A number per suffix, equal for those with the same first ``width`` bytes: neighbours in order, compared in full."""
+        order, group = self.order(at)
+        a, b = at[order[:-1]], at[order[1:]]
+        same = group[order[:-1]] == group[order[1:]]
+        for k in range(0, self.width, 8):
+            left = np.flatnonzero(same)
+            k = min(k, max(0, self.width - 8))
+            same[left] = self.words[a[left] + k] == self.words[b[left] + k]
+        out = np.empty(len(at), np.int64)
+        out[order] = np.cumsum(np.r_[0, ~same]) if len(at) else 0
+        return out
+
+
 def sort_bucket(units: list[bytes], weights: np.ndarray, places: np.ndarray, windows: np.ndarray) -> list[np.ndarray]:
     """For each window of each fragment, whether its string has a total weight above 1 in the bucket."""
     if not units:
         return []
-    data = np.frombuffer(b"".join(units) + bytes(_STRIDE), np.uint8)
+    ahead = -places % PERIOD
     size = np.array([len(x) for x in units])
-    begin = np.r_[0, np.cumsum(size)[:-1]]
-    words = np.zeros(len(data) - _STRIDE, np.uint64)
-    for i in range(_STRIDE):
-        words = words << np.uint64(8) | data[i : i + len(words)].astype(np.uint64)
-
-    phase = places % _STRIDE
-    count = np.maximum(0, (size - phase) // _STRIDE)  # sample positions with eight bytes of their own
-    base = np.r_[0, np.cumsum(count)[:-1]]
-    owner = np.repeat(np.arange(len(units)), count)
-    at = (begin + phase)[owner] + (np.arange(count.sum()) - base[owner]) * _STRIDE
-    ranks = _ranks(words[at])
-    for step in (1, 2, 4, 8):  # 8 bytes to 128; positions too near an end get ranks that are never read
-        ranks = _ranks(ranks, np.r_[ranks[step:], np.zeros(min(step, len(ranks)), np.int64)])
-        if step == 4:
-            half = ranks  # 64 bytes
-    long_ranks = _ranks(ranks, np.r_[half[16:], np.zeros(min(16, len(half)), np.int64)])  # 192 bytes
-
-    frag = np.repeat(np.arange(len(units)), windows)
-    start = np.arange(windows.sum()) - np.r_[0, np.cumsum(windows)[:-1]][frag]
-    ahead = (phase[frag] - start) % _STRIDE
-    sample = base[frag] + (start + ahead - phase[frag]) // _STRIDE
-    where = begin[frag] + start
-    bits = (np.uint64(8) * (np.uint64(_STRIDE) - ahead.astype(np.uint64))) % np.uint64(64)
-    low = np.where(ahead == 0, np.uint64(2**64 - 1), (np.uint64(1) << bits) - np.uint64(1))
-    rest = words[where] & ~low | words[where + 192] & low
-    groups = _ranks(long_ranks[sample] * _STRIDE + ahead, rest)
-    total = np.bincount(groups, weights=np.repeat(weights, windows))
-    return np.split(total[groups] > 1, np.cumsum(windows)[:-1])
-
-
-def _bytes(text: str) -> np.ndarray:
-    return _BYTE[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-
-
-def _range(text: str):
-    raw = text.encode("utf-8", "surrogatepass")
-    return lambda lo, hi: raw[lo:hi]
+    slot = -(-(ahead + size) // PERIOD) * PERIOD
+    start = np.r_[0, np.cumsum(slot)[:-1]]
+    laid = b"".join(x for u, a, n, s in zip(units, ahead.tolist(), size.tolist(), slot.tolist(), strict=True) for x in (bytes(a), u, bytes(s - a - n)))
+    block = Block(np.frombuffer(laid, np.uint8), WIDTH)
+    owner = np.repeat(np.arange(len(units)), windows)
+    at = (start + ahead)[owner] + np.arange(windows.sum()) - np.r_[0, np.cumsum(windows)[:-1]][owner]
+    classes = block.classes(at)
+    total = np.bincount(classes, weights=weights[owner])
+    return np.split(total[classes] > 1, np.cumsum(windows)[:-1])
+
+
+def parse_bytes(raw: bytes):
+    return _BYTE[np.frombuffer(raw, np.uint8)], lambda lo, hi: raw[lo:hi]
+
+
+def parse(text: str):
+    return parse_bytes(text.encode("utf-8", "surrogatepass"))
 
 
 def remove(text: str, spans: list[dict] | None) -> tuple[bytes, int, int, int]:
@@ -98,9 +162,9 @@ def _summary(text: str, spans: list[dict] | None) -> tuple:
     return n, removed, runs, hashlib.sha256(kept).hexdigest()
 
 
-def _spans(docs: DataFrame, text) -> DataFrame:
-    rows = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    return repeated_windows(rows, WIDTH, GRAMS, _bytes, _range, lambda b: _BYTE[np.frombuffer(b, np.uint8)], lambda b: lambda lo, hi: b[lo:hi], sort_bucket)
+def _finish(docs: DataFrame, id_col: str, text, summarise, schema: str) -> DataFrame:
+    rows = docs.select(node_of(text).alias("node"), text.alias("text"))
+    return finish(docs, *repeated_windows(rows, WIDTH, GRAMS, parse, parse_bytes, sort_bucket), id_col, text, summarise, schema)
 
 
 def dedup_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -114,13 +178,13 @@ def dedup_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     on; an empty table gives an empty result; other columns are ignored.
     """
     text = text_or_empty(text_col)
-    return finish(docs, _spans(docs, text), id_col, text, _summary, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _finish(docs, id_col, text, _summary, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row what is left of its text; bytes of characters cut in half are replaced."""
     text = text_or_empty(text_col)
-    return finish(docs, _spans(docs, text), id_col, text, lambda t, s: (remove(t, s)[0].decode("utf-8", "replace"),), "kept string")
+    return _finish(docs, id_col, text, lambda t, s: (remove(t, s)[0].decode("utf-8", "replace"),), "kept string")
 
 
 def op7_suffix_array(spark, sf_dir):

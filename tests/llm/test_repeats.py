@@ -44,8 +44,9 @@ def strain(monkeypatch, hot, module):
     monkeypatch.setattr(repeats, "HOT_FRAGMENTS", hot)
     if hot == 2:
         monkeypatch.setattr(repeats, "HEAVY_ROWS", 2)
-        for name in ("parse", "parse_bytes"):
-            monkeypatch.setattr(module, name, (lambda f: lambda x: (lambda u, part: (u % np.uint64(3), part))(*f(x)))(getattr(module, name)))
+        for name in ("TEXTS", "RANGES"):
+            reader = getattr(module, name)
+            monkeypatch.setattr(module, name, reader._replace(hashes=(lambda f: lambda x: (lambda u, raw: (u % np.uint64(3), raw))(*f(x)))(reader.hashes)))
 
 
 @pytest.mark.parametrize("hot", [2, 1000])
@@ -96,12 +97,15 @@ def test_automaton_counts_occurrences():
 
 def test_long_texts_are_cut_without_loss(monkeypatch):
     u = repeats.mix(np.random.default_rng(1).integers(0, 4, 5000).astype(np.uint64))
-    whole = repeats.fragments(u, 35, 8)
+    read = [(u[:30], u[:30].tobytes()), (u, u.tobytes()), (u[40:90], u[40:90].tobytes())]
+    at = lambda f: {(int(o), (s >> 20) + k): (int(a), (s & 1023) - k) for o, a, s in zip(f[0], f[1], f[3].tolist()) for k in range(s >> 10 & 1023)}
+    whole = repeats._chunk_fragments(read, 35, 8)
     monkeypatch.setattr(repeats, "_PART", 700)
-    parts = repeats.fragments(u, 35, 8)
-    assert whole[2].sum() == parts[2].sum() == 5000 - 34
-    at = lambda f: {int(s) + k: (int(a), int(p) - k) for a, s, n, p in zip(*f) for k in range(n)}
-    assert at(whole) == at(parts)
+    monkeypatch.setattr(repeats, "_PLACE_BITS", 11)
+    parts = repeats._chunk_fragments(read, 35, 8)
+    assert at(whole) == at(parts) and len(at(whole)) == 5000 - 34 + 50 - 34
+    alone = repeats._chunk_fragments(read[2:], 35, 8)
+    assert {k[1]: v for k, v in at(whole).items() if k[0] == 2} == {k[1]: v for k, v in at(alone).items()}
 
 
 def test_cover_is_a_difference_cover():

@@ -16,7 +16,9 @@ of a document can only match in a shard that has its minimiser, so the other
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import table, text_or_empty
-from .repeats import covered, finish, mix, node_of, repeated_windows
+from .repeats import Reader, covered, finish, mix, node_of, repeated_windows
 
 WIDTH = 35
 GRAMS = (8, 24, 32, 35)
@@ -59,21 +61,28 @@ class Automaton:
         return clone
 
     def add(self, sequence: list, weight: int = 1) -> None:
+        nxt, link, length, seen = self.next, self.link, self.length, self.weight
         last = 0
         for c in sequence:
-            q = self.next[last].get(c)
+            q = nxt[last].get(c)
             if q is not None:
-                last = q if self.length[q] == self.length[last] + 1 else self._split(last, q, c)
+                last = q if length[q] == length[last] + 1 else self._split(last, q, c)
             else:
-                new, p = self._state({}, self.length[last] + 1, 0), last
-                while p >= 0 and c not in self.next[p]:
-                    self.next[p][c] = new
-                    p = self.link[p]
-                if p >= 0:
-                    q = self.next[p][c]
-                    self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
+                new, p = len(nxt), last
+                nxt.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                seen.append(0)
+                while q is None:
+                    nxt[p][c] = new
+                    p = link[p]
+                    if p < 0:
+                        break
+                    q = nxt[p].get(c)
+                else:
+                    link[new] = q if length[q] == length[p] + 1 else self._split(p, q, c)
                 last = new
-            self.weight[last] += weight
+            seen[last] += weight
 
     def close(self) -> None:
         """Add up occurrences along suffix links."""
@@ -98,32 +107,42 @@ class Automaton:
 
 def match_shard(units: list[bytes], weights: np.ndarray, places: np.ndarray, windows: np.ndarray) -> list[np.ndarray]:
     """For each window of each fragment, whether its words occur a second time in the shard."""
-    sequences = [u.split(b" ") for u in units]
-    automaton = Automaton()
-    for sequence, weight in zip(sequences, weights.tolist(), strict=True):
-        automaton.add(sequence, weight)
+    names: dict[bytes, int] = {}
+    sequences = [[names.setdefault(w, len(names)) for w in u.split(b" ")] for u in units]
+    automaton, collecting = Automaton(), gc.isenabled()
+    gc.disable()  # hundreds of thousands of states and no cycle among them
+    try:
+        for sequence, weight in zip(sequences, weights.tolist(), strict=True):
+            automaton.add(sequence, weight)
+    finally:
+        if collecting:
+            gc.enable()
     automaton.close()
     return [np.array(automaton.statistics(s)[WIDTH - 1 :]) >= WIDTH for s in sequences]
 
 
-def _hashes(found) -> np.ndarray:
-    return mix(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+def _hashed(found) -> tuple[np.ndarray, bytes]:
+    u = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+    return u, u.tobytes()
 
 
-def parse(text: str):
-    """Word hashes of a text, and a function that gives a range of its words joined by one space."""
+def _cutter(text: str):
     found = words(text)
     joined = " ".join(found)
-    at = np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)].tolist()
-    return _hashes(found), lambda lo, hi: joined[at[lo] : at[hi] - 1].encode("utf-8", "surrogatepass")
+    at = [0, *itertools.accumulate(len(w) + 1 for w in found)]
+    return lambda lo, hi: joined[at[lo] : at[hi] - 1].encode("utf-8", "surrogatepass")
 
 
-def parse_bytes(data: bytes):
+def _range_cutter(data: bytes):
     raw = data.split(b" ")
-    return _hashes(raw), lambda lo, hi: b" ".join(raw[lo:hi])
+    return lambda lo, hi: b" ".join(raw[lo:hi])
 
 
-def remove(text: str, spans: list[dict] | None) -> tuple[list[str], int]:
+TEXTS = Reader(lambda text: _hashed(words(text)), _cutter)
+RANGES = Reader(lambda data: _hashed(data.split(b" ")), _range_cutter)
+
+
+def remove(text: str, spans: tuple | None) -> tuple[list[str], int]:
     """(kept words, number of words)."""
     found = words(text)
     if not spans:
@@ -132,14 +151,14 @@ def remove(text: str, spans: list[dict] | None) -> tuple[list[str], int]:
     return [w for w, g in zip(found, gone, strict=True) if not g], len(found)
 
 
-def _summary(text: str, spans: list[dict] | None) -> tuple:
+def _summary(text: str, spans: tuple | None) -> tuple:
     kept, n = remove(text, spans)
     return n, n - len(kept), hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _finish(docs: DataFrame, id_col: str, text, summarise, schema: str) -> DataFrame:
     rows = docs.select(node_of(text).alias("node"), text.alias("text"))
-    return finish(docs, *repeated_windows(rows, WIDTH, GRAMS, parse, parse_bytes, match_shard), id_col, text, summarise, schema)
+    return finish(docs, *repeated_windows(rows, WIDTH, GRAMS, TEXTS, RANGES, match_shard), id_col, text, summarise, schema)
 
 
 def dedup_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,16 @@ HEAVY_ROWS, HEAVY_KEYS = 10_000, 10_000
 
 #: (units, weights, first window's offset from the minimiser, windows) of a bucket's fragments -> a mask per fragment.
 Resolve = Callable[[list, np.ndarray, np.ndarray, np.ndarray], list]
-#: text or bytes -> (unit hashes, function (lo, hi) -> bytes of a range of units)
-Parse = Callable[[object], tuple]
+#: Units hashed together: texts are handled in chunks of about this many.
+_CHUNK = 1 << 14
+
+
+class Reader(NamedTuple):
+    """How units are read from a text, or from the bytes of a range of units."""
+
+    hashes: Callable  # -> (a 64-bit hash per unit, bytes that stand for the units, as many for each)
+    cutter: Callable  # -> a function (lo, hi) -> bytes of a range of units
+
 
 _RANGES = "array<struct<lo: int, hi: int>>"
 
@@ -99,106 +108,129 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def fragments(u: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, windows, place of the minimiser after the first window) of each fragment."""
-    outs = []
-    for lo in range(0, max(1, len(u) - width + 1), _PART):
-        part = u[lo : lo + _PART + width - 1]
-        if len(part) < width:
-            continue
-        grams = mix(rolling(part, gram))
-        keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-        place = (_sliding_min(keys, width - gram + 1) & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        outs.append((grams[place[first]].view(np.int64), first + lo, np.diff(np.r_[first, len(place)]), place[first] - first))
-    if not outs:
-        return (np.array([], np.int64),) * 4
-    return tuple(np.concatenate(x) for x in zip(*outs, strict=True)) if len(outs) > 1 else outs[0]
-
-
-def _digests(part, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def fragments(us: list[np.ndarray], width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(number of the sequence, minimiser, first window, windows, place of the minimiser after the first window) of each
+    fragment of several sequences of at most 2^24 units together."""
+    size = np.array([len(u) for u in us])
+    u = np.concatenate(us)
+    if len(u) < width:
+        return (np.array([], np.int64),) * 5
+    begin = np.r_[0, np.cumsum(size)]
+    grams = mix(rolling(u, gram))
+    keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    place = (_sliding_min(keys, width - gram + 1) & _PLACE).astype(np.int64)
+    owner = np.repeat(np.arange(len(us)), size)[: len(place)]
+    inside = np.arange(len(place)) + width <= begin[1:][owner]
+    cut = np.r_[True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1]), True]
+    edge = np.flatnonzero(cut)
+    first, n = edge[:-1], np.diff(edge)
+    keep = inside[first]
+    first, n = first[keep], n[keep]
+    return owner[first], grams[place[first]].view(np.int64), first - begin[owner[first]], n, place[first] - first
+
+
+def _chunk_fragments(read: list[tuple], width: int, gram: int) -> tuple:
+    """(text, anchor, digests, span, more) of the fragments of several (hashes, bytes); equal fragments of one text are
+    one row, ``more`` their other places."""
+    pieces = [(i, lo) for i, (u, _) in enumerate(read) for lo in range(0, max(1, len(u) - width + 1), _PART)]
+    found: list = []
+    at = 0
+    while at < len(pieces):  # as many pieces at once as 24 bits can number
+        to, units = at, 0
+        while to < len(pieces) and (to == at or units + _PART + width < 1 << _PLACE_BITS):
+            units += min(_PART + width - 1, len(read[pieces[to][0]][0]) - pieces[to][1])
+            to += 1
+        some = pieces[at:to]
+        piece, anchor, first, n, place = fragments([read[i][0][lo : lo + _PART + width - 1] for i, lo in some], width, gram)
+        owner, low = np.array([i for i, _ in some])[piece], np.array([lo for _, lo in some])[piece]
+        found.append((owner, anchor, first + low, n, place))
+        at = to
+    owner, anchor, first, n, place = (np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+    step = next((len(raw) // len(u) for u, raw in read if len(u)), 1)
+    raw = memoryview(b"".join([r for _, r in read]))
+    base = np.r_[0, np.cumsum([len(u) for u, _ in read])][owner]
+    a, b = ((base + first) * step).tolist(), ((base + first + n + width - 1) * step).tolist()
     digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(part(a, a + k)) for a, k in zip(first.tolist(), size.tolist(), strict=True)]), np.int64).reshape(-1, 2)
-
-
-def _text_fragments(parse: Parse, data, width: int, gram: int) -> tuple:
-    """(anchor, digests, span, more) of a text; equal fragments of one text are one row, ``more`` their other places."""
-    u, part = parse(data)
-    anchor, first, n, place = fragments(u, width, gram)
-    digests = _digests(part, first, n + width - 1)
+    digests = np.frombuffer(b"".join([digest(raw[i:j]) for i, j in zip(a, b, strict=True)]), np.int64).reshape(-1, 2)
     span = first << 20 | n << 10 | place
     more: list = [None] * len(span)
-    if len(np.unique(digests[:, 0])) < len(span):
-        order = np.lexsort((first, digests[:, 1], digests[:, 0]))
-        d = digests[order]
-        new = np.r_[True, (d[1:] != d[:-1]).any(axis=1)]
-        starts = np.flatnonzero(new)
+    if len(np.unique(digests[:, 0] + owner * 0x9E3779B97F4A7C1)) < len(span):
+        order = np.lexsort((first, digests[:, 1], digests[:, 0], owner))
+        d, o = digests[order], owner[order]
+        starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]).any(axis=1) | (o[1:] != o[:-1])])
         ends = np.r_[starts[1:], len(order)]
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            more[order[a]] = first[order[a + 1 : b]].astype("<i4").tobytes()
+        for x, y in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            more[order[x]] = first[order[x + 1 : y]].astype(np.int32)
         keep = np.sort(order[starts])
-        anchor, digests, span, more = anchor[keep], digests[keep], span[keep], [more[i] for i in keep.tolist()]
-    return anchor, digests, span, more
+        owner, anchor, digests, span, more = owner[keep], anchor[keep], digests[keep], span[keep], [more[i] for i in keep.tolist()]
+    return owner, anchor, digests, span, more
+
+
+def _chunks(values: list, reader: Reader):
+    """(first, read) of runs of consecutive values of about ``_CHUNK`` units."""
+    read, units, first = [], 0, 0
+    for i, x in enumerate(values):
+        read.append(reader.hashes(x))
+        units += len(read[-1][0])
+        if units >= _CHUNK:
+            yield first, read
+            read, units, first = [], 0, i + 1
+    if read:
+        yield first, read
+
 
+_MORE = pa.list_(pa.int32())
 
-def _fragment_rows(parse: Parse, width: int, gram: int):
-    names = ["node", "anchor", "c1", "c2", "span", "more"]
 
+def _fragment_rows(reader: Reader, width: int, gram: int):
     def run(batches):
         for batch in batches:
-            nodes, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 1000):
-                got = [_text_fragments(parse, texts[i].as_py(), width, gram) for i in range(lo, min(lo + 1000, batch.num_rows))]
-                digests = np.concatenate([g[1] for g in got])
-                owner = np.repeat(np.arange(lo, lo + len(got)), [len(g[0]) for g in got])
-                cols = [nodes.take(pa.array(owner)), pa.array(np.concatenate([g[0] for g in got])), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(np.concatenate([g[2] for g in got])), pa.array([m for g in got for m in g[3]], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+            nodes = batch.column(0)
+            for lo, read in _chunks(batch.column(1).to_pylist(), reader):
+                owner, anchor, digests, span, more = _chunk_fragments(read, width, gram)
+                cols = [nodes.take(pa.array(owner + lo, pa.int64())), pa.array(anchor), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(span), pa.array(more, _MORE)]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "anchor", "c1", "c2", "span", "more"])
 
     return run
 
 
-def _cut(parse: Parse, width: int):
+def _cut(reader: Reader, width: int):
     """Fetch the units of a text's wanted fragments."""
     names = ["anchor", "c1", "c2", "span", "m", "hot", "units"]
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
 
     def run(batches):
         for batch in batches:
-            texts, wanted = batch.column(0), batch.column(1)
-            rows: list = []
+            texts, lists = batch.column(0), batch.column(1)
+            edge, wanted = lists.offsets.to_numpy().tolist(), lists.values
+            span = wanted.field("span").to_numpy()
+            a, b = (span >> 20).tolist(), ((span >> 20) + (span >> 10 & 1023) + width - 1).tolist()
+            units, begin = [], edge[0]
             for i in range(batch.num_rows):
-                _, part = parse(texts[i].as_py())
-                for w in wanted[i].as_py():
-                    first, n = w["span"] >> 20, w["span"] >> 10 & 1023
-                    rows.append((w["anchor"], w["c1"], w["c2"], w["span"], w["m"], w["hot"], part(first, first + n + width - 1)))
-                if len(rows) > 5000 or i == batch.num_rows - 1:
-                    cols = list(zip(*rows, strict=True)) or [[]] * 7
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-                    rows = []
+                part = reader.cutter(texts[i].as_py())
+                units += [part(a[j], b[j]) for j in range(edge[i], edge[i + 1])]
+                if len(units) > 5000 or i == batch.num_rows - 1:
+                    rows = wanted.slice(begin, len(units))
+                    yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in names[:-1]), pa.array(units, pa.binary())], names=names)
+                    begin, units = begin + len(units), []
 
     return run
 
 
-def _finer(parse: Parse, width: int, gram: int):
+def _finer(reader: Reader, width: int, gram: int):
     """Fragments of fragments by a longer gram, with their units; places are counted within the fragment they come from."""
     names = ["o1", "o2", "anchor", "c1", "c2", "span", "more", "w", "units"]
-    kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.binary()]
 
     def run(batches):
         for batch in batches:
-            rows: list = []
-            o1, o2, weights = (batch.column(c).to_pylist() for c in ("c1", "c2", "m"))
-            for i, data in enumerate(batch.column("units").to_pylist()):
-                part = parse(data)[1]
-                anchor, digests, span, more = _text_fragments(parse, data, width, gram)
-                for a, (c1, c2), s, extra in zip(anchor.tolist(), digests.tolist(), span.tolist(), more, strict=True):
-                    first, n = s >> 20, s >> 10 & 1023
-                    rows.append((o1[i], o2[i], a, c1, c2, s, extra, weights[i] * (1 + len(extra or b"") // 4), part(first, first + n + width - 1)))
-                if len(rows) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows = []
-            cols = list(zip(*rows, strict=True)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            data, weight = batch.column("units").to_pylist(), batch.column("m").to_numpy()
+            for lo, read in _chunks(data, reader):
+                owner, anchor, digests, span, more = _chunk_fragments(read, width, gram)
+                parts = [reader.cutter(x) for x in data[lo : lo + len(read)]]
+                units = [parts[o](s >> 20, (s >> 20) + (s >> 10 & 1023) + width - 1) for o, s in zip(owner.tolist(), span.tolist(), strict=True)]
+                places = np.array([1 if x is None else 1 + len(x) for x in more], np.int64)
+                of = pa.array(owner + lo, pa.int64())
+                cols = [batch.column("c1").take(of), batch.column("c2").take(of), pa.array(anchor), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(span), pa.array(more, _MORE), pa.array(weight[owner + lo] * places), pa.array(units, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -223,31 +255,6 @@ def _resolve_bucket(resolve: Resolve):
     return run
 
 
-def _merge(owner: int):
-    """(owner columns, [(span, more, ranges)]) -> (owner columns, disjoint ranges in order)."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for marks in batch.column(owner).to_pylist():
-                lo, hi = [], []
-                for m in marks:
-                    first = np.r_[m["span"] >> 20, np.frombuffer(m["more"] or b"", "<i4").astype(np.int64)]
-                    for r in m["ranges"]:
-                        lo.append(first + r["lo"])
-                        hi.append(first + r["hi"])
-                lo, hi = np.concatenate(lo), np.concatenate(hi)
-                order = np.argsort(lo, kind="stable")
-                lo, reach = lo[order], np.maximum.accumulate(hi[order])
-                new = np.r_[True, lo[1:] > reach[:-1]]
-                starts = np.flatnonzero(new)
-                ends = np.r_[starts[1:], len(lo)] - 1
-                out.append([{"lo": a, "hi": b} for a, b in zip(lo[starts].tolist(), reach[ends].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:owner], pa.array(out, _RANGES_ARROW)], names=[*batch.schema.names[:owner], "spans"])
-
-    return run
-
-
 def heavy(counts: DataFrame, key: list[str], total: int) -> DataFrame | None:
     """Keys of ``counts`` (key, of) that hold very many of ``total`` rows, at most ``HEAVY_KEYS``; None if there are none."""
     few = counts.filter(F.col("of") > max(HEAVY_ROWS, total // HEAVY_KEYS)).select(*key)
@@ -259,7 +266,9 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: list[str], hot: DataFram
     """``rows`` joined to ``keyed`` (one row a key): heavy keys by broadcast, where they lie; all others by shuffle."""
     if hot is None:
         return rows.join(keyed, key, how)
-    there = rows.join(F.broadcast(keyed.join(hot, key, "left_semi")), key, how).join(hot, key, "left_semi")
+    there = rows.join(F.broadcast(keyed.join(hot, key, "left_semi")), key, how)
+    if how != "inner":
+        there = there.join(hot, key, "left_semi")
     return there.unionByName(rows.join(hot, key, "left_anti").join(keyed.join(hot, key, "left_anti"), key, how))
 
 
@@ -269,15 +278,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], parse: Parse, parse_bytes: Parse, resolve: Resolve) -> tuple[DataFrame, DataFrame | None]:
+def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], reader: Reader, ranges: Reader, resolve: Resolve) -> tuple[DataFrame, DataFrame | None]:
     """(``node, spans``, heavy nodes): for each text with repeated windows, the ranges [lo, hi) of their first units.
 
-    ``texts`` has ``node`` (binary) and ``text``. ``parse`` reads a text's units,
-    ``parse_bytes`` those of a range of units. ``grams`` grow up to ``width``.
+    ``texts`` has ``node`` (binary) and ``text``. ``reader`` reads a text's units,
+    ``ranges`` those of a range of units. ``grams`` grow up to ``width``.
     """
     spark = texts.sparkSession
-    places = F.lit(1) + F.coalesce(F.expr("octet_length(more) div 4"), F.lit(0))
-    rows = materialize(texts.mapInArrow(_fragment_rows(parse, width, grams[0]), "node binary, anchor long, c1 long, c2 long, span long, more binary"))
+    places = F.lit(1) + F.coalesce(F.size("more"), F.lit(0))
+    rows = materialize(texts.mapInArrow(_fragment_rows(reader, width, grams[0]), "node binary, anchor long, c1 long, c2 long, span long, more array<int>"))
     copies = rows.filter(f"span < {1 << 20}").groupBy("node").agg(F.count(F.lit(1)).alias("of"))  # every text has a first fragment
     crowded = heavy(copies, ["node"], rows.count())
 
@@ -285,7 +294,7 @@ def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], parse
         wanted = materialize(cut.groupBy("node").agg(F.collect_list(F.struct("anchor", "c1", "c2", "span", "m", "hot")).alias("wanted")))
         release(spark)
         once = texts.groupBy("node").agg(F.first("text").alias("text"))
-        return once.join(wanted, "node").select("text", "wanted").mapInArrow(_cut(parse, width), "anchor long, c1 long, c2 long, span long, m long, hot boolean, units binary")
+        return once.join(wanted, "node").select("text", "wanted").mapInArrow(_cut(reader, width), "anchor long, c1 long, c2 long, span long, m long, hot boolean, units binary")
 
     def solve(rows: DataFrame, owner: list[str], level: int) -> DataFrame:
         total = rows.count()
@@ -306,15 +315,15 @@ def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], parse
         buckets = max(1, -(-calm.count() // BUCKET_FRAGMENTS))
         marks = calm.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(anchor), {buckets}) as int)")).groupBy("bucket").applyInArrow(_resolve_bucket(resolve), f"c1 long, c2 long, ranges {_RANGES}")
         if hot.head(1):
-            finer = hot.select("c1", "c2", "m", "units").repartition(max(1, hot.count() // 1000)).mapInArrow(_finer(parse_bytes, width, grams[level + 1]), "o1 long, o2 long, anchor long, c1 long, c2 long, span long, more binary, w long, units binary")
+            finer = hot.select("c1", "c2", "m", "units").repartition(max(1, hot.count() // 1000)).mapInArrow(_finer(ranges, width, grams[level + 1]), "o1 long, o2 long, anchor long, c1 long, c2 long, span long, more array<int>, w long, units binary")
             below = solve(materialize(finer), ["o1", "o2"], level + 1)
             marks = marks.unionByName(below.select(F.col("o1").alias("c1"), F.col("o2").alias("c2"), F.col("spans").alias("ranges")))
         marks = materialize(marks)
         busy = heavy(distinct.select("c1", "c2", F.col("holders").alias("of")), ["c1", "c2"], total)
         found = spread_join(rows.select(*owner, "c1", "c2", "span", "more"), marks, ["c1", "c2"], busy)
-        found = found.groupBy(*owner).agg(F.collect_list(F.struct("span", "more", "ranges")).alias("marks"))
-        kinds = dict(rows.dtypes)
-        spans = materialize(found.mapInArrow(_merge(len(owner)), ", ".join(f"{c} {kinds[c]}" for c in owner) + f", spans {_RANGES}"))
+        first = F.explode(F.concat(F.array(F.expr("int(shiftright(span, 20))")), F.coalesce("more", F.array().cast("array<int>")))).alias("first")
+        found = found.select(*owner, "ranges", first).select(*owner, F.transform("ranges", lambda r: F.struct((r.lo + F.col("first")).alias("lo"), (r.hi + F.col("first")).alias("hi"))).alias("ranges"))
+        spans = materialize(found.groupBy(*owner).agg(F.flatten(F.collect_list("ranges")).alias("spans")))
         for done in (rows, distinct, cut, marks):
             discard(done)
         release(spark)
@@ -325,13 +334,10 @@ def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], parse
     return solve(rows_w, ["node"], 0), crowded
 
 
-def covered(spans: list[dict] | None, n: int, width: int) -> np.ndarray:
-    """A mask over a text's ``n`` units: those in a window whose first unit is in ``spans``."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    for s in spans or ():
-        edge[s["lo"]] += 1
-        edge[s["hi"] - 1 + width] -= 1
-    return np.cumsum(edge[:-1]) > 0
+def covered(spans: tuple[np.ndarray, np.ndarray], n: int, width: int) -> np.ndarray:
+    """A mask over a text's ``n`` units: those in a window whose first unit is in a range [lo, hi) of ``spans``."""
+    lo, hi = spans
+    return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi - 1 + width, minlength=n + 1))[:n] > 0
 
 
 def finish(docs: DataFrame, spans: DataFrame, crowded: DataFrame | None, id_col: str, text, summarise, schema: str) -> DataFrame:
@@ -341,7 +347,8 @@ def finish(docs: DataFrame, spans: DataFrame, crowded: DataFrame | None, id_col:
     def run(batches):
         for batch in batches:
             texts, lists = batch.column(1), batch.column(2)
-            rows = [summarise(texts[i].as_py(), lists[i].as_py()) for i in range(batch.num_rows)]
+            edge, lo, hi = lists.offsets.to_numpy(), lists.values.field("lo").to_numpy(), lists.values.field("hi").to_numpy()
+            rows = [summarise(texts[i].as_py(), (lo[a:b], hi[a:b]) if b > a else None) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             kinds = [pa.int64() if c.endswith("long") else pa.string() for c in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", *names])

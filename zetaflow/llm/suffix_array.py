@@ -9,7 +9,7 @@ time, which bounds the memory:
    offset at which both are in it.
 2. The sample's ranks are computed first, by doubling from ``PERIOD`` bytes until
    they cover a window.
-3. The bucket's suffixes are sorted by their first ``PERIOD`` bytes. Ties are
+3. The bucket's suffixes are sorted by their first ``PREFIX`` bytes. Ties are
    resolved by the ranks of the sample positions at the offset their residues have
    in common, however long they are.
 4. Neighbours in suffix order are compared byte by byte over a window; equal runs
@@ -27,12 +27,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import table, text_or_empty
-from .repeats import covered, finish, mix, node_of, repeated_windows
+from .repeats import Reader, covered, finish, mix, node_of, repeated_windows
 
 WIDTH = 200
 GRAMS = (32, 128, 184, 200)
 #: A perfect difference set: every residue but 0 is the difference of exactly one pair.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Bytes by which suffixes are sorted before ties go to the cover sample; at least ``PERIOD``.
+PREFIX = 64
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 _NTH = np.full(PERIOD, -1)
@@ -41,23 +43,44 @@ _NTH[list(COVER)] = np.arange(len(COVER))
 _OFFSET = np.array([[next(d for d in range(PERIOD) if _NTH[(a + d) % PERIOD] >= 0 and _NTH[(b + d) % PERIOD] >= 0) for b in range(PERIOD)] for a in range(PERIOD)])
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    """Dense ranks of integers."""
+def _starts(new: np.ndarray) -> np.ndarray:
+    """For each place of a sorted array the place where its run of equals begins."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _sorted_ranks(key: np.ndarray) -> np.ndarray:
+    """The number of smaller keys, for each key."""
     order = np.argsort(key)
     s = key[order]
     out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(key) else 0
+    out[order] = _starts(np.r_[True, s[1:] != s[:-1]][: len(s)])
     return out
 
 
-def _prefix_ranks(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Dense ranks of the ``PERIOD`` bytes at each place."""
-    ranks = _dense(words[at])
-    for k in range(8, PERIOD, 8):
-        part = words[at + k]
-        if k + 8 > PERIOD:
-            part = part >> np.uint64(8 * (k + 8 - PERIOD))
-        ranks = _dense(ranks * (len(at) + 1) + _dense(part))
+def _tied(ranks: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.bincount(ranks, minlength=len(ranks))[ranks] > 1) if len(ranks) else ranks
+
+
+def _refine(ranks: np.ndarray, tied: np.ndarray, key: np.ndarray) -> None:
+    """Break ties of ``ranks`` at the places ``tied`` by a further key of ranks; they stay numbers of smaller elements."""
+    base = ranks[tied] * (len(ranks) + 2)
+    both = base + key + 1
+    order = np.argsort(both)
+    r, k = base[order], both[order]
+    other = np.r_[True, r[1:] != r[:-1]][: len(r)]
+    ranks[tied[order]] = ranks[tied][order] + _starts(other | np.r_[True, k[1:] != k[:-1]][: len(k)]) - _starts(other)
+
+
+def _prefix_ranks(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Ranks of the ``size`` bytes at each place; only ties are read on."""
+    first = words[at]
+    ranks = _sorted_ranks(first if size >= 8 else first >> np.uint64(64 - 8 * size))
+    for k in range(8, size, 8):
+        tied = _tied(ranks)
+        if not len(tied):
+            break
+        part = words[at[tied] + k]
+        _refine(ranks, tied, _sorted_ranks(part >> np.uint64(8 * (k + 8 - size)) if k + 8 > size else part))
     return ranks
 
 
@@ -71,10 +94,12 @@ class Block:
             self.words = self.words << np.uint64(8) | padded[i : i + len(self.words)].astype(np.uint64)
         rows = -(-len(data) // PERIOD) + 1
         at = (np.arange(rows)[:, None] * PERIOD + np.array(COVER)).ravel()
-        ranks, reach, step = _prefix_ranks(self.words, at), PERIOD, len(COVER)
+        ranks, reach, step = _prefix_ranks(self.words, at, PERIOD), PERIOD, len(COVER)
         while reach < width:
-            behind = np.r_[ranks[step:], np.zeros(min(step, len(ranks)), np.int64)]
-            ranks = _dense(ranks * (len(ranks) + 1) + behind)
+            tied = _tied(ranks)
+            if not len(tied):
+                break
+            _refine(ranks, tied, np.r_[ranks, np.full(step, -1)][tied + step])
             reach, step = reach * 2, step * 2
         self.ranks, self.width = ranks, width
 
@@ -82,31 +107,33 @@ class Block:
         return self.ranks[at // PERIOD * len(COVER) + _NTH[at % PERIOD]]
 
     def order(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(an order of the suffixes at ``at`` that is right for their first ``width`` bytes, ranks of their first ``PERIOD`` bytes)."""
-        group = _prefix_ranks(self.words, at)
+        """(an order of the suffixes at ``at`` that is right for their first ``width`` bytes, ranks of their first ``PREFIX`` bytes)."""
+        group = _prefix_ranks(self.words, at, min(PREFIX, self.width))
         residue = at % PERIOD
-        key = self.rank_at(at + _OFFSET[residue, residue])
-        lone = np.bincount(group) == 1
-        least, most = np.full(len(lone), PERIOD), np.full(len(lone), -1)
-        np.minimum.at(least, group, residue)
-        np.maximum.at(most, group, residue)
-        mixed = np.flatnonzero((least < most)[group] & ~lone[group])
+        tied = _tied(group)
+        ranks, near = group.copy(), residue[tied]
+        key = self.rank_at(at[tied] + _OFFSET[near, near])
+        least, most = np.full(len(at), PERIOD), np.full(len(at), -1)
+        np.minimum.at(least, group[tied], near)
+        np.maximum.at(most, group[tied], near)
+        mixed = np.flatnonzero((least < most)[group[tied]])
         if len(mixed):
-            key = key.copy()
-            key[mixed] = self._places(group[mixed], at[mixed], residue[mixed])
-        return np.lexsort((key, group)), group
+            key[mixed] = self._places(group[tied[mixed]], at[tied[mixed]], near[mixed])
+        _refine(ranks, tied, _sorted_ranks(key))
+        return np.argsort(ranks, kind="stable"), group
 
     def _places(self, group: np.ndarray, at: np.ndarray, residue: np.ndarray) -> np.ndarray:
         """How many suffixes of the same group come before each, residue against residue."""
         before = np.zeros(len(at), np.int64)
+        _, group = np.unique(group, return_inverse=True)
         of = {int(r): np.flatnonzero(residue == r) for r in np.unique(residue)}
         scale = len(self.ranks) + 1
-        for a, mine in of.items():
-            for b, other in of.items():
+        for b, other in of.items():
+            lower = np.r_[0, np.cumsum(np.bincount(group[other], minlength=int(group.max()) + 1))]
+            for a, mine in of.items():
                 d = _OFFSET[a, b]
                 keys = np.sort(group[other] * scale + self.rank_at(at[other] + d))
-                lower = np.searchsorted(keys, group[mine] * scale)
-                before[mine] += np.searchsorted(keys, group[mine] * scale + self.rank_at(at[mine] + d)) - lower
+                before[mine] += np.searchsorted(keys, group[mine] * scale + self.rank_at(at[mine] + d)) - lower[group[mine]]
         return before
 
     def classes(self, at: np.ndarray) -> np.ndarray:
@@ -140,15 +167,23 @@ def sort_bucket(units: list[bytes], weights: np.ndarray, places: np.ndarray, win
     return np.split(total[classes] > 1, np.cumsum(windows)[:-1])
 
 
-def parse_bytes(raw: bytes):
-    return _BYTE[np.frombuffer(raw, np.uint8)], lambda lo, hi: raw[lo:hi]
+def _hashed(raw: bytes) -> tuple[np.ndarray, bytes]:
+    return _BYTE[np.frombuffer(raw, np.uint8)], raw
+
+
+def _cutter(raw: bytes):
+    return lambda lo, hi: raw[lo:hi]
+
+
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
-def parse(text: str):
-    return parse_bytes(text.encode("utf-8", "surrogatepass"))
+TEXTS = Reader(lambda text: _hashed(_utf8(text)), lambda text: _cutter(_utf8(text)))
+RANGES = Reader(_hashed, _cutter)
 
 
-def remove(text: str, spans: list[dict] | None) -> tuple[bytes, int, int, int]:
+def remove(text: str, spans: tuple | None) -> tuple[bytes, int, int, int]:
     """(kept bytes, bytes, removed bytes, maximal removed runs)."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not spans:
@@ -157,14 +192,14 @@ def remove(text: str, spans: list[dict] | None) -> tuple[bytes, int, int, int]:
     return raw[~gone].tobytes(), len(raw), int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
 
 
-def _summary(text: str, spans: list[dict] | None) -> tuple:
+def _summary(text: str, spans: tuple | None) -> tuple:
     kept, n, removed, runs = remove(text, spans)
     return n, removed, runs, hashlib.sha256(kept).hexdigest()
 
 
 def _finish(docs: DataFrame, id_col: str, text, summarise, schema: str) -> DataFrame:
     rows = docs.select(node_of(text).alias("node"), text.alias("text"))
-    return finish(docs, *repeated_windows(rows, WIDTH, GRAMS, parse, parse_bytes, sort_bucket), id_col, text, summarise, schema)
+    return finish(docs, *repeated_windows(rows, WIDTH, GRAMS, TEXTS, RANGES, sort_bucket), id_col, text, summarise, schema)
 
 
 def dedup_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -7,13 +7,19 @@ import re
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math select option object head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr".split())
+RAW = frozenset("script style textarea title".split())  # their content isn't markup
+SKIPPED = frozenset("noscript template iframe svg math select datalist object head".split())  # markup that isn't shown as text
+INLINE = frozenset("br a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr".split())  # they break no block
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SECTIONS = frozenset("article aside body footer form header main nav section".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr", "table"), "th": ("tr", "table")}
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
+#: Ancestors of a block that its features look at; text is kept at any depth.
+LEVELS = 64
+
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -25,68 +31,129 @@ class Block:
         self.text, self.path, self.names, self.link, self.near = text, path, names, link, near
 
 
-def _nearest(stack: list) -> str:
-    """The innermost container with a meaning: a sectioning tag, or a first name."""
-    for tag, names in reversed(stack):
-        if names and tag not in INLINE:
-            return f"{names[0]}"
-        if tag in SECTIONS:
-            return tag
-    return "-"
+def _tags(page: str) -> list[tuple]:
+    """(start, end, name, whether it closes, attributes) of every tag in page order; comments and declarations have no
+    name, and the content of scripts and the like belongs to their tag. Positions only move forward, and what isn't
+    there is looked for once, so the time is linear in the page."""
+    end, at = len(page), 0
+    out: list[tuple] = []
+    ahead: dict[str, int] = {}
+    never: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        got = ahead.get(what, -1)
+        if got < start:
+            got = page.find(what, start)
+            ahead[what] = got = end if got < 0 else got
+        return got
+
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        if page[start + 1] in "!?":
+            if page.startswith("<!--", start):
+                at = min(end, find("-->", start + 4) + 3)
+            else:
+                at = min(end, find(">", start) + 1)
+            out.append((start, at, "", False, ""))
+            continue
+        closing = page[start + 1] == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        i = find_from = name.end()
+        if find(">", i) == end:
+            break  # no tag ends any more: the rest is text
+        while i < end:
+            i = min(find(">", i), find('"', i), find("'", i))
+            if i == end or page[i] == ">":
+                break
+            close = find(page[i], i + 1)
+            i = i + 1 if close == end else close + 1  # a quote that stays open is a character like others
+        if i >= end:  # its last '>' is inside quotes
+            i = page.find(">", find_from)
+        tag, at = name[0].lower(), i + 1
+        attributes = page[find_from:i]
+        if tag in RAW and not closing and tag not in never:
+            close = _RAW_END[tag].search(page, at)
+            if close:
+                at = min(end, find(">", close.end()) + 1)
+            elif tag in ("script", "style"):
+                at = end
+            else:
+                never.add(tag)
+        out.append((start, at, tag, closing, attributes))
+    return out
+
+
+def _skips(tags: list[tuple]) -> dict[int, int]:
+    """For each start tag of a skipped element that is closed, the number of its end tag; nested ones are paired."""
+    open_: dict[str, list[int]] = {}
+    out = {}
+    for k, (_, _, tag, closing, attributes) in enumerate(tags):
+        if tag in SKIPPED:
+            if not closing and not attributes.endswith("/"):
+                open_.setdefault(tag, []).append(k)
+            elif closing and open_.get(tag):
+                out[open_[tag].pop()] = k
+    return out
 
 
 def blocks(page: str) -> list[Block]:
-    """Non-empty blocks in page order. Character references are decoded, white space is one space, ends are trimmed."""
+    """Non-empty blocks in page order. Character references are decoded, white space is one space, ends are trimmed.
+
+    Text inside skipped elements, options, scripts, styles, comments and titles is no text. An element that is never
+    closed ends with the page, but hides nothing; only an open comment, script or style swallows the rest, as in
+    browsers.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[tuple] = [((), (), "-", "", 0)]  # (path, names, nearest meaning, tag, open links before)
+    places: dict[str, list[int]] = {}  # tag -> where it is open
     parts: list[str] = []
-    link = at = 0
-    end = len(page)
+    link = links = at = 0
+    muted = False
 
     def flush() -> None:
         nonlocal link
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack if t not in INLINE), tuple(n for _, names in stack for n in names), link, _nearest(stack)))
+                path, names, near, _, _ = stack[-1]
+                out.append(Block(text, path, names, link, near))
             parts.clear()
         link = 0
 
     def pop_to(i: int) -> None:
-        del stack[i:]
-
-    while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            run = page[at:stop]
-            parts.append(run)
-            if any(t == "a" for t, _ in stack):
-                link += len(run)
-        if not m:
+        nonlocal links
+        links = stack[i][4]
+        while len(stack) > i:
+            places[stack.pop()[3]].pop()
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
+
+    tags = _tags(page)
+    skips = _skips(tags)
+    k = 0
+    while k <= len(tags):
+        start = tags[k][0] if k < len(tags) else len(page)
+        if start > at and not muted:
+            parts.append(page[at:start])
+            link += (start - at) * bool(links)
+        if k == len(tags):
             break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag == "br":
-            parts.append(" ")
+        _, at, tag, closing, attributes = tags[k]
+        if k in skips:
+            k = skips[k]
+            at = tags[k][1]
+        k += 1
+        if not tag:
             continue
+        muted = tag in ("option", "optgroup") and not closing
         if tag in INLINE:
-            if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            elif tag not in VOID:
-                stack.append((tag, ()))
+            if tag == "br":
+                parts.append(" ")
+            elif tag == "a":
+                links = max(stack[-1][4], links - 1) if closing else links + 1
             continue
-        if tag in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else (at if tag == "head" else end)
+        if tag in RAW or tag in SKIPPED or tag in ("option", "optgroup"):
             if tag == "head":
                 flush()
             else:
@@ -96,27 +163,17 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
+            if last(tag):
+                pop_to(last(tag))
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        if tag in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if stack[i][0] in SIBLINGS[tag]:
-                    break
-        names = tuple(dict.fromkeys(x for g in _NAMES.findall(m[3]) for x in _TOKEN.findall("".join(g).lower()))) if m[3] else ()
-        stack.append((tag, names))
+        if tag in CLOSES_P and stack[-1][3] == "p":
+            pop_to(len(stack) - 1)
+        if tag in SIBLINGS and last(tag) > max(map(last, SIBLINGS[tag])):
+            pop_to(last(tag))
+        names = tuple(dict.fromkeys(x for g in _NAMES.findall(attributes) for x in _TOKEN.findall("".join(g).lower()))) if attributes else ()
+        path, above, near, _, _ = stack[-1]
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(((*path, tag)[-LEVELS:], (*above, *names)[-LEVELS:], names[0] if names else tag if tag in SECTIONS else near, tag, links))
     flush()
     return out
 

@@ -33,6 +33,29 @@ class Crf:
         return out[::-1]
 
 
+def gradient(crf: Crf, blocks: list[list[int]], labels: list[int]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(log likelihood of a page's labels, features in use, its gradient by their weights, by the steps)."""
+    node, n = crf.scores(blocks), len(blocks)
+    ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
+    ahead[0] = node[0]
+    for t in range(1, n):
+        ahead[t] = node[t] + np.logaddexp(ahead[t - 1, 0] + crf.steps[0], ahead[t - 1, 1] + crf.steps[1])
+    for t in range(n - 2, -1, -1):
+        behind[t] = np.logaddexp(crf.steps[:, 0] + node[t + 1, 0] + behind[t + 1, 0], crf.steps[:, 1] + node[t + 1, 1] + behind[t + 1, 1])
+    whole = np.logaddexp(*ahead[-1])
+    prob = np.exp(ahead + behind - whole)
+    y = np.asarray(labels)
+    of_steps = np.zeros((2, 2))
+    np.add.at(of_steps, (y[:-1], y[1:]), 1.0)
+    value = float(node[np.arange(n), y].sum() + (crf.steps * of_steps).sum() - whole)
+    if n > 1:
+        of_steps -= np.exp(ahead[:-1, :, None] + crf.steps + (node + behind)[1:, None, :] - whole).sum(axis=0)
+    used, where = np.unique(np.concatenate([np.asarray(b) for b in blocks]), return_inverse=True)
+    of_weights = np.zeros((len(used), 2))
+    np.add.at(of_weights, where, (np.eye(2)[y] - prob)[np.repeat(np.arange(n), [len(b) for b in blocks])])
+    return value, used, of_weights, of_steps
+
+
 def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 10, rate: float = 0.3, l2: float = 1e-4, seed: int = 3) -> Crf:
     """Maximise the regularised conditional likelihood by Adagrad over pages of (features per block, labels)."""
     names: dict[str, int] = {}
@@ -42,27 +65,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 10, rate
     rng = np.random.Generator(np.random.PCG64(seed))
     for _ in range(epochs):
         for p in rng.permutation(len(coded)):
-            blocks, labels = coded[p]
-            node, n = crf.scores(blocks), len(blocks)
-            ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
-            ahead[0] = node[0]
-            for t in range(1, n):
-                ahead[t] = node[t] + np.logaddexp(ahead[t - 1, 0] + crf.steps[0], ahead[t - 1, 1] + crf.steps[1])
-            for t in range(n - 2, -1, -1):
-                behind[t] = np.logaddexp(crf.steps[:, 0] + node[t + 1, 0] + behind[t + 1, 0], crf.steps[:, 1] + node[t + 1, 1] + behind[t + 1, 1])
-            whole = np.logaddexp(*ahead[-1])
-            prob = np.exp(ahead + behind - whole)
-            gold = np.eye(2)[labels]
-            grad_s = np.zeros((2, 2))
-            if n > 1:
-                pair = np.exp(ahead[:-1, :, None] + crf.steps + (node + behind)[1:, None, :] - whole)
-                np.add.at(grad_s, (np.array(labels[:-1]), np.array(labels[1:])), 1.0)
-                grad_s -= pair.sum(axis=0)
-            flat = np.concatenate([np.asarray(b) for b in blocks])
-            rows = np.repeat(np.arange(n), [len(b) for b in blocks])
-            used, where = np.unique(flat, return_inverse=True)
-            grad = np.zeros((len(used), 2))
-            np.add.at(grad, where, (gold - prob)[rows])
+            _, used, grad, grad_s = gradient(crf, *coded[p])
             grad -= l2 * crf.weights[used]
             seen_w[used] += grad**2
             crf.weights[used] += rate * grad / np.sqrt(seen_w[used])

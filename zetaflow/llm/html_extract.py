@@ -28,8 +28,9 @@ def default_model(pages: int = TRAIN_PAGES) -> Crf:
     for seed in range(pages):
         page, labels = labelled_page(seed)
         got = page_features(page)[1]
-        if len(got) == len(labels):
-            rows.append((got, labels))
+        if len(got) != len(labels):
+            raise ValueError(f"training page {seed} has {len(got)} blocks and {len(labels)} labels")
+        rows.append((got, labels))
     return train(rows)
 
 
@@ -42,8 +43,8 @@ def extract(pages: DataFrame, model: Crf | None = None, id_col: str = "page_id",
     """Per page: ``page_id, url, text, n_chars``.
 
     Defined cases: a null or empty page, and one without an article, give the
-    empty text; broken markup is read as far as it goes (an unclosed comment or
-    script swallows the rest); null identifiers and urls are passed on; repeated
+    empty text; broken markup is read as far as it goes: only an open comment,
+    script or style swallows the rest, as in browsers; null identifiers and urls are passed on; repeated
     rows each give a row; whole pages of any length are read; an empty table
     gives an empty result; other columns are ignored.
     """

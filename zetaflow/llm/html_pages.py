@@ -86,7 +86,8 @@ class _Writer:
                 self.block("li" if rng.random() < 0.6 else "p", f'<a href="#">{self.sentence(2, 9)}</a>' if rng.random() < 0.7 else self.prose(1, 2), 0)
         else:
             for _ in range(rng.randint(1, 2)):
-                self.block(rng.choice(["", "p", "p"]) if not self.out[-1].startswith("</") else "p", self.prose(1, 4), 0)
+                bare = self.out[-1].startswith("<") and not self.out[-1].startswith("</")  # two bare texts would be one block
+                self.block(rng.choice(["", "p", "p"]) if bare else "p", self.prose(1, 4), 0)
         self.out.append(f"</{tag}>")
 
     def article(self) -> None:

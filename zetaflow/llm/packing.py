@@ -4,8 +4,8 @@ Each document's ids are cut into full windows and a rest. The rest is routed to
 the smallest context tier that holds it. Within a tier, the gap behind a rest is
 filled with rests of shorter tiers, largest first; what no whole rest fits is
 filled by cutting one. A window that nothing is left to fill is cut at powers of
-two, which need no padding. Sequences of one tier form step groups of equal
-token counts.
+two, which need no padding. Sequences of one tier form step groups: every group but
+the last of its tier and input partition holds the same number of tokens.
 
 Every input partition is packed on its own in one pass over its rows, holding a
 bounded pool of rests; only the pool's last few rests make short windows, so the
@@ -187,13 +187,27 @@ class Packer:
                 self.sequence += not room
 
 
+def _step_group(partition: int, tier: int, nth: int, step_tokens: int) -> int:
+    """Number of the group of a tier's ``nth`` sequence, unique over partitions and tiers."""
+    return (partition << 5 | tier.bit_length()) << 32 | nth // max(1, step_tokens // tier)
+
+
 def _pack_partition(path: str, window: int, tiers, step_tokens: int, end_id: int):
     def run(batches):
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
         encode, end = _word_ids(path), np.array([end_id], dtype="<u4").tobytes()
         out: list[tuple] = []
-        emit = lambda doc, start, ids, total, seq, at, tier: out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, base + seq, at, tier, seq // max(1, step_tokens // tier)))
+        sequences: dict[int, int] = {}  # of each tier so far
+        group = 0
+
+        def emit(doc, start, ids, total, seq, at, tier):
+            nonlocal group
+            if not at:  # the pieces of a sequence follow each other
+                nth = sequences[tier] = sequences.get(tier, -1) + 1
+                group = _step_group(base >> 32, tier, nth, step_tokens)
+            out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, base + seq, at, tier, group))
+
         packer = Packer(emit, window, tiers)
 
         def flush():
@@ -226,8 +240,9 @@ def default_tokenizer() -> str:
 def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer_path: str | None = None, window: int = WINDOW, tiers=TIERS, step_tokens: int = STEP_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group``.
 
-    ``tier`` is the sequence's length, ``step_group`` numbers groups of about
-    ``step_tokens`` within an input partition.
+    ``tier`` is the sequence's length. ``step_group`` numbers groups of
+    ``step_tokens`` tokens in sequences of one tier; only the last group of a tier
+    in an input partition is smaller.
 
     Defined cases: a null or empty text is the end id alone; null identifiers and
     repeated rows are documents like others; a text of any length is packed

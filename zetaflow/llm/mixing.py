@@ -20,10 +20,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, table
+from .common import WORD, materialize, n_words, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -206,10 +206,30 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, **more) -> DataFrame:
 
     The words of a piece are joined by one space. Same defined cases as :func:`mix_counts`.
     """
+    text_col = more.get("text_col", "text")
     slots, rows = mix_plan(docs, block_words=block_words, payload=True, **more)
-    cover = pieces(rows, block_words).withColumn("words", F.expr("slice(regexp_extract_all(row.text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), int(block * %d + lo - start + 1), int(hi - lo))" % block_words))
-    hit = slots.join(cover, ["rank", "block"]).withColumn("words", F.expr("slice(words, 1, int(greatest(least(hi, take) - lo, 0)))"))
-    return hit.filter(F.size("words") > 0).select("shard", "rank", "slot", "lo", F.col("id").alias("doc_id"), F.array_join("words", " ").alias("text"))
+    piece = F.struct("shard", "slot", "lo", *_words_of_piece(block_words))
+    of = _placed(slots, rows, block_words).groupBy("rank", "bucket", "pos").agg(F.collect_list(piece).alias("pieces"))
+    out = rows.select("id", "rank", "bucket", "pos", F.col("row").getField(text_col).alias("t")).join(of, ["rank", "bucket", "pos"])
+    cut = _with_words("t", lambda words: F.transform("pieces", lambda p: F.struct(p.shard.alias("shard"), p.slot.alias("slot"), p.lo.alias("lo"), F.array_join(F.slice(words, p.first + 1, p.n), " ").alias("text"))))
+    out = out.select("id", "rank", F.explode(cut).alias("p"))
+    return out.select("p.shard", "rank", "p.slot", "p.lo", F.col("id").alias("doc_id"), "p.text")
+
+
+def _placed(slots: DataFrame, rows: DataFrame, block_words: int) -> DataFrame:
+    """Pieces of documents that a slot takes; neither words nor other columns travel with them."""
+    cover = pieces(rows.select("rank", "bucket", "pos", "size", "start"), block_words)
+    return slots.hint("merge").join(cover, ["rank", "block"]).withColumn("hi", F.least("hi", "take")).filter("hi > lo")
+
+
+def _words_of_piece(block_words: int) -> tuple[Column, Column]:
+    """(first word of a piece within its document, number of words)."""
+    return F.expr(f"int(block * {block_words}L + lo - start)").alias("first"), (F.col("hi") - F.col("lo")).cast("int").alias("n")
+
+
+def _with_words(text: str, use) -> Column:
+    """``use`` applied to the words of a text, which are split once a row however often they are used."""
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), 0)), use)[0]
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", block_words: int = BLOCK_WORDS, **more) -> DataFrame:
@@ -222,14 +242,12 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", n_chars_col: str |
     if not docs.head(1):
         return docs
     slots, rows = mix_plan(docs, text_col=text_col, block_words=block_words, payload=True, **more)
-    cover = pieces(rows.select("rank", "bucket", "pos", "size", "start"), block_words)
-    hit = slots.hint("merge").join(cover, ["rank", "block"]).withColumn("hi", F.least("hi", "take")).filter("hi > lo")
-    first = F.expr(f"int(block * {block_words}L + lo - start)")
-    spans = hit.groupBy("rank", "bucket", "pos", "epoch").agg(F.sort_array(F.collect_list(F.struct(first.alias("first"), (F.col("hi") - F.col("lo")).cast("int").alias("n")))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
+    first, n = _words_of_piece(block_words)
+    spans = _placed(slots, rows, block_words).groupBy("rank", "bucket", "pos", "epoch").agg(F.sort_array(F.collect_list(F.struct(first, n))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
     out = rows.select("rank", "bucket", "pos", "size", "row").join(spans, ["rank", "bucket", "pos"])
-    text = F.col("row").getField(text_col)
-    part = "array_join(flatten(transform(spans, s -> slice(regexp_extract_all(t, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), s.first + 1, s.n))), ' ')"
-    out = out.withColumn("t", text).withColumn("t", F.when(F.col("words") == F.col("size"), F.col("t")).otherwise(F.expr(part)))
+    out = out.withColumn("t", F.col("row").getField(text_col))
+    part = _with_words("t", lambda words: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, s.first + 1, s.n))), " "))
+    out = out.withColumn("t", F.when(F.col("words") == F.col("size"), F.col("t")).otherwise(part))
     new = {text_col: F.col("t")}
     if n_chars_col in docs.columns:
         new[n_chars_col] = F.length("t").cast(docs.schema[n_chars_col].dataType)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import table
 
@@ -169,18 +170,22 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     return fit(x[order], y[order])
 
 
-def score_texts(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a score column added by one pass over the texts."""
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """``row`` (all columns of ``docs``, whatever their names) and ``score``, by one pass over the texts."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(1)
             x = np.array([features(texts[i].as_py() or "") for i in range(batch.num_rows)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["row", "score"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
-    keep = docs.select("*", F.col(text_col).cast("string").alias("__text"))
-    schema = docs.withColumn(name, F.lit(0.0)).schema
-    return keep.mapInArrow(run, schema)
+
+def score_texts(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a score column; one of that name is replaced."""
+    return _scored(docs, model, text_col).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != name), F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, **more) -> DataFrame:
@@ -200,7 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
 def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, **more) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, that score at least ``threshold``."""
     model = train(docs, labels, text_col, **more)
-    return score_texts(docs, model, text_col, "__quality").filter(F.col("__quality") >= threshold).drop("__quality")
+    return _scored(docs, model, text_col).filter(F.col("score") >= threshold).select("row.*")
 
 
 def op2_quality(spark, sf_dir):

@@ -102,6 +102,32 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, text_col: str
     return out.select(F.col("id").alias(id_col), *zero, F.sha2(base, 256).alias("base_sha256"), base.alias("base"), F.coalesce("spans", F.lit("")).alias("spans")), ledger
 
 
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", path_col: str = "path", version_col: str = "version", rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(findings, new ledger) of a history: one row per version of a path, all of them, not only the newest.
+
+    Findings have a row per (path, version) whose content holds a secret:
+    ``path, version, blob, spans, current`` (whether it is the newest version of
+    its path) and ``paths`` (how many paths ever held that blob). A content is
+    scanned once for a rule version, however many paths and versions hold it and
+    in whichever call it came first.
+
+    Defined cases: a null text is a deletion and has no finding; repeated rows
+    count once; null paths and versions are values like others (null is the
+    oldest version); an empty history gives an empty result; other columns are
+    ignored.
+    """
+    rows = versions.select(F.col(path_col).alias("path"), F.col(version_col).alias("version"), F.col(text_col).cast("string").alias("t"))
+    ledger = update_ledger(rows.filter("t is not null"), ledger, "t", rule_version)
+    known = rows.select("path", "version", F.sha2("t", 256).alias("blob")).distinct()
+    newest = known.groupBy("path").agg(F.max(F.struct(F.col("version").isNotNull().alias("is"), "version")).alias("newest"))
+    known = known.join(newest.withColumnRenamed("path", "of"), F.col("path").eqNullSafe(F.col("of")))
+    current = F.col("version").eqNullSafe(F.col("newest.version"))
+    hits = ledger.filter((F.col("rule_version") == rule_version) & (F.col("spans") != "")).select("blob", "spans")
+    found = known.join(hits, "blob").select("path", "version", "blob", "spans", current.alias("current"))
+    holders = found.select("blob", "path").distinct().groupBy("blob").agg(F.count(F.lit(1)).alias("paths"))
+    return found.join(holders, "blob").select("path", "version", "blob", "spans", "current", "paths"), ledger
+
+
 def op4_secrets(spark, sf_dir):
     found, _ = scan_secrets(table(spark, sf_dir, "documents"))
     return found.drop("base")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import fresh, materialize, table, text_or_empty
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -413,17 +413,18 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", le
     rows one; a class without any identifier keeps one row too.
     """
     named = _named(docs, text_col, id_col, least)
-    rows = docs.select(F.col(id_col).alias("__id"), _node(text_col).alias("__node")).groupBy("__id", "__node").agg(F.count(F.lit(1)).alias("n"))
-    is_head = F.col("__id").eqNullSafe(F.col("class_id")) & (F.col("__node") == F.col("head"))
-    placed = rows.join(named, F.col("__node") == F.col("node")).select("__id", "__node", is_head.alias("__head"), "n")
-    drop = materialize(placed.filter("not __head or n > 1").drop("n"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_node(text_col) == F.col("__node"))
-    kept = docs.join(small(drop.drop("__head")), same, "left_anti")
-    repeated = drop.filter("__head").drop("__head")
+    id_, node_, row_ = fresh(docs, "of_id", "of_node", "of_row")
+    rows = docs.select(F.col(id_col).alias(id_), _node(text_col).alias(node_)).groupBy(id_, node_).agg(F.count(F.lit(1)).alias("n"))
+    is_head = F.col(id_).eqNullSafe(F.col("class_id")) & (F.col(node_) == F.col("head"))
+    placed = rows.join(named, F.col(node_) == F.col("node")).select(id_, node_, is_head.alias("is_head"), "n")
+    drop = materialize(placed.filter("not is_head or n > 1").drop("n"))
+    same = docs[id_col].eqNullSafe(F.col(id_)) & (_node(text_col) == F.col(node_))
+    kept = docs.join(small(drop.select(id_, node_)), same, "left_anti")
+    repeated = drop.filter("is_head").select(id_, node_)
     if not repeated.head(1):
         return kept
-    one = docs.join(small(repeated), same).groupBy("__id", "__node").agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias("__row"))
-    return kept.union(one.select("__row.*"))
+    one = docs.join(small(repeated), same).groupBy(id_, node_).agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias(row_))
+    return kept.union(one.select(f"{row_}.*"))
 
 
 def op3_near_dedup(spark, sf_dir):

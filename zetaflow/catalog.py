@@ -1,4 +1,4 @@
-"""All queries of the library outside ``llm`` with the SQL that checks them."""
+"""All queries of the package outside ``llm`` with the SQL that checks them."""
 
 from __future__ import annotations
 

@@ -26,15 +26,23 @@ LEGIBLE_OK, NOISY_MIN = 0.55, 0.45
 
 
 def default_tokens(text: Column) -> Column:
-    """Split at Unicode white space; keep ASCII letters and digits, lower-cased; drop what is left empty."""
-    words = F.transform(F.split(text, r"(?U)\s+"), lambda x: F.lower(F.regexp_replace(x, "[^A-Za-z0-9]", "")))
-    return F.filter(words, lambda x: x != "")
+    """Split at Unicode white space; keep ASCII letters and digits, lower-cased; drop what is left empty.
+
+    Marks are removed from the whole text at once, not word by word.
+    """
+    kept = F.lower(F.regexp_replace(text, r"(?U)[^A-Za-z0-9\s]", ""))
+    return F.array_remove(F.split(kept, r"(?U)\s+"), "")
 
 
 def core_tokens(text: Column) -> Column:
     """Split at Unicode white space; keep letters and digits of any script, lower-cased; drop tokens of one byte or none."""
-    words = F.transform(F.split(text, r"(?U)\s+"), lambda x: F.lower(F.regexp_replace(x, r"[^\p{IsAlphabetic}\p{N}]", "")))
-    return F.filter(words, lambda x: F.octet_length(x) > 1)
+    kept = F.lower(F.regexp_replace(text, r"(?U)[^\p{IsAlphabetic}\p{N}\s]", ""))
+    return F.filter(F.split(kept, r"(?U)\s+"), lambda x: F.octet_length(x) > 1)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def term_tokens(text: Column, stopwords: tuple[str, ...] = ()) -> Column:
@@ -112,7 +120,7 @@ def wiki_links(body: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words between Unicode blanks."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"(?U)\s+"), "")
 
 
 def legibility(words: Column) -> Column:
@@ -122,17 +130,29 @@ def legibility(words: Column) -> Column:
     the absence of short fragments (none left at 20 percent) and 0.10 for a mean
     length of 3 to 9.
     """
-    tokens = F.filter(F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$", ""))), lambda w: w != "")
+    trimmed = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$", "")))
+    return let(F.array_remove(trimmed, ""), _legibility)
+
+
+def _legibility(tokens: Column) -> Column:
+    """All counts in one pass over the tokens; function words are looked up in a hash set."""
     n = F.size(tokens).cast("double")
-    letters = lambda w: F.length(F.regexp_replace(w, r"[^\p{IsAlphabetic}]", ""))
-    stop = lambda w: F.array_contains(F.array(*map(F.lit, LEGIBLE_STOPWORDS)), w)
-    shaped = lambda w: (F.length(w) <= 20) & (letters(w) * 5 >= F.length(w) * 4) & F.regexp_like(w, F.lit("[aeiouy]"))
-    junk = lambda w: (F.length(w) <= 2) & ~stop(w) & (letters(w) == F.length(w))
-    share = lambda test: F.size(F.filter(tokens, test)) / n
-    mean = F.reduce(tokens, F.lit(0), lambda a, w: a + F.length(w)) / n
-    usual = F.when(mean.between(3.0, 9.0), F.lit(1.0)).when(mean < 3.0, mean / 3.0).otherwise(F.greatest(1.0 - (mean - 9.0) / 6.0, F.lit(0.0)))
-    score = 0.55 * F.least(share(stop) / 0.28, F.lit(1.0)) + 0.20 * share(shaped) + 0.15 * (1.0 - F.least(share(junk) / 0.20, F.lit(1.0))) + 0.10 * usual
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)))
+    facts = F.transform(tokens, lambda w: F.struct(F.length(w).alias("n"), F.length(F.regexp_replace(w, r"[^\p{IsAlphabetic}]", "")).alias("letters"), w.isin(*LEGIBLE_STOPWORDS).alias("stop"), F.regexp_like(w, F.lit("[aeiouy]")).alias("vowel")))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    zero = F.struct(F.lit(0).alias("stop"), F.lit(0).alias("shaped"), F.lit(0).alias("junk"), F.lit(0).alias("length"))
+    add = lambda a, w: F.struct(
+        (a.stop + one(w.stop)).alias("stop"),
+        (a.shaped + one((w.n <= 20) & (w.letters * 5 >= w.n * 4) & w.vowel)).alias("shaped"),
+        (a.junk + one((w.n <= 2) & ~w.stop & (w.letters == w.n))).alias("junk"),
+        (a.length + w.n).alias("length"),
+    )
+
+    def score(c: Column) -> Column:
+        mean = c["length"] / n
+        usual = F.when(mean.between(3.0, 9.0), F.lit(1.0)).when(mean < 3.0, mean / 3.0).otherwise(F.greatest(1.0 - (mean - 9.0) / 6.0, F.lit(0.0)))
+        return 0.55 * F.least(c["stop"] / n / 0.28, F.lit(1.0)) + 0.20 * (c["shaped"] / n) + 0.15 * (1.0 - F.least(c["junk"] / n / 0.20, F.lit(1.0))) + 0.10 * usual
+
+    return F.reduce(facts, zero, add, lambda c: F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.least(score(c), F.lit(1.0)), F.lit(0.0))))
 
 
 def windows(words: Column, size: int = 40, stride: int = 20) -> Column:

@@ -72,7 +72,7 @@ def theme_terms(tokens: DataFrame, k: int = 9, least: int = 4, least_overall: in
     totals = own.groupBy("theme").agg(F.sum("f").alias("c_total"))
     overall = tokens.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("g"))
     whole = overall.agg(F.sum("g").alias("g_total"))
-    x = own.join(overall, "term").join(F.broadcast(totals), "theme").crossJoin(F.broadcast(whole)).filter((F.col("f") >= least) & (F.col("g") >= least_overall))
+    x = own.join(overall, "term").join(totals, "theme").crossJoin(F.broadcast(whole)).filter((F.col("f") >= least) & (F.col("g") >= least_overall))
     prior = PRIOR * F.col("g") / F.col("g_total")
     odds = lambda n, total: (n + prior) / (total + PRIOR - n - prior)
     z = F.log(odds(F.col("f"), F.col("c_total")) / odds(F.col("g"), F.col("g_total"))) / F.sqrt(1.0 / (F.col("f") + prior) + 1.0 / (F.col("g") + prior))
@@ -91,7 +91,7 @@ def exemplars(members: DataFrame, centres: DataFrame, k: int = 5, group: str = "
     """The ``k`` members nearest the centre, one per document (group, id, doc, v)."""
     from ..functions.vector import dot
 
-    scored = members.join(F.broadcast(centres), group).select(group, "id", "doc", dot(F.col("v"), F.col("centre")).alias("sim"))
+    scored = members.join(centres, group).select(group, "id", "doc", dot(F.col("v"), F.col("centre")).alias("sim"))
     one = Window.partitionBy(group, "doc").orderBy(F.desc("sim"), "id")
     top = Window.partitionBy(group).orderBy(F.desc("sim"), "id")
     return scored.withColumn("n", F.row_number().over(one)).filter("n = 1").withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= k).drop("n")

@@ -60,6 +60,11 @@ def spread_cutoff(hits: DataFrame, share: float = SPREAD) -> DataFrame:
     return hits.withColumn("_floor", lo + share * (hi - lo)).filter(F.col("sim") >= F.col("_floor")).drop("_floor")
 
 
+def confidence(best, coverage, least: float = 6.0, bar: float = 0.99):
+    """'none' without a score, 'strong' for a high one that covers the query, else 'weak'."""
+    return F.when(best.isNull(), "none").when((best >= least) & (coverage >= bar), "strong").otherwise("weak")
+
+
 def page(hits: DataFrame, offset: int, size: int) -> DataFrame:
     return hits.filter((F.col("rank") >= offset) & (F.col("rank") < offset + size))
 
@@ -87,15 +92,16 @@ def max_sim(pool: DataFrame, words: DataFrame, pieces: DataFrame, queries: DataF
 
 
 def mmr(pool: DataFrame, lam: float = 0.7, depth: int = 100) -> DataFrame:
-    """Maximal marginal relevance over at most ``depth`` hits per query: (qid, doc, fused, v) -> mmr_rank.
+    """Maximal marginal relevance over the first ``depth`` hits of each query: (qid, doc, fused, v) -> mmr_rank.
 
-    Greedy and sequential within a query, so each query's bounded pool is one group.
+    Greedy and sequential within a query, so each query's bounded pool is one
+    group. Hits past the pool keep their fused order behind it.
     """
     import numpy as np
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["fused", "doc"], ascending=[False, True]).reset_index(drop=True)
-        head, tail = group[:depth], group[depth:]
+        head = group
         x = np.array(head["v"].tolist(), dtype=float).reshape(len(head), -1)
         n = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
@@ -108,12 +114,13 @@ def mmr(pool: DataFrame, lam: float = 0.7, depth: int = 100) -> DataFrame:
             order.append(pick)
             left.remove(pick)
             near = np.maximum(near, x @ x[pick])
-        out = pd.concat([head.iloc[order], tail])
+        out = head.iloc[order]
         return pd.DataFrame({"qid": out["qid"], "doc": out["doc"], "mmr_rank": np.arange(len(out), dtype=np.int64)})
 
-    first = ranked(pool).filter(F.col("rank") < 10 * depth).drop("rank")
+    all_ = ranked(pool)
     kinds = dict(pool.dtypes)
-    return first.groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, doc {kinds['doc']}, mmr_rank long")
+    first = all_.filter(F.col("rank") < depth).drop("rank").groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, doc {kinds['doc']}, mmr_rank long")
+    return first.unionByName(all_.filter(F.col("rank") >= depth).select("qid", "doc", F.col("rank").cast("long").alias("mmr_rank")))
 
 
 def blend(texts: list, images: list, slot_of) -> list:
@@ -128,6 +135,24 @@ def blend(texts: list, images: list, slot_of) -> list:
     return out + queue
 
 
+def _slot(hit: int) -> int:
+    """A spread of whole numbers that is the same in every run."""
+    return (int(hit) * 2654435761) >> 7 & 0x7FFFFFFF
+
+
+def blend_hits(texts: DataFrame, images: DataFrame) -> DataFrame:
+    """:func:`blend` for every query: (qid, hit, rank) of both lists -> qid, slot, hit. A query's page is a bounded group."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank")
+        hits = blend(group.loc[~group["image"], "hit"].tolist(), group.loc[group["image"], "hit"].tolist(), _slot)
+        return pd.DataFrame({"qid": group["qid"].iloc[0], "slot": range(len(hits)), "hit": hits})
+
+    both = texts.select("qid", "hit", "rank", F.lit(False).alias("image")).unionByName(images.select("qid", "hit", "rank", F.lit(True).alias("image")))
+    kinds = dict(both.dtypes)
+    return both.groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, slot long, hit {kinds['hit']}")
+
+
 def dedup_copies(hits: DataFrame, most: int = 2) -> DataFrame:
     """Hits (qid, rank, base, doc, page): copies of one work collapse by page, at most ``most`` hits of such a work;
     otherwise one hit per (doc, page)."""

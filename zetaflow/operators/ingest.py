@@ -81,6 +81,21 @@ def gap_bands(spans: DataFrame, key: list[str], join: float = 0.012, least: floa
     return gaps.filter((F.col("_to") - F.col("_from") >= least) & (F.col("_to") - F.col("_from") > join)).select(*key, F.col("_from").alias("y0"), F.col("_to").alias("y1"))
 
 
+def fuse_hyphens(words: DataFrame, vocabulary: DataFrame, key: list[str]) -> DataFrame:
+    """Words (key, pos, word) with those broken at a hyphen put together: fused where the vocabulary (term) has it, else
+    with the hyphen. A double hyphen, or a next word that isn't lower case, is no break."""
+    near = Window.partitionBy(*key).orderBy("pos")
+    w = words.withColumn("_next", F.lead("word").over(near)).withColumn("_prev", F.lag("word").over(near))
+    broken = lambda a, b: F.regexp_like(a, F.lit("[^-]-$")) & F.regexp_like(b, F.lit("^\\p{Ll}"))
+    w = w.filter(~F.coalesce(broken(F.col("_prev"), F.col("word")), F.lit(False)))
+    head = F.expr("substr(word, 1, length(word) - 1)")
+    w = w.withColumn("_fused", F.when(broken(F.col("word"), F.col("_next")), F.concat(head, "_next")))
+    known = vocabulary.select(F.col("term").alias("_fused"), F.lit(True).alias("_known")).distinct()
+    w = w.join(known, "_fused", "left")
+    whole = F.when(F.col("_known"), F.col("_fused")).when(F.col("_fused").isNotNull(), F.concat("word", "_next")).otherwise(F.col("word"))
+    return w.select(*key, "pos", whole.alias("word"))
+
+
 def overlap(a: str, b: str) -> Column:
     """Common area of two boxes with columns x, y, w, h under prefixes ``a`` and ``b``."""
     side = lambda p, n: F.greatest(F.least(F.col(a + p) + F.col(a + n), F.col(b + p) + F.col(b + n)) - F.greatest(F.col(a + p), F.col(b + p)), F.lit(0.0))

@@ -1,45 +1,113 @@
 """Exact nearest neighbours and what is built on them.
 
-A batch of queries is a table. Its rows are sent to the vectors in blocks of a
-checked size: small batches are broadcast, larger ones are exploded over the
-partitions of the vectors by a shuffle, so neither side has to fit a task.
+Vectors are dealt into shards of a fixed size. Queries travel to every shard and
+stream, in batches, past its vectors, which the task holds as one matrix; each
+shard gives its ``k`` best, and the best of all shards are merged. Neither pairs
+nor vectors are shuffled by query.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
 
-#: Queries up to this many go to the vectors by broadcast.
-BROADCAST_QUERIES = 4096
-SALTS = 32
+#: Vectors that a task holds, queries scored at once, tasks that a small table is spread over.
+SHARD_ROWS, BATCH, LANES = 16_384, 256, 16
 
 
 def pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every (query, vector) pair, by blocks: (qid, q, id, v)."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        return vectors.join(F.broadcast(queries), F.lit(True))
-    dealt = vectors.withColumn("_block", F.expr(f"cast(pmod(xxhash64(id), {SALTS}) as int)"))
-    asks = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(asks, "_block").drop("_block")
+    """Every (query, vector) pair: (qid, q, id, v). For reports on a stated, small set of queries."""
+    return vectors.join(F.broadcast(queries), F.lit(True))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, n, out=x.copy(), where=n > 0)
+
+
+def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of one query to all rows, each summed in the same order whatever the other rows are."""
+    if metric == "neg_dot":
+        return -(x * q).sum(axis=1)
+    if metric == "unit_cosine":
+        return 1.0 - (x * q).sum(axis=1)  # both were normalised
+    if metric == "cosine":
+        n = np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum())
+        return np.where(n > 0, 1.0 - (x * q).sum(axis=1) / np.where(n > 0, n, 1.0), 0.0)
+    if metric == "hamming":
+        return (x != q).sum(axis=1).astype(float)
+    d = np.abs(x - q)
+    return {"l1": lambda: d.sum(axis=1), "chebyshev": lambda: d.max(axis=1, initial=0.0), "l2": lambda: (d * d).sum(axis=1), "euclidean": lambda: np.sqrt((d * d).sum(axis=1))}[metric]()
+
+
+def _stream(k: int, metric: str, skip_self: bool):
+    """Rows come shard by shard, vectors first, then the queries."""
+
+    def run(batches):
+        held: list = []
+        ids = x = of = None
+        for batch in batches:
+            shards, asks = batch.column("shard").to_numpy(), batch.column("qid").is_valid().to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1]), True]) if batch.num_rows else []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if not asks[lo]:
+                    if of != shards[lo] or x is not None:
+                        held, x, of = [], None, shards[lo]
+                    held.append((part.column("id").to_pylist(), part.column("v").flatten().to_numpy(), part.num_rows))
+                    continue
+                if of != shards[lo]:
+                    continue  # a shard without vectors
+                if x is None:
+                    ids = np.array([i for h in held for i in h[0]], dtype=object)
+                    x = np.concatenate([h[1] for h in held]).reshape(len(ids), -1).astype(float)
+                    x = _unit(x) if metric == "unit_cosine" else x
+                    held = [([], x.ravel(), 0)]
+                yield from _best(part, ids, x, k, metric, skip_self)
+
+    return run
+
+
+def _best(part: pa.RecordBatch, ids: np.ndarray, x: np.ndarray, k: int, metric: str, skip_self: bool):
+    q = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1).astype(float)
+    q = _unit(q) if metric == "unit_cosine" else q
+    dim = min(q.shape[1], x.shape[1])
+    for at in range(0, part.num_rows, BATCH):
+        out: list = [[], [], []]
+        for qid, row in zip(part.column("qid")[at : at + BATCH].to_pylist(), q[at : at + BATCH, :dim], strict=True):
+            d = _distances(metric, x[:, :dim], row)
+            room = k + skip_self
+            near = np.flatnonzero(d <= np.partition(d, room - 1)[room - 1]) if len(d) > room else np.arange(len(d))
+            best = sorted((d[j], ids[j]) for j in near if not (skip_self and ids[j] == qid))[:k]
+            out[0] += [qid] * len(best)
+            out[1] += [i for _, i in best]
+            out[2] += [float(s) for s, _ in best]
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], part.schema.field("qid").type), pa.array(out[1], part.schema.field("id").type), pa.array(out[2], pa.float64())], names=["qid", "id", "dist"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "unit_cosine", allowed: DataFrame | None = None, skip_self: bool = False) -> DataFrame:
-    """``qid, id, dist, rank`` (from 0) of the ``k`` nearest; ties to the smaller id. The filter comes before the cut."""
+    """``qid, id, dist, rank`` (from 0) of the ``k`` nearest; ties to the smaller id. The filter comes before the cut.
+
+    Vectors of one table have one length; a longer query, or longer vectors, are cut to the shorter.
+    """
+    if metric not in vector.METRICS:
+        raise ValueError(f"no metric {metric}")
     if allowed is not None:
         vectors = vectors.join(allowed, "id", "left_semi")
-    if metric == "unit_cosine":  # normalise once per vector, not once per pair
-        vectors, queries = vectors.withColumn("v", vector.unit(F.col("v"))), queries.withColumn("q", vector.unit(F.col("q")))
-        dist = 1.0 - vector.dot(F.col("v"), F.col("q"))
-    else:
-        dist = vector.METRICS[metric](F.col("v"), F.col("q"))
-    scored = pairs(vectors, queries).select("qid", "id", dist.alias("dist"))
-    if skip_self:
-        scored = scored.filter("qid <> id")
+    kinds = dict(vectors.dtypes) | dict(queries.dtypes)
+    shards = max(1, -(-vectors.count() // SHARD_ROWS))
+    lanes = max(1, LANES // shards)
+    lane = lambda n, of: F.expr(f"cast(pmod(xxhash64({of}), {n}) as int)")
+    rows = vectors.select(lane(shards, "id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.col("v").cast("array<double>").alias("v"))
+    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), lane(lanes, "qid").alias("lane"), "qid", F.lit(None).cast(kinds["id"]).alias("id"), F.col("q").cast("array<double>").alias("v"))
+    dealt = rows.unionByName(asks).repartition(shards * lanes, "shard", "lane").sortWithinPartitions("shard", "lane", F.col("qid").isNotNull())
+    found = dealt.mapInArrow(_stream(k, metric, skip_self), f"qid {kinds['qid']}, id {kinds['id']}, dist double")
     w = Window.partitionBy("qid").orderBy("dist", "id")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def upsert_vectors(current: DataFrame, feed: DataFrame) -> DataFrame:

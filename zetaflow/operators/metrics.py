@@ -26,8 +26,16 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.count(F.when(F.col("x") > F.col("y"), 1)).alias("wins"), F.count(F.when(F.col("x") < F.col("y"), 1)).alias("losses"), F.count(F.when(F.col("x") == F.col("y"), 1)).alias("ties"))
 
 
+def spread(total, n: int):
+    """The same for a column of totals: an array of page numbers."""
+    if n <= 1:
+        return F.array(F.lit(1).cast("long"))
+    pages = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (1 + F.floor(i * (total - 1) / float(n - 1) + 0.5)).cast("long"))
+    return F.when(total >= 1, F.array_distinct(pages)).otherwise(F.array().cast("array<bigint>"))
+
+
 def spread_pages(n: int, total: int) -> list[int]:
     """``n`` page numbers from 1, evenly spaced, first and last included, without repeats."""
     if n <= 1 or total <= 1:
         return [1] if total >= 1 else []
-    return sorted({1 + round(i * (total - 1) / (n - 1)) for i in range(n)})
+    return sorted({1 + int(i * (total - 1) / (n - 1) + 0.5) for i in range(n)})

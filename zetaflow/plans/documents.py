@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import fusion, ingest
-from .base import load, query, r6, s6
+from .base import MILLIS, load, query, r6, s6
 from .text import SQL_WORDS, legibility_sql
 
 _CH = f"""w AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents), ch AS (SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= 200 THEN 1 ELSE ceil((len(ws)-200)/160.0)::bigint+1 END)) AS idx FROM w)"""
@@ -51,7 +51,7 @@ def c2t(spark, sf_dir):
 
 
 def files(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").filter("o_orderkey < 4000")
+    o = load(spark, sf_dir, "orders")
     base = o.select(F.concat(F.lit("f/"), "o_orderkey").alias("path"), F.col("o_orderkey").alias("inode"), F.round("o_totalprice").cast("long").alias("size"), (F.col("o_orderkey") % 1000).alias("mtime"))
     known = base.filter("inode % 4 <> 3").withColumn("state", F.when(F.col("inode") % 8 == 0, "missing").otherwise("present"))
     found = base.filter("inode % 5 <> 0")
@@ -60,7 +60,7 @@ def files(spark, sf_dir):
     return known, found
 
 
-_FILES = """base AS (SELECT 'f/' || o_orderkey AS path, o_orderkey AS inode, round(o_totalprice)::bigint AS size, o_orderkey % 1000 AS mtime FROM orders WHERE o_orderkey < 4000),
+_FILES = """base AS (SELECT 'f/' || o_orderkey AS path, o_orderkey AS inode, round(o_totalprice)::bigint AS size, o_orderkey % 1000 AS mtime FROM orders),
   known AS (SELECT *, CASE WHEN inode % 8 = 0 THEN 'missing' ELSE 'present' END AS state FROM base WHERE inode % 4 <> 3),
   found AS (SELECT path, inode, CASE WHEN inode % 11 = 2 THEN size+1 ELSE size END AS size, mtime FROM base WHERE inode % 5 <> 0
     UNION ALL SELECT 'g/' || inode, inode, size, mtime FROM base WHERE inode % 5 = 0 AND inode % 7 = 1),
@@ -77,9 +77,11 @@ def m1(spark, sf_dir):
     return ingest.reconcile(*files(spark, sf_dir))
 
 
-@query("m2_mass_deletion_guard", f"WITH {_FILES} SELECT change, count(*) AS n FROM rec, (SELECT count(*) AS lost FROM rec WHERE change = 'missing') WHERE NOT (change = 'missing' AND lost > 0.2 * 900) GROUP BY 1")
+@query("m2_mass_deletion_guard", f"WITH {_FILES} SELECT change, count(*) AS n FROM rec, (SELECT count(*) AS lost FROM rec WHERE change = 'missing') WHERE NOT (change = 'missing' AND lost > 0.2 * (SELECT count(*) FROM known WHERE state = 'present')) GROUP BY 1")
 def m2(spark, sf_dir):
-    return ingest.guard_mass_deletion(ingest.reconcile(*files(spark, sf_dir)), 900).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    known, found = files(spark, sf_dir)
+    live = known.filter("state = 'present'").count()
+    return ingest.guard_mass_deletion(ingest.reconcile(known, found), live).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m3_hash_duplicates", "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS kept FROM documents")
@@ -126,10 +128,12 @@ def m8(spark, sf_dir):
     return load(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("O", "P")).select(F.col("o_orderkey").alias("doc")).join(claimed, "doc", "left_anti")
 
 
-@query("m10_stage_times", f"SELECT user_id, {s6('sum(value)')} AS summed, {s6('greatest(sum(value), max(value)*3)')} AS total FROM events GROUP BY 1")
+@query("m10_stage_times", f"SELECT user_id, {s6('sum(value)')} AS summed, {s6('greatest(sum(value), ((max(epoch_us(ts))//1000)-(min(epoch_us(ts))//1000))::double)')} AS total FROM events GROUP BY 1")
 def m10(spark, sf_dir):
-    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("s"), F.max("value").alias("m"))
-    return e.select("user_id", r6(F.col("s")).alias("summed"), r6(F.greatest("s", F.col("m") * 3)).alias("total"))
+    """Milliseconds of all stages, and the whole: the longer of their sum and the time from the first to the last."""
+    e = load(spark, sf_dir, "events").select("user_id", "value", F.expr(MILLIS).alias("ms"))
+    e = e.groupBy("user_id").agg(F.sum("value").alias("s"), (F.max("ms") - F.min("ms")).cast("double").alias("elapsed"))
+    return e.select("user_id", r6(F.col("s")).alias("summed"), r6(F.greatest("s", "elapsed")).alias("total"))
 
 
 @query("m11_timeline", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS pos FROM events WHERE event_type = 'signup' ORDER BY pos LIMIT 100")
@@ -185,17 +189,17 @@ def c7(spark, sf_dir):
 
 
 def boxes(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    li = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     box = [(F.col("l_partkey") % 80 / 100.0).alias("x"), (F.col("l_orderkey") % 80 / 100.0).alias("y"), (F.col("l_quantity") / 200.0).alias("w"), (F.col("l_quantity") / 250.0).alias("h")]
-    rows = li.select((F.col("l_orderkey") % 500).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *box, (F.col("l_partkey") % 100 / 100.0).alias("score"), F.when(F.col("l_suppkey") % 3 == 0, "picture").otherwise("text").alias("cls"))
-    return rows.filter("id % 10 = 1"), rows.filter("id % 10 = 2")
+    rows = li.select(F.expr("l_orderkey div 8").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *box, (F.col("l_partkey") % 100 / 100.0).alias("score"), F.when(F.col("l_suppkey") % 3 == 0, "picture").otherwise("text").alias("cls"))
+    return rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0")
 
 
 @query(
     "c9_c10_layout_filter",
-    """WITH r AS (SELECT l_orderkey % 500 AS page, l_orderkey*10+l_linenumber AS id, l_partkey % 80/100.0::double AS x, l_orderkey % 80/100.0::double AS y, l_quantity/200.0::double AS w, l_quantity/250.0::double AS h,
-         l_partkey % 100/100.0::double AS score, CASE WHEN l_suppkey % 3 = 0 THEN 'picture' ELSE 'text' END AS cls FROM lineitem WHERE l_linenumber <= 2),
-       m AS (SELECT * FROM r WHERE id % 10 = 1 AND score >= 0.35::double AND cls = 'picture' AND w*h >= 0.01::double), k AS (SELECT * FROM r WHERE id % 10 = 2),
+    """WITH r AS (SELECT l_orderkey // 8 AS page, l_orderkey*10+l_linenumber AS id, l_partkey % 80/100.0::double AS x, l_orderkey % 80/100.0::double AS y, l_quantity/200.0::double AS w, l_quantity/250.0::double AS h,
+         l_partkey % 100/100.0::double AS score, CASE WHEN l_suppkey % 3 = 0 THEN 'picture' ELSE 'text' END AS cls FROM lineitem),
+       m AS (SELECT * FROM r WHERE id % 2 = 1 AND score >= 0.35::double AND cls = 'picture' AND w*h >= 0.01::double), k AS (SELECT * FROM r WHERE id % 2 = 0),
        bad AS (SELECT DISTINCT k.page, k.id FROM k JOIN m ON k.page = m.page AND greatest(least(k.x+k.w, m.x+m.w)-greatest(k.x, m.x), 0)*greatest(least(k.y+k.h, m.y+m.h)-greatest(k.y, m.y), 0) > 0.3::double*k.w*k.h)
        SELECT page, id FROM m UNION ALL SELECT page, id FROM k WHERE (page, id) NOT IN (SELECT page, id FROM bad)""",
 )
@@ -203,18 +207,19 @@ def c9(spark, sf_dir):
     return ingest.keep_regions(*boxes(spark, sf_dir), ["page"]).select("page", "id")
 
 
-_PAGES = f"pg AS (SELECT source AS doc, doc_id AS page, strlen(text) AS bytes, {s6(legibility_sql('ws'))} AS score FROM (SELECT *, {SQL_WORDS} AS ws FROM documents))"
+_SPLIT = f"dw AS (SELECT source AS doc, doc_id AS page, strlen(text) AS bytes, {SQL_WORDS} AS ws FROM documents), win AS (SELECT page, ws, unnest(range(0, CASE WHEN len(ws) <= 40 THEN 1 ELSE ceil((len(ws)-40)/20.0)::bigint+1 END)) AS i FROM dw), wv AS (SELECT page, CASE WHEN len(ws) <= 40 THEN ws ELSE ws[i*20+1:i*20+40] END AS ws FROM win), mw AS (SELECT page, min({legibility_sql('ws')}) AS low FROM wv GROUP BY 1)"
+_PAGES = f"{_SPLIT}, pg AS (SELECT doc, page, bytes, {s6(legibility_sql('ws'))} AS score, {s6('low')} AS low FROM dw JOIN mw USING (page))"
 
 
 @query(
     "c11_text_audit",
     f"""WITH {_PAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score, page) n, count(*) OVER (PARTITION BY doc) c FROM pg WHERE bytes >= 40)
-        SELECT doc, count(*) AS pages, {s6('avg(score)')} AS mean, max(score) FILTER (n = c//2+1) AS median, {s6('avg(CASE WHEN score < 0.45 THEN 1.0::double ELSE 0 END)')} AS noisy, string_agg(page::varchar, ',' ORDER BY page) FILTER (n <= 3) AS worst FROM o GROUP BY 1""",
+        SELECT doc, count(*) AS pages, {s6('avg(score)')} AS mean, max(score) FILTER (n = c//2+1) AS median, {s6('avg(CASE WHEN low < 0.45 THEN 1.0::double ELSE 0 END)')} AS noisy, string_agg(page::varchar, ',' ORDER BY page) FILTER (n <= 3) AS worst FROM o GROUP BY 1""",
 )
 def c11(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    score = r6(T.legibility(T.words_of(F.col("text"))))
-    pages = d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.octet_length("text").alias("bytes"), score.alias("score")).withColumn("min_score", F.col("score"))
+    score = T.let(T.words_of(F.col("text")), lambda w: F.struct(r6(T.legibility(w)).alias("score"), r6(T.min_window(w)).alias("min_score")))
+    pages = d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.octet_length("text").alias("bytes"), score.alias("s")).select("doc", "page", "bytes", "s.*")
     a = ingest.audit(pages, "doc")
     return a.select("doc", "pages", r6(F.col("mean")).alias("mean"), "median", r6(F.col("noisy")).alias("noisy"), "worst")
 
@@ -228,11 +233,13 @@ def c12(spark, sf_dir):
 # Sources as tables.
 
 
-@query("s10_overlay", "SELECT d.doc_id, coalesce(l.v, d.lang) AS words FROM documents d LEFT JOIN (SELECT doc_id, 'clean' || quality AS v FROM labels) l USING (doc_id)")
+@query("s10_overlay", "SELECT d.doc_id, coalesce(l.v, d.lang) AS words FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, 'clean' || quality AS v FROM labels) l USING (doc_id)")
 def s10(spark, sf_dir):
     """A sparse overlay replaces what it has."""
-    over = load(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("clean"), "quality").alias("v"))
-    return load(spark, sf_dir, "documents").select("doc_id", "lang").join(over, "doc_id", "left").select("doc_id", F.coalesce("v", "lang").alias("words"))
+    from ..sources.files import overlay
+
+    over = load(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("clean"), "quality").alias("words")).distinct()
+    return overlay(load(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("words")), over, ["doc_id"], "words")
 
 
 _MARKED = "'preamble ' || string_agg('<!-- page ' || turn || ' -->' || text, '' ORDER BY turn)"
@@ -250,9 +257,12 @@ def s11(spark, sf_dir):
 
 @query("s12_pairs", "SELECT a.conv_id, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'")
 def s12(spark, sf_dir):
+    from ..sources.files import pairs
+
     c = load(spark, sf_dir, "conversations")
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return c.filter("role = 'user'").join(b, ["conv_id", "turn"]).select("conv_id", F.col("text").alias("question"), "answer")
+    both = c.filter("role = 'user'").join(b, ["conv_id", "turn"]).select("conv_id", F.col("text").alias("query"), F.col("answer").alias("passage"))
+    return pairs(both, "conv_id")
 
 
 @query("s17_metadata_upsert", "SELECT coalesce(a.k, b.k) AS k, coalesce(b.title, a.title) AS title, coalesce(b.seen, a.seen) AS seen FROM (SELECT c_custkey k, c_name title, c_nationkey seen FROM customer) a FULL JOIN (SELECT o_custkey k, CASE WHEN max(o_orderkey) % 2 = 0 THEN max(o_orderpriority) END title, NULL::int seen FROM orders GROUP BY 1) b ON a.k = b.k")
@@ -282,10 +292,12 @@ def z2(spark, sf_dir):
     return o.join(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").join(n, "o_orderkey", "left").select("o_orderkey", "c_name", F.coalesce("n", F.lit(0)).alias("pages"))
 
 
-@query("z3_page_count", "SELECT coalesce(a.k, b.k) AS doc, greatest(coalesce(x, 0), coalesce(y, 0)) AS pages FROM (SELECT l_suppkey k, count(*) x FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) a FULL JOIN (SELECT l_suppkey k, count(*) y FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) b ON a.k = b.k")
+@query("z3_page_count", "SELECT coalesce(a.k, b.k) AS doc, greatest(coalesce(x, 0), coalesce(y, 0)) AS pages FROM (SELECT c_nationkey k, count(*) x FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey k, count(*) y FROM supplier GROUP BY 1) b ON a.k = b.k")
 def z3(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
-    return li.groupBy(F.col("l_suppkey").alias("doc")).agg(F.greatest(F.count(F.when(F.col("l_linenumber") == 1, 1)), F.count(F.when(F.col("l_linenumber") == 2, 1))).alias("pages"))
+    """Pages of a document by two counts, the text's and the scan's: the larger one."""
+    a = load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc")).agg(F.count(F.lit(1)).alias("x"))
+    b = load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("doc")).agg(F.count(F.lit(1)).alias("y"))
+    return a.join(b, "doc", "full_outer").select("doc", F.greatest(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))).alias("pages"))
 
 
 @query("z5_status_backfill", "SELECT doc_id, 'ready' AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT page_id FROM pages)")
@@ -316,30 +328,32 @@ def z7(spark, sf_dir):
 
 @query(
     "z9_call_expectations",
-    """WITH c AS (SELECT user_id, list(event_type ORDER BY event_id) AS calls FROM events WHERE event_id % 10 = 0 GROUP BY 1)
+    """WITH c AS (SELECT user_id, list(event_type ORDER BY event_id) AS calls FROM events GROUP BY 1)
        SELECT user_id, list_contains(calls, 'purchase') AS includes, NOT list_contains(calls, 'error') AS excludes,
        coalesce(list_position(calls, 'view') < list_position(calls, 'click') AND list_contains(calls, 'view') AND list_contains(calls, 'click'), false) AS ordered, len(list_distinct(calls)) = len(calls) AS once FROM c""",
 )
 def z9(spark, sf_dir):
-    e = load(spark, sf_dir, "events").filter("event_id % 10 = 0").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
+    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
     e = e.select("user_id", F.transform("x", lambda s: s.event_type).alias("c"))
     has = lambda t: F.array_contains("c", t)
     ordered = has("view") & has("click") & (F.array_position("c", "view") < F.array_position("c", "click"))
     return e.select("user_id", has("purchase").alias("includes"), (~has("error")).alias("excludes"), ordered.alias("ordered"), (F.size(F.array_distinct("c")) == F.size("c")).alias("once"))
 
 
-@query("h26_hit_dedupe", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 2")
+@query("h26_hit_dedupe", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
 def h26(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select("l_partkey", "l_suppkey").dropDuplicates()
+    return load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").dropDuplicates()
 
 
-@query("h29_collection_match", "WITH q(q) AS (VALUES ('ASIA minor'), ('AMERICA'), ('rope'), ('xx')) SELECT q, arg_max(r_name, length(r_name) * 100 + r_regionkey) AS name FROM q JOIN region ON contains(lower(q), lower(r_name)) OR contains(lower(r_name), lower(q)) GROUP BY 1")
+@query("h29_collection_match", "WITH q AS (SELECT DISTINCT p_type || ' ' || p_brand AS q FROM part), n AS (SELECT n_name AS name, n_nationkey AS k FROM nation UNION ALL SELECT DISTINCT p_type, 100 FROM part) SELECT q, arg_max(name, (CASE WHEN lower(q) = lower(name) THEN 1 ELSE 0 END, length(name), k, name)) AS name FROM q JOIN n ON contains(lower(q), lower(name)) OR contains(lower(name), lower(q)) GROUP BY 1")
 def h29(spark, sf_dir):
-    """The longest name that overlaps the asked one; the last of equals. Names are a short list."""
-    q = spark.createDataFrame([(x,) for x in ("ASIA minor", "AMERICA", "rope", "xx")], "q string")
-    r = load(spark, sf_dir, "region")
-    hit = r.join(F.broadcast(q), F.contains(F.lower("q"), F.lower("r_name")) | F.contains(F.lower("r_name"), F.lower("q")))
-    return hit.groupBy("q").agg(F.max_by("r_name", F.struct(F.length("r_name"), "r_regionkey")).alias("name"))
+    """The collection someone asks for: the same name, else the longest that overlaps, the last of equals. Collections are a short list."""
+    p = load(spark, sf_dir, "part")
+    q = p.select(F.concat_ws(" ", "p_type", "p_brand").alias("q")).distinct()
+    names = load(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k")).unionByName(p.select(F.col("p_type").alias("name"), F.lit(100).alias("k")).distinct())
+    hit = q.join(F.broadcast(names), F.contains(F.lower("q"), F.lower("name")) | F.contains(F.lower("name"), F.lower("q")))
+    same = (F.lower("q") == F.lower("name")).cast("int")
+    return hit.groupBy("q").agg(F.max_by("name", F.struct(same, F.length("name"), "k", "name")).alias("name"))
 
 
 @query("h30_read_pages", "SELECT doc_id, CASE WHEN strlen(text) < 40 THEN 'blank' ELSE 'ok' END AS state, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 2")
@@ -351,20 +365,22 @@ def h30(spark, sf_dir):
 
 @query("h23_blend")
 def h23(spark, sf_dir):
-    """Image hits dealt into a page of text hits; a page is a bounded list."""
-    texts = [r.doc_id for r in load(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").limit(40).collect()]
-    images = [-r.page_id - 1 for r in load(spark, sf_dir, "pages").select("page_id").orderBy("page_id").limit(10).collect()]
-    return spark.createDataFrame(list(enumerate(fusion.blend(texts, images, lambda x: x * 2654435761))), "slot long, hit long")
+    """Image hits dealt into the page of text hits of every item: 100 texts and 30 images a page at most."""
+    from . import vectors
+
+    texts = vectors.bm25.best(vectors.lexical(spark, sf_dir), 100).select("qid", F.col("doc").alias("hit"), "rank")
+    images = vectors.semantic(spark, sf_dir).filter("rank < 30").select("qid", (-F.col("id") - 1).alias("hit"), "rank")
+    return fusion.blend_hits(texts, images)
 
 
 @query(
     "h24_shaped_hits",
-    f"""WITH d AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents WHERE doc_id % 20 = 0), p AS (SELECT *, list_position(list_transform(ws, lambda w: starts_with(lower(w), 'th')), true) AS first FROM d)
+    f"""WITH d AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents), p AS (SELECT *, list_position(list_transform(ws, lambda w: starts_with(lower(w), 'th')), true) AS first FROM d)
         SELECT doc_id, coalesce(first, 0)::bigint AS first, array_to_string(ws[greatest(coalesce(first, 1)-12, 1):coalesce(first, 1)+17], ' ') AS snippet FROM p""",
 )
 def h24(spark, sf_dir):
     """The first matching word and the words around it."""
-    d = load(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select("doc_id", T.words_of(F.col("text")).alias("ws"))
+    d = load(spark, sf_dir, "documents").select("doc_id", T.words_of(F.col("text")).alias("ws"))
     first = F.array_position(F.transform("ws", lambda w: F.startswith(F.lower(w), F.lit("th"))), True)
     d = d.withColumn("first", first.cast("long"))
     at = F.greatest(F.col("first"), F.lit(1))
@@ -372,8 +388,10 @@ def h24(spark, sf_dir):
     return d.select("doc_id", "first", F.array_join(F.slice("ws", lo, (at + 18 - lo).cast("int")), " ").alias("snippet"))
 
 
-@query("q9_spread_pages", "SELECT * FROM (VALUES (1::bigint), (6::bigint), (11::bigint), (15::bigint), (20::bigint)) t(page)")
+@query("q9_spread_pages", "WITH n AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1) SELECT DISTINCT source, (1 + floor(i * (pages - 1) / 4.0::double + 0.5::double))::bigint AS page FROM n, (SELECT unnest(range(0, 5)) AS i)")
 def q9(spark, sf_dir):
-    from ..operators.metrics import spread_pages
+    """Five pages of every work, evenly spaced, the first and the last among them."""
+    from ..operators.metrics import spread
 
-    return spark.createDataFrame([(p,) for p in spread_pages(5, 20)], "page long")
+    n = load(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
+    return n.select("source", F.explode(spread(F.col("pages"), 5)).alias("page"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25
+from ..operators import bm25, fusion, ingest
 from .base import load, query, r6, s6
 
 _TOK = "list_filter(list_transform(regexp_split_to_array({}, '\\s+'), lambda x: lower(regexp_replace(x,'[^A-Za-z0-9]','','g'))), lambda x: x <> '')"
@@ -132,9 +132,9 @@ def x13(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.squash(F.col("text"))).alias("digest"))
 
 
-@query("x11_punctuation", "SELECT item_id, array_to_string(list_slice(regexp_extract_all(text, '[!-/:-@\\[-`{-~]|[^\\s!-/:-@\\[-`{-~]+'), 1, 30), '|') AS tokens FROM benchmark")
+@query("x11_punctuation", "SELECT item_id, array_to_string(regexp_extract_all(text, '[!-/:-@\\[-`{-~]|[^\\s!-/:-@\\[-`{-~]+'), '|') AS tokens FROM benchmark")
 def x11(spark, sf_dir):
-    return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(T.punctuation_tokens(F.col("text")), 1, 30), "|").alias("tokens"))
+    return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.punctuation_tokens(F.col("text")), "|").alias("tokens"))
 
 
 TERMS = f"terms AS (SELECT term, count(*) AS freq FROM (SELECT unnest({TOK}) term FROM documents) GROUP BY 1)"
@@ -236,9 +236,9 @@ def x16(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", T.legible_excerpt(T.words_of(F.col("text"))).alias("excerpt"))
 
 
-@query("x17_truncate_bytes", "SELECT event_id, CASE WHEN strlen(event_type) <= 4 THEN event_type ELSE left(event_type, 4) || '…' END AS t FROM events")
+@query("x17_truncate_bytes", "SELECT doc_id, CASE WHEN strlen(text) <= 37 THEN text ELSE left(text, list_max(list_filter(range(0, 38), lambda n: strlen(left(text, n)) <= 37))) || '…' END AS t FROM documents")
 def x17(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", T.truncate_bytes(F.col("event_type"), 4).alias("t"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.truncate_bytes(F.col("text"), 37).alias("t"))
 
 
 @query("x18_snippet", "SELECT item_id, CASE WHEN length(text) <= 60 THEN text ELSE CASE WHEN contains(left(text,60), ' ') THEN regexp_replace(left(text,60), ' [^ ]*$', '') ELSE left(text,60) END || '…' END AS t FROM benchmark")
@@ -305,28 +305,32 @@ def x34(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.wiki_links(body), ",").alias("links"))
 
 
-@query(
-    "x30_query_coverage",
-    f"""WITH q AS (SELECT item_id % 20 AS qid, unnest(list_slice({TOK}, 1, 6)) term FROM benchmark WHERE item_id < 20),
-        c AS (SELECT DISTINCT qid, term FROM q WHERE length(term) >= 3), d AS (SELECT doc_id, {TOK} ts FROM documents WHERE doc_id % 40 = 0),
-        h AS (SELECT qid, doc_id, count(*) FILTER (len(list_filter(ts, lambda t: starts_with(t, term))) > 0)::double / count(*) cov FROM c, d GROUP BY 1, 2)
-        SELECT qid, {s6("max(cov)")} AS coverage FROM h GROUP BY 1""",
-)
+def content_terms(spark, sf_dir):
+    """The words of three letters or more of every benchmark item."""
+    b = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.default_tokens(F.col("text"))).alias("term"))
+    return b.filter(F.length("term") >= 3).distinct()
+
+
+@query("x30_query_coverage")
 def x30(spark, sf_dir):
-    """Best share of a query's content words that begin a word of one hit."""
-    b = load(spark, sf_dir, "benchmark").filter("item_id < 20")
-    c = b.select((F.col("item_id") % 20).alias("qid"), F.explode(F.slice(T.default_tokens(F.col("text")), 1, 6)).alias("term")).filter(F.length("term") >= 3).distinct()
-    q = c.groupBy("qid").agg(F.collect_list("term").alias("terms"))
-    d = load(spark, sf_dir, "documents").filter("doc_id % 40 = 0").select(T.default_tokens(F.col("text")).alias("ts"))
-    hit = F.filter("terms", lambda t: F.exists("ts", lambda x: F.startswith(x, t)))
-    return d.join(F.broadcast(q), F.lit(True)).groupBy("qid").agg(r6(F.max(F.size(hit) / F.size("terms"))).alias("coverage"))
+    """Best share of an item's content words that begin a word of one document, over all documents."""
+    found = bm25.coverage(index(spark, sf_dir), content_terms(spark, sf_dir))
+    return found.groupBy("qid").agg(r6(F.max("coverage")).alias("coverage"))
 
 
-@query("x31_confidence", "SELECT event_id, CASE WHEN value IS NULL THEN 'none' WHEN value >= 6 AND (user_id % 100)/100.0 >= 0.5 THEN 'strong' ELSE 'weak' END AS confidence FROM events")
+@query("j12_prefix", f"WITH {TERMS}, q AS (SELECT DISTINCT left(n_name, 3) AS p FROM nation), l AS (SELECT DISTINCT lower(p) AS p FROM q UNION SELECT 'tha' UNION SELECT 'ron') SELECT p AS prefix, count(*) AS terms, sum(freq)::bigint AS uses FROM l JOIN terms ON starts_with(term, p) GROUP BY 1")
+def j12(spark, sf_dir):
+    """A prefix join as an equi-join on prefixes of the lengths that are asked."""
+    asked = load(spark, sf_dir, "nation").select(F.lower(F.left("n_name", F.lit(3))).alias("prefix"))
+    asked = asked.union(spark.createDataFrame([("tha",), ("ron",)], "prefix string")).distinct()
+    hit = bm25.prefix_matches(terms(spark, sf_dir), asked)
+    return hit.groupBy("prefix").agg(F.count(F.lit(1)).alias("terms"), F.sum("freq").alias("uses"))
+
+
+@query("x31_confidence", "SELECT event_id, CASE WHEN value IS NULL THEN 'none' WHEN value >= 6 AND (user_id % 100)/99.0::double >= 0.99::double THEN 'strong' ELSE 'weak' END AS confidence FROM events")
 def x31(spark, sf_dir):
-    best = F.col("value")
-    strong = (best >= 6.0) & (F.col("user_id") % 100 / 100.0 >= 0.5)
-    return load(spark, sf_dir, "events").select("event_id", F.when(best.isNull(), "none").when(strong, "strong").otherwise("weak").alias("confidence"))
+    e = load(spark, sf_dir, "events")
+    return e.select("event_id", fusion.confidence(F.col("value"), F.col("user_id") % 100 / 99.0).alias("confidence"))
 
 
 @query("s9_content_hash", "SELECT md5(text) AS hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -334,10 +338,18 @@ def s9(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy(F.md5("text").alias("hash")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query("x29_hyphen_fusion", "SELECT n_nationkey, CASE WHEN n_name || r_name IN (SELECT n_name || r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0) THEN n_name || r_name ELSE n_name || '-' || r_name END AS word FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(
+    "x29_hyphen_fusion",
+    f"""WITH {TERMS}, l AS (SELECT item_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM (SELECT item_id, {SQL_WORDS} AS ws FROM benchmark)),
+        h AS (SELECT item_id, pos*2-1 AS pos, left(w, 4) || '-' AS word, substr(w, 5) AS next FROM l WHERE length(w) >= 8 AND regexp_full_match(w, '[a-z]+')),
+        r AS (SELECT item_id, pos, CASE WHEN replace(word, '-', '') || next IN (SELECT term FROM terms WHERE freq > 20) THEN replace(word, '-', '') || next ELSE word || next END AS word FROM h)
+        SELECT item_id, count(*) AS n, md5(string_agg(word, ' ' ORDER BY pos)) AS digest FROM r GROUP BY 1""",
+)
 def x29(spark, sf_dir):
-    """Fuse a word broken at a hyphen where the fused word is known, else keep the hyphen."""
-    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    parts = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name", F.concat("n_name", "r_name").alias("fused"))
-    vocab = parts.filter("n_nationkey % 2 = 0").select("fused", F.lit(True).alias("known")).distinct()
-    return parts.join(vocab, "fused", "left").select("n_nationkey", F.when(F.col("known"), F.col("fused")).otherwise(F.concat_ws("-", "n_name", "r_name")).alias("word"))
+    """Long words broken after four letters, as at the end of a line, and put together again where the vocabulary knows them."""
+    w = load(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.words_of(F.col("text"))).alias("pos", "w")).filter("length(w) >= 8 and w rlike '^[a-z]+$'")
+    halves = F.array(F.struct((F.col("pos") * 2).alias("pos"), F.concat(F.left("w", F.lit(4)), F.lit("-")).alias("word")), F.struct((F.col("pos") * 2 + 1).alias("pos"), F.expr("substr(w, 5)").alias("word")))
+    lines = w.select("item_id", F.explode(halves).alias("h")).select("item_id", "h.*")
+    known = terms(spark, sf_dir).filter("freq > 20").select("term")
+    fused = ingest.fuse_hyphens(lines, known, ["item_id"])
+    return fused.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s.word), " ")).alias("digest"))

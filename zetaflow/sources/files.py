@@ -49,8 +49,13 @@ def page_words(spark: SparkSession, raw: str, clean: str | None = None) -> DataF
     rows = spark.read.schema(PAGE_SCHEMA).json(raw)
     if clean is None:
         return rows
-    over = spark.read.schema(PAGE_SCHEMA).json(clean).select("doc", "page", F.col("words").alias("_clean"))
-    return rows.join(over, ["doc", "page"], "left").select("doc", "page", F.coalesce("_clean", "words").alias("words"))
+    return overlay(rows, spark.read.schema(PAGE_SCHEMA).json(clean), ["doc", "page"], "words")
+
+
+def overlay(rows: DataFrame, over: DataFrame, key: list[str], value: str) -> DataFrame:
+    """``rows`` with the value of a sparse copy where that has the key."""
+    over = over.select(*key, F.col(value).alias("_over"))
+    return rows.join(over, key, "left").select(*key, F.coalesce("_over", value).alias(value))
 
 
 def marked_pages(docs: DataFrame, text_col: str) -> DataFrame:
@@ -61,11 +66,11 @@ def marked_pages(docs: DataFrame, text_col: str) -> DataFrame:
     return out.select(*rest, F.regexp_extract("_part", "^([0-9]+) -->", 1).cast("long").alias("page"), F.regexp_replace("_part", "^[0-9]+ -->", "").alias("text"))
 
 
-def pairs(frame: DataFrame) -> DataFrame:
-    """Question and answer columns under any of their usual names."""
+def pairs(frame: DataFrame, *keep: str) -> DataFrame:
+    """Question and answer columns under any of their usual names, behind the columns to keep."""
     have = set(frame.columns)
     pick = lambda names: F.coalesce(*(F.col(n) for n in names if n in have))
-    return frame.select(pick(["question", "query", "sentence1", "anchor"]).alias("question"), pick(["answer", "passage", "sentence2", "positive"]).alias("answer"))
+    return frame.select(*keep, pick(["question", "query", "sentence1", "anchor"]).alias("question"), pick(["answer", "passage", "sentence2", "positive"]).alias("answer"))
 
 
 def _vectors(code: str):
@@ -97,19 +102,28 @@ def ivecs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sidecar(frame: DataFrame, path: str) -> None:
-    """JSON, complete or not there: written beside and renamed."""
+    """JSON, complete or as it was: written beside, then renamed; the old one goes last."""
     spark = frame.sparkSession
     jvm = spark.sparkContext._jvm
     target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = jvm.org.apache.hadoop.fs.Path(path + ".old")
     frame.write.mode("overwrite").json(path + ".tmp")
-    fs.delete(target, True)
+    fs.delete(old, True)
+    if fs.exists(target):
+        fs.rename(target, old)
     if not fs.rename(temp, target):
+        fs.rename(old, target)
         raise OSError(f"cannot publish {path}")
+    fs.delete(old, True)
 
 
 def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """The sidecar, or None if it isn't there or isn't JSON of that schema."""
+    """The sidecar, or None if it isn't there or isn't JSON of that schema; after a crash between renames, the old one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at(path)) and fs.exists(at(path + ".old")):
+        path += ".old"
     try:
         rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
         bad = rows.filter("_corrupt is not null").head(1)

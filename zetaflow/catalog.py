@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import algebra, base, documents, text, vectors  # noqa: F401
+from .plans import algebra, base, documents, retrieval, text, vectors  # noqa: F401
 
 
 def entry(spark, sf_dir):

@@ -40,6 +40,27 @@ def core_tokens(text: Column) -> Column:
     return F.filter(F.split(kept, r"(?U)\s+"), lambda x: F.octet_length(x) > 1)
 
 
+def lex_tokens(text: Column) -> Column:
+    """The tokens a full-text index sees: those of :func:`core_tokens`, by joining and splitting at NUL."""
+    return F.array_remove(F.split(F.array_join(core_tokens(text), "\x00"), "\x00"), "")
+
+
+def byte_levenshtein(a: Column, b: Column) -> Column:
+    """Edit distance of the UTF-8 bytes: each byte stands for a character of its own."""
+    as_bytes = lambda x: F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+    return F.levenshtein(as_bytes(a), as_bytes(b))
+
+
+def utf16_length(text: Column) -> Column:
+    """UTF-16 code units of a text."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
+
+
+def round5(x: Column) -> Column:
+    """Five decimals, half up."""
+    return F.floor(x * 1e5 + 0.5) / 1e5
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once a row, however often it is used."""
     return F.transform(F.array(value), use)[0]

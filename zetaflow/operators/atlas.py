@@ -110,6 +110,38 @@ def trail(seed: int, near: dict[int, list[tuple[int, float]]], base: dict[int, s
     return out if len(out) >= 3 else []
 
 
+def trails(neighbours: DataFrame, base: DataFrame, themes: DataFrame, seeds: DataFrame, steps: int = 7, repeat: float = 0.995) -> DataFrame:
+    """``theme, step, node``: :func:`trail` for all themes at once, a join per step on one node of each theme.
+
+    ``neighbours`` (qid, id, dist, rank), ``base`` (id, base: the work a chunk is
+    of), ``themes`` (id, theme), ``seeds`` (theme, node).
+    """
+    works = base.select(F.col("id").alias("node"), "base")
+    near = neighbours.select(F.col("qid").alias("from"), F.col("id").alias("node"), "dist", "rank").filter(F.lit(1.0) - F.col("dist") < repeat).join(works, "node")
+    near = near.join(themes.select(F.col("id").alias("node"), F.col("theme").alias("of")), "node", "left")
+    at = seeds.join(works, "node").select("theme", "node", F.array("node").alias("nodes"), F.array("base").alias("seen"))
+    for _ in range(steps - 1):  # each step names the one before once, so the plan grows by one join
+        fits = (F.col("node") == F.col("from")) & ~F.array_contains("seen", F.col("base"))
+        order = Window.partitionBy("theme").orderBy(F.col("to").isNull(), F.coalesce(F.col("of") == F.col("theme"), F.lit(False)).desc(), "rank")
+        went = at.join(near.withColumnRenamed("node", "to"), fits, "left").withColumn("n", F.row_number().over(order)).filter("n = 1")
+        grow = lambda c, new: F.when(F.col("to").isNull(), F.col(c)).otherwise(F.array_append(c, F.col(new))).alias(c)
+        at = went.select("theme", F.col("to").alias("node"), grow("nodes", "to"), grow("seen", "base"))
+    return at.filter(F.size("nodes") >= 3).select("theme", F.posexplode("nodes").alias("step", "node"))
+
+
+def fit_view(points: DataFrame) -> DataFrame:
+    """Points (id, x, y) scaled to the unit square; an axis without extent lies in the middle."""
+    box = points.agg(*(f(c).alias(f"_{n}{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    scale = lambda c: F.when(F.col(f"_hi{c}") > F.col(f"_lo{c}"), (F.col(c) - F.col(f"_lo{c}")) / (F.col(f"_hi{c}") - F.col(f"_lo{c}"))).otherwise(F.lit(0.5))
+    return points.crossJoin(F.broadcast(box)).select("id", scale("x").alias("x"), scale("y").alias("y"))
+
+
+def hit_test(points: DataFrame, x: float, y: float, reach: float) -> DataFrame:
+    """The point nearest to a place within reach, the smaller identifier of equals; no row if there is none."""
+    d = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+    return points.withColumn("d", d).filter(F.col("d") <= reach * reach).orderBy("d", "id").limit(1)
+
+
 def principal_axes(vectors: DataFrame, dim: int, k: int = 2, iterations: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """(mean, k axes) by power iteration on the covariance, which is added up by the executors; dim^2 numbers reach the driver."""
 

@@ -153,6 +153,22 @@ def blend_hits(texts: DataFrame, images: DataFrame) -> DataFrame:
     return both.groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, slot long, hit {kinds['hit']}")
 
 
+def group_images(hits: DataFrame, pad: float = 0.015) -> DataFrame:
+    """Image hits (qid, doc, page, id, rank, sim, x, y, w, h) per page: the first rank, the best similarity, all boxes in
+    rank order and the padded box around them."""
+    far = lambda a, n: F.least(F.max(F.col(a) + F.col(n)) + pad, F.lit(1.0))
+    near = lambda a: F.greatest(F.min(a) - pad, F.lit(0.0))
+    places = F.array_sort(F.collect_list(F.struct("rank", "id", "x", "y", "w", "h")))
+    return hits.groupBy("qid", "doc", "page").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("boxes"), F.max("sim").alias("best"), places.alias("places"), near("x").alias("x0"), near("y").alias("y0"), far("x", "w").alias("x1"), far("y", "h").alias("y1"))
+
+
+def decorate(hits: DataFrame, cards: DataFrame) -> DataFrame:
+    """Hits (doc, ...) on reserved documents, ``~card/<id>``, with the title of their card (id, title); null elsewhere."""
+    own = F.regexp_extract("doc", "^~card/(.*)$", 1)
+    titles = cards.select(F.concat(F.lit("~card/"), "id").alias("_of"), "title")
+    return hits.join(titles, F.when(own != "", F.col("doc")) == F.col("_of"), "left").drop("_of")
+
+
 def dedup_copies(hits: DataFrame, most: int = 2) -> DataFrame:
     """Hits (qid, rank, base, doc, page): copies of one work collapse by page, at most ``most`` hits of such a work;
     otherwise one hit per (doc, page)."""

@@ -26,6 +26,35 @@ def commit_chunks(current: DataFrame, incoming: DataFrame, owner: str, key: list
     return kept.unionByName(incoming), counts
 
 
+def commit_figures(current: DataFrame, incoming: DataFrame, pages: DataFrame, owner: str, page: str) -> DataFrame:
+    """The figures after a commit: an owner's old ones go where the incoming ones cover all its pages (owner, page); a
+    partial set is refused and changes nothing."""
+    of = pages.select(owner, page).distinct().groupBy(owner).agg(F.count(F.lit(1)).alias("_of"))
+    have = incoming.select(owner, page).distinct().join(pages.select(owner, page).distinct(), [owner, page], "left_semi").groupBy(owner).agg(F.count(F.lit(1)).alias("_n"))
+    whole = of.join(have, owner).filter("_n = _of").select(owner)
+    return current.join(whole, owner, "left_anti").unionByName(incoming.join(whole, owner, "left_semi"))
+
+
+def reshelve(files: DataFrame, root: str) -> DataFrame:
+    """``doc, shelf`` of the documents that only ``root`` holds (doc, root, path): the first folder of their first path."""
+    from ..functions.text import shelf
+
+    here = files.filter(F.col("root") == root).join(files.filter(F.col("root") != root).select("doc").distinct(), "doc", "left_anti")
+    return here.groupBy("doc").agg(F.min("path").alias("path")).select("doc", shelf(F.col("path"), F.lit(root)).alias("shelf"))
+
+
+def draw_pages(pages: DataFrame, group: str, page: str, seed: str, draws: int) -> DataFrame:
+    """At most ``draws`` pages of each group in a seeded order, with the number of the draw from 1."""
+    order = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(page).cast("string"))), page)
+    return pages.withColumn("draw", F.row_number().over(order)).filter(F.col("draw") <= draws)
+
+
+def ring(log: DataFrame, new: DataFrame, newest_first: list, size: int) -> DataFrame:
+    """A log after an append: its ``size`` newest rows, numbered from 1."""
+    kept = log.unionByName(new).orderBy(*newest_first).limit(size)
+    return kept.withColumn("nth", F.row_number().over(Window.orderBy(*newest_first)))
+
+
 def reconcile(known: DataFrame, found: DataFrame | None) -> DataFrame:
     """What happened to files: (path, change, old_path).
 

@@ -98,14 +98,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "unit_
         raise ValueError(f"no metric {metric}")
     if allowed is not None:
         vectors = vectors.join(allowed, "id", "left_semi")
-    kinds = dict(vectors.dtypes) | dict(queries.dtypes)
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    lanes = max(1, LANES // shards)
-    lane = lambda n, of: F.expr(f"cast(pmod(xxhash64({of}), {n}) as int)")
-    rows = vectors.select(lane(shards, "id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.col("v").cast("array<double>").alias("v"))
-    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), lane(lanes, "qid").alias("lane"), "qid", F.lit(None).cast(kinds["id"]).alias("id"), F.col("q").cast("array<double>").alias("v"))
-    dealt = rows.unionByName(asks).repartition(shards * lanes, "shard", "lane").sortWithinPartitions("shard", "lane", F.col("qid").isNotNull())
-    found = dealt.mapInArrow(_stream(k, metric, skip_self), f"qid {kinds['qid']}, id {kinds['id']}, dist double")
+    rows = vectors.select(F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)").alias("shard"), "id", "v")
+    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "qid", "q")
+    return merge(rows, asks, k, metric, skip_self, max(1, LANES // shards), shards)
+
+
+def merge(rows: DataFrame, asks: DataFrame, k: int, metric: str, skip_self: bool, lanes: int, shards: int | None = None) -> DataFrame:
+    """The ``k`` nearest of each query (shard, qid, q) among the vectors (shard, id, v) of the shards it is sent to.
+
+    A shard's vectors go to ``lanes`` tasks that share its queries; a shard fits a task.
+    """
+    kinds = dict(rows.dtypes) | dict(asks.dtypes)
+    lane = F.expr(f"cast(pmod(xxhash64(qid), {lanes}) as int)").alias("lane")
+    held = rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.col("v").cast("array<double>").alias("v"))
+    sent = asks.select("shard", lane, "qid", F.lit(None).cast(kinds["id"]).alias("id"), F.col("q").cast("array<double>").alias("v"))
+    both = held.unionByName(sent)
+    dealt = both.repartition(shards * lanes, "shard", "lane") if shards else both.repartition("shard", "lane")
+    found = dealt.sortWithinPartitions("shard", "lane", F.col("qid").isNotNull()).mapInArrow(_stream(k, metric, skip_self), f"qid {kinds['qid']}, id {kinds['id']}, dist double")
     w = Window.partitionBy("qid").orderBy("dist", "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +42,51 @@ def spread_pages(n: int, total: int) -> list[int]:
     if n <= 1 or total <= 1:
         return [1] if total >= 1 else []
     return sorted({1 + int(i * (total - 1) / (n - 1) + 0.5) for i in range(n)})
+
+
+def longest_common_run(a: list[str], b: list[str]) -> int:
+    """Length of the longest run of consecutive words that both have."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    best, before = 0, {}
+    for w in a:  # runs that end at this word, by their end in b
+        before = {j: before.get(j - 1, 0) + 1 for j in places.get(w, ())}
+        best = max(best, max(before.values(), default=0))
+    return best
+
+
+def copied_share(rows: DataFrame, key: list[str], answer: str, source: str) -> DataFrame:
+    """key, share: the longest run of words of an answer that its source has too, over the answer's words; case and
+    punctuation don't count, and an empty answer has share 0."""
+    split = lambda x: re.findall(r"[^\W_]+", (x or "").lower())
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for a, s in zip(batch.column(answer).to_pylist(), batch.column(source).to_pylist(), strict=True):
+                mine = split(a)
+                out.append(longest_common_run(mine, split(s)) / len(mine) if mine else 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), pa.array(out, pa.float64())], names=[*key, "share"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*key, answer, source).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", share double")
+
+
+def breakdown(parts: DataFrame, whole: DataFrame) -> DataFrame:
+    """(part, bytes) with what the parts don't account for of the whole (one row, bytes) as a part of its own."""
+    known = parts.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("known"))
+    rest = whole.crossJoin(F.broadcast(known)).select(F.lit("unaccounted").alias("part"), (F.col("bytes") - F.col("known")).cast("long").alias("bytes"))
+    return parts.select("part", F.col("bytes").cast("long").alias("bytes")).unionByName(rest)
+
+
+def span_depths(spans: DataFrame) -> DataFrame:
+    """``track, id, depth``: how many spans (track, id, at, us) of the same track enclose each."""
+    outer = spans.select(F.col("track").alias("t"), F.col("id").alias("o"), F.col("at").alias("oa"), (F.col("at") + F.col("us")).alias("oe"))
+    inside = (F.col("track") == F.col("t")) & (F.col("id") != F.col("o")) & (F.col("oa") <= F.col("at")) & (F.col("oe") >= F.col("at") + F.col("us"))
+    return spans.join(outer, inside, "left").groupBy("track", "id").agg(F.count("o").alias("depth"))
+
+
+def below_floors(scores: dict[str, float], floors: dict[str, float]) -> list[str]:
+    """The names of measures under their floor, those that are missing included."""
+    return sorted(n for n, least in floors.items() if not scores.get(n, float("-inf")) >= least)

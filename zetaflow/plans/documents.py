@@ -321,11 +321,6 @@ def z6(spark, sf_dir):
     return j.groupBy("track", "id", "us").agg(F.sum("cu").alias("c")).select("track", "id", (F.col("us") - F.coalesce("c", F.lit(0))).alias("self_us"))
 
 
-@query("z7_span_median", f"SELECT event_type, {s6('median(value)')} AS median FROM events GROUP BY 1")
-def z7(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(r6(F.median("value")).alias("median"))
-
-
 @query(
     "z9_call_expectations",
     """WITH c AS (SELECT user_id, list(event_type ORDER BY event_id) AS calls FROM events GROUP BY 1)

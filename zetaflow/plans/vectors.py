@@ -236,12 +236,6 @@ def h21(spark, sf_dir):
     return fusion.spread_cutoff(semantic(spark, sf_dir).select("qid", "id", r6(1.0 - F.col("dist")).alias("sim"))).select("qid", "id", "sim")
 
 
-@query("h22_grouped_hits", f"WITH {SEM}, g AS (SELECT qid, label, min(rank) AS first, count(*) AS hits, {s6('min(dist)')} AS best FROM sem JOIN embeddings ON id = vec_id GROUP BY 1, 2) SELECT * FROM g")
-def h22(spark, sf_dir):
-    lab = vectors(spark, sf_dir).select("id", "label")
-    return semantic(spark, sf_dir).join(lab, "id").groupBy("qid", "label").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("hits"), r6(F.min("dist")).alias("best"))
-
-
 @query(
     "h28_copy_dedup",
     f"""WITH {LEX}, h AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) - 1 AS rank, source AS base, doc, doc % 3 AS page FROM lex JOIN documents ON doc = doc_id),

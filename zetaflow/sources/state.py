@@ -9,18 +9,33 @@ nothing. One writer at a time holds the lock file.
 from __future__ import annotations
 
 import json
+import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scratch: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a temporary one on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _scratch.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="zetaflow-"))
+    return f"{root.rstrip('/')}/state-{uuid.uuid4().hex}"
+
+
 class Locked(RuntimeError):
     """Another writer holds the state directory."""
 
 
 class State:
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2, lease: float = 3600):
+        self.spark, self.root, self.keep, self.lease, self.owner = spark, root.rstrip("/"), keep, lease, uuid.uuid4().hex
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
@@ -43,15 +58,38 @@ class State:
     # Locking.
 
     def lock(self) -> None:
+        """Take the lock, or one whose holder has not renewed it within ``lease`` seconds, as after a crash."""
+        at = self._path(f"{self.root}/LOCK")
+        for last in (False, True):
+            try:
+                out = self._fs.create(at, False)
+                out.write(bytearray(self.owner.encode()))
+                out.close()
+                return
+            except Exception as e:
+                if last or not self._expired(at):
+                    raise Locked(self.root) from e
+            # only one of several waiting writers can move the old lock away
+            aside = self._path(f"{self.root}/.lock-{uuid.uuid4().hex}")
+            if self._fs.rename(at, aside):
+                self._fs.delete(aside, False)
+
+    def _expired(self, at) -> bool:
         try:
-            out = self._fs.create(self._path(f"{self.root}/LOCK"), False)
-        except Exception as e:
-            raise Locked(self.root) from e
-        out.write(bytearray(uuid.uuid4().hex.encode()))
-        out.close()
+            return time.time() * 1000 - self._fs.getFileStatus(at).getModificationTime() > self.lease * 1000
+        except Exception:
+            return True  # it was released meanwhile
+
+    def held(self) -> bool:
+        """Whether this writer still owns the lock."""
+        try:
+            return self._read(f"{self.root}/LOCK") == self.owner
+        except Exception:
+            return False
 
     def unlock(self) -> None:
-        self._fs.delete(self._path(f"{self.root}/LOCK"), False)
+        if self.held():
+            self._fs.delete(self._path(f"{self.root}/LOCK"), False)
 
     # Versions.
 
@@ -68,8 +106,11 @@ class State:
         at = (snapshot or self.snapshot())["tables"].get(table)
         return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
 
-    def commit(self, tables: dict[str, DataFrame], batch: int | None = None) -> int:
-        """Publish new contents of ``tables``; others stay as they are. A batch number that was committed before is a no-op."""
+    def commit(self, tables: dict[str, DataFrame], batch: int | None = None, partition_by: dict[str, str] | None = None) -> int:
+        """Publish new contents of ``tables``; others stay as they are. A batch number that was committed before is a no-op.
+
+        ``partition_by`` names a column by whose values a table lies in folders of its own.
+        """
         old = self.snapshot()
         if batch is not None and old["batch"] is not None and batch <= old["batch"]:
             return old["version"]
@@ -77,7 +118,8 @@ class State:
         at = dict(old["tables"])
         for name, frame in tables.items():
             at[name] = f"{self.root}/v{version:012d}-{uuid.uuid4().hex[:8]}/{name}"
-            frame.write.parquet(at[name])
+            by = (partition_by or {}).get(name)
+            (frame.repartition(by).write.partitionBy(by) if by else frame.write).parquet(at[name])
         temp = f"{self.root}/.manifest-{uuid.uuid4().hex}"
         self._write(temp, json.dumps({"version": version, "batch": old["batch"] if batch is None else batch, "tables": at}))
         if not self._fs.rename(self._path(temp), self._path(f"{self.root}/manifest-{version:012d}")):

@@ -90,12 +90,12 @@ class Pipeline:
     def _next(self, changes: DataFrame, snapshot: dict) -> dict[str, DataFrame]:
         return {n: s.fold(self.state.read(n, s.schema, snapshot), s.prepare(changes)) for n, s in self.sinks.items()}
 
-    def write(self, changes: DataFrame, batch: int | None = None) -> int:
-        """Apply one batch to every sink, or to none if anything fails."""
+    def write(self, changes: DataFrame, batch: int | None = None, rows: Callable[[DataFrame], DataFrame] = lambda c: c) -> int:
+        """Apply one batch to every sink, or to none if anything fails. ``rows`` turns it into changes under the lock."""
         self.state.lock()
         changes = changes.persist()
         try:
-            return self.state.commit(self._next(changes, self.state.snapshot()), batch)
+            return self.state.commit(self._next(rows(changes), self.state.snapshot()), batch)
         finally:
             changes.unpersist()
             self.state.unlock()
@@ -128,8 +128,8 @@ class KeyedPipeline:
 
     def write(self, incoming: DataFrame, batch: int | None = None) -> int:
         """``incoming`` has the key, the columns, ``_op`` ('u' or 'd') and ``_seq``."""
-        changes = zset.upsert_changes(self.rows(), incoming, self.key)
-        return self.pipeline.write(changes.withColumn("_seq", F.col("_delta")), batch)  # the old row goes before the new one comes
+        # the old row goes before the new one comes
+        return self.pipeline.write(incoming, batch, lambda rows: zset.upsert_changes(self.rows(), rows, self.key).withColumn("_seq", F.col("_delta")))
 
     def get(self, condition: str) -> DataFrame:
         return self.rows().filter(condition)

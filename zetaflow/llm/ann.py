@@ -35,7 +35,7 @@ BITS = 24
 CANDIDATES = 0.5
 SHARD_ROWS = 16384
 #: Tasks that the shards of a small table are spread over.
-LANES = 24
+LANES = 8
 #: Queries scored together.
 BATCH = 256
 CENTRE_ROWS = 4096
@@ -67,14 +67,15 @@ class Forest:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, x=self.x, ids=self.ids, starts=self.starts, centre=self.centre, shape=np.array([self.trees, self.bits, self.seed]), order=self.order, sorted=self.sorted)
+        small = self.x.astype(np.float32)  # vectors that came in single precision go so
+        np.savez(out, x=small if (small == self.x).all() else self.x, ids=self.ids, starts=self.starts, centre=self.centre, shape=np.array([self.trees, self.bits, self.seed]), order=self.order, sorted=self.sorted)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Forest:
         z = np.load(io.BytesIO(data))
         trees, bits, seed = z["shape"].tolist()
-        return cls(z["x"], z["ids"], z["starts"], z["centre"], trees, bits, seed, (z["order"], z["sorted"]))
+        return cls(z["x"].astype(np.float64), z["ids"], z["starts"], z["centre"], trees, bits, seed, (z["order"], z["sorted"]))
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         signs = ((x - self.centre) @ self.planes > 0).reshape(len(x), self.trees, self.bits)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.state import keep
 from . import bm25, fusion, knn
 
 # Depths of the lists, expansions of a word, sizes of the reranked pools.
@@ -94,11 +95,14 @@ def search(
         semantic = lexical.select("qid", F.col("doc").alias("id"), F.lit(0.0).alias("dist")).limit(0)
     hits = fusion.cutoff(fusion.fuse(lexical, semantic, reserved=reserved)).withColumn("fused", six("fused"))
     hits = fusion.ranked(hits).select("qid", "doc", "fused", "rank")
+    if late is not None or mode.diversify:
+        hits = keep(hits)  # every reranking step reads the list several times
     if late is not None:
         head = fusion.max_sim(hits.filter(F.col("rank") < RERANKED), *late).select("qid", "doc", F.col("reranked").alias("new"))
         hits = hits.join(head, ["qid", "doc"], "left")
         order = Window.partitionBy("qid").orderBy(F.col("new").isNull(), F.desc("new"), "rank")
         hits = hits.withColumn("at", F.row_number().over(order) - 1).select("qid", "doc", F.coalesce("new", "fused").alias("fused"), F.col("at").alias("rank"))
+        hits = keep(hits) if mode.diversify else hits
     if mode.diversify and vectors is not None:
         pool = hits.filter(F.col("rank") < DIVERSIFIED).join(vectors.select(F.col("id").alias("doc"), F.col("v").cast("array<double>").alias("v")), "doc", "left")
         pool = pool.withColumn("v", F.coalesce("v", F.array().cast("array<double>")))

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import atlas, bm25, fusion, ingest, knn, metrics, search
 from ..operators.vector_index import VectorIndex
-from ..sources.state import scratch
+from ..sources.state import keep, scratch
 from .base import MILLIS, load, query, r6, s6
 from .text import INDEX, SQL_WORDS, TERMS, TOK, index, legibility_sql, terms, weight_sql
 from .vectors import _found, asks, knn_sql, neighbours, vectors
@@ -260,7 +260,7 @@ def a11(spark, sf_dir):
     members = v.select("id", F.col("label").alias("theme"), F.col("id").alias("doc"), "v")
     seeds = atlas.exemplars(members, atlas.centroids(members, 64), 1).select("theme", F.col("id").alias("node"))
     base = v.select("id", (F.col("id") % 150).alias("base"))
-    return atlas.trails(neighbours(spark, sf_dir), base, themes, seeds)
+    return atlas.trails(keep(neighbours(spark, sf_dir)), base, themes, seeds)
 
 
 @query(

@@ -29,6 +29,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/state-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Cut lineage: write a table that several steps read, and read it back. Its files go when the driver ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Locked(RuntimeError):
     """Another writer holds the state directory."""
 

@@ -1,5 +1,5 @@
 """Training-data operators: mixing, quality, deduplication, scanning, extraction, search, packing.
 
 Nothing outside this subpackage imports it; deleting it leaves the rest of the
-library, its queries and its tests untouched.
+package, its queries and its tests untouched.
 """

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, ingest
+from ..operators import editing, fusion, ingest
 from .base import MILLIS, load, query, r6, s6
 from .text import SQL_WORDS, legibility_sql
 
@@ -390,3 +390,56 @@ def q9(spark, sf_dir):
 
     n = load(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
     return n.select("source", F.explode(spread(F.col("pages"), 5)).alias("page"))
+
+
+_LAID = f"""l AS (SELECT doc_id, (pos - 1) // 300 AS page, (pos - 1) % 300 AS r, word FROM (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM (SELECT doc_id, {SQL_WORDS} AS ws FROM documents)))"""
+_BREAK = "CASE WHEN r = 0 THEN '' WHEN r % 10 = 0 AND (r // 10 % 5 = 0 OR r // 10 % 7 = 0) THEN {between} ELSE ' ' END || word"
+
+
+def laid_pages(words: DataFrame) -> DataFrame:
+    """Pages of 300 words (doc, words), ten a line: every fifth line is indented, every seventh stands further down, and words waver."""
+    pages = words.filter(F.size("words") > 0).withColumn("page", F.explode(F.sequence(F.lit(0), F.expr("int((size(words) - 1) div 300)"))))
+    box = lambda w, r: F.struct(
+        w.alias("t"),
+        (0.1 + 0.08 * (r % 10) + F.when(F.floor(r / 10) % 5 == 0, 0.03).otherwise(0.0)).alias("x"),
+        (0.05 + 0.02 * F.floor(r / 10) + 0.03 * F.floor(r / 70) + 0.001 * (r % 3)).alias("y"),
+        F.lit(0.07).alias("w"),
+        F.lit(0.012).alias("h"),
+    )
+    return pages.select("doc", F.col("page").cast("long").alias("page"), F.transform(F.slice("words", F.col("page") * 300 + 1, 300), box).alias("words"))
+
+
+@query("c5_paragraphs", f"""WITH {_LAID} SELECT doc_id, page, md5(string_agg({_BREAK.format(between="'|'")}, '' ORDER BY r)) AS digest FROM l GROUP BY 1, 2""")
+def c5(spark, sf_dir):
+    """Lines and paragraphs of all documents, set on pages."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.words_of(F.col("text")).alias("words"))
+    paras = F.transform("paras", lambda p: F.array_join(p, " "))
+    return laid_pages(d).select(F.col("doc").alias("doc_id"), "page", editing.paragraphs("words").alias("paras")).select("doc_id", "page", F.md5(F.array_join(paras, "|")).alias("digest"))
+
+
+@query(
+    "c6_editions",
+    f"""WITH {_LAID}, p AS (SELECT doc_id, page, string_agg({_BREAK.format(between="chr(10) || chr(10)")}, '' ORDER BY r) AS body FROM l GROUP BY 1, 2)
+        SELECT doc_id, md5('# ' || doc_id || chr(10) || string_agg(chr(10) || '<!-- page ' || page || ' -->' || chr(10) || chr(10) || body || chr(10), '' ORDER BY page)) AS digest FROM p GROUP BY 1""",
+)
+def c6(spark, sf_dir):
+    """Editions of all documents. Tests hold words broken at hyphens against a plain version."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.words_of(F.col("text")).alias("words"))
+    return editing.editions(laid_pages(d)).select(F.col("doc").alias("doc_id"), F.md5("body").alias("digest"))
+
+
+# Edits of a page that begins with "Thc (old, harbour of rest": two that apply, then one for each reason against.
+_EDITS = [("Thc", "The", 1), ("old", "olde", 1), ("harbour", "harbour of", 1), ("rest", "of rest", 1), ("harbour", "tavern", 1), ("zqx", "zq", 1), ("rest", "best", 0), ("rest", "rest", 1), ("r" * 41, "rest", 1)]
+
+
+@query(
+    "c4_edits",
+    f"""WITH w AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents) SELECT doc_id, md5(concat_ws(' ', 'The (olde, harbour of rest', nullif(array_to_string(ws, ' '), ''))) AS digest,
+        'applied,applied,duplicates next word,duplicates previous word,edit distance,no anchor,unverified,noop,too long' AS verdicts FROM w WHERE NOT list_contains(ws, 'zqx')""",
+)
+def c4(spark, sf_dir):
+    """Edits of the words of all documents, behind a first line that they are about."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.array(*map(F.lit, ["Thc", "(old,", "harbour", "of", "rest"])), T.words_of(F.col("text"))).alias("words"))
+    edits = F.array(*(F.struct(F.lit(o).alias("original"), F.lit(c).alias("corrected"), F.lit(bool(v)).alias("verified")) for o, c, v in _EDITS))
+    done = d.select("doc_id", editing.apply_edits(F.col("words"), edits).alias("e"))
+    return done.select("doc_id", F.md5(F.array_join("e.words.t", " ")).alias("digest"), F.array_join("e.verdicts", ",").alias("verdicts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import text as T
 from ..operators import bm25, fusion, ingest
 from .base import load, query, r6, s6
@@ -353,3 +354,56 @@ def x29(spark, sf_dir):
     known = terms(spark, sf_dir).filter("freq > 20").select("term")
     fused = ingest.fuse_hyphens(lines, known, ["item_id"])
     return fused.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s.word), " ")).alias("digest"))
+
+
+ASKED = ["sh ra", "blm", "e m", "royal"]
+
+
+@query(
+    "x33_subsequence",
+    f"""WITH RECURSIVE a AS (SELECT p_partkey, lower(p_name) AS l, length(p_name) AS n, q, replace(q, ' ', '') AS c FROM part, (VALUES {", ".join(f"('{q}')" for q in ASKED)}) v(q)),
+        m AS (SELECT p_partkey, l, n, q, c, 0 AS i, 0 AS prev, 0 AS score, '' AS places FROM a
+          UNION ALL
+          SELECT p_partkey, l, n, q, c, i + 1, spot, score + CASE WHEN spot = 1 THEN 18 WHEN l[spot-1] IN (' ', '-', '_', '·', '/', '(', '[', '.', ',', ':', ';', '''', '"') THEN 12
+              WHEN i > 0 AND spot = prev + 1 THEN 8 ELSE 1 - least(spot - prev - 1, 6) END, places || spot || ' '
+            FROM (SELECT *, prev + instr(substr(l, prev + 1), c[i+1]) AS spot, instr(substr(l, prev + 1), c[i+1]) AS step FROM m WHERE i < length(c)) WHERE step > 0),
+        r AS (SELECT p_partkey, q AS query, score + CASE WHEN contains(l, q) THEN 10 ELSE 0 END - n * 0.05::double AS score, string_split(trim(places), ' ')::int[] AS spot FROM m WHERE i = length(c))
+        SELECT p_partkey, query, {s6("score")} AS score, len(list_filter(spot, lambda x: NOT list_contains(spot, x - 1))) AS runs, list_min(spot) - 1 AS first, list_max(spot) AS last FROM r""",
+)
+def x33(spark, sf_dir):
+    """Parts whose names hold the characters of a few queries in order."""
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", F.explode(F.array(*map(F.lit, ASKED))).alias("query"))
+    hit = p.select("p_partkey", "query", T.subsequence(F.col("p_name"), F.col("query")).alias("m")).filter("m is not null")
+    return hit.select("p_partkey", "query", r6(F.col("m.score")).alias("score"), F.size("m.spans").alias("runs"), F.array_min("m.spans.start").alias("first"), F.array_max("m.spans.end").alias("last"))
+
+
+# File names of eight shapes about the first two long words of a document, and the titles they stand for.
+_SHAPES = [
+    ("shelf/Old {a} and {b} harbour (z-library.sk, 1lib.sk).pdf", "Old {a} and {b} harbour"),
+    ("Old {a} {b} harbour_text.pdf", "Old {a} {b} harbour"),
+    ("Old {a} {b} harbour 9780140449136.epub.pdf", "Old {a} {b} harbour"),
+    ("a/b/Il {a} di {b} [libgen] (2nd ed.).djvu", "Il {a} di {b} (2nd ed.)"),
+    ("Old {a} {b} harbour copy 2.pdf", "Old {a} {b} harbour"),
+    ("the_art_of_{a}_harbour.pdf", "The Art of {A} Harbour"),
+    ("a-harbour-of-{a}-and-tea.pdf", "A Harbour of {A} And Tea"),
+    ("fringesof{a}w00unse.pdf", "fringesof{a}w00unse"),
+]
+
+
+def _shape(which: int) -> str:
+    """SQL of the file names (0) or the titles (1), by doc_id."""
+    fill = lambda s: "concat('" + s.replace("{a}", "', a, '").replace("{b}", "', b, '").replace("{A}", "', upper(left(a, 1)), substr(a, 2), '") + "')"
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {fill(s[which])}" for i, s in enumerate(_SHAPES)) + " END"
+
+
+_TITLE_WORDS = "SELECT doc_id, coalesce(nullif(regexp_extract({t}, '{first}', 1), ''), 'sail') AS a, coalesce(nullif(regexp_extract({t}, '{second}', 2), ''), 'mast') AS b FROM documents"
+_TITLE_PATTERNS = {"t": "text", "first": "([a-z]{4,12})", "second": "([a-z]{4,12})[^a-z]+([a-z]{4,12})"}
+
+
+@query("x22_titles", f"WITH w AS ({_TITLE_WORDS.format(**_TITLE_PATTERNS)}) SELECT doc_id, {_shape(1)} AS title FROM w")
+def x22(spark, sf_dir):
+    """Titles of the file names of all documents."""
+    d = load(spark, sf_dir, "documents")
+    word = lambda p, g, other: F.coalesce(F.nullif(F.regexp_extract("text", p, g), F.lit("")), F.lit(other))
+    w = d.select("doc_id", word(_TITLE_PATTERNS["first"], 1, "sail").alias("a"), word(_TITLE_PATTERNS["second"], 2, "mast").alias("b"))
+    return w.select("doc_id", names.file_title(F.expr(_shape(0))).alias("title"))

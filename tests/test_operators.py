@@ -181,4 +181,3 @@ def test_files(spark, tmp_path):
     assert files.read_sidecar(spark, str(tmp_path / "bad"), "i long") is None
     pages = files.marked_pages(spark.createDataFrame([(1, "pre<!-- page 1 -->one<!-- page 2 -->two")], "d long, b string"), "b")
     assert [(r.page, r.text) for r in pages.collect()] == [(1, "one"), (2, "two")]
-    assert files.markdown_edition(pages, ["d"]).count() == 1

@@ -86,6 +86,26 @@ def guard_mass_deletion(changes: DataFrame, live: int, least: int = 5, share: fl
     return changes.crossJoin(F.broadcast(lost)).filter(~((F.col("change") == "missing") & bad)).drop("_lost")
 
 
+def next_state(state: Column, claimed: Column, text: Column, figures: Column, removed: Column) -> Column:
+    """``struct<state, outcome, resume>`` of one attempt to bring a document to 'ready'.
+
+    ``text`` and ``figures`` say how the two halves went: 'done', 'locked' (the
+    store was held, the records are staged), 'unprepared' or another error; null
+    is an error. ``removed`` is the half during which a tombstone was seen, if any.
+    Without a claim, or from 'ready' or 'deleted', nothing happens; from
+    'text_ready' only figures are due. A tombstone counts once a half is prepared.
+    ``resume`` is the half whose staged records the next attempt commits.
+    """
+    idle, due = F.coalesce(state.isin("ready", "deleted"), F.lit(False)), ~F.coalesce(state == "text_ready", F.lit(False))
+    is_ = lambda c, v: F.coalesce(c == v, F.lit(False))
+    half = lambda c, gone: F.when(is_(c, "unprepared"), "failed").when(gone, "cancelled").when(is_(c, "locked"), "staged").when(~is_(c, "done"), "failed")
+    first = F.when(due, half(text, is_(removed, "text")))
+    ran = F.coalesce(first, half(figures, F.coalesce(removed.isin("text", "figures"), F.lit(False))), F.lit("ready"))
+    outcome = F.when(~claimed, "skipped").when(idle, "ready").otherwise(ran)
+    after = F.when(~claimed | idle, state).when(ran == "cancelled", "deleted").when(ran != "staged", ran).when(first.isNotNull(), "staged").otherwise("text_ready")
+    return F.struct(after.alias("state"), outcome.alias("outcome"), F.when(outcome == "staged", F.when(first.isNotNull(), "text").otherwise("figures")).alias("resume"))
+
+
 def evictions(pages: DataFrame, budget: int) -> DataFrame:
     """Page caches to drop (doc, bytes, kind, last_read): dead ones, then live ones least recently read first,
     larger first, until at most 0.9 of the budget is held; pinned ones never. A budget of 0 has no limit.

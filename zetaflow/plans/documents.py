@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..functions import text as T
 from ..operators import editing, fusion, ingest
 from .base import MILLIS, load, query, r6, s6
@@ -443,3 +444,41 @@ def c4(spark, sf_dir):
     edits = F.array(*(F.struct(F.lit(o).alias("original"), F.lit(c).alias("corrected"), F.lit(bool(v)).alias("verified")) for o, c, v in _EDITS))
     done = d.select("doc_id", editing.apply_edits(F.col("words"), edits).alias("e"))
     return done.select("doc_id", F.md5(F.array_join("e.words.t", " ")).alias("digest"), F.array_join("e.verdicts", ",").alias("verdicts"))
+
+
+_AT = "0.463::double AS px, 0.2::double + (doc_id % 7) * 0.05::double AS py"
+_AWAY = "greatest({lo} - {p}, 0, {p} - ({lo} + {size}::double))"
+
+
+@query(
+    "z10_selection",
+    f"""WITH {_LAID}, b AS (SELECT doc_id, page, r, {_AT}, 0.1::double + 0.08::double * (r % 10) + CASE WHEN r // 10 % 5 = 0 THEN 0.03::double ELSE 0 END AS x,
+          0.05::double + 0.02::double * (r // 10) + 0.03::double * (r // 70) + 0.001::double * (r % 3) AS y FROM l),
+        d AS (SELECT *, {s6(f"sqrt({_AWAY.format(lo='x', p='px', size=0.07)}**2 + {_AWAY.format(lo='y', p='py', size=0.012)}**2)")} AS dist FROM b),
+        g AS (SELECT doc_id, page, r // 10 AS line, max(y) + 0.012::double - min(y) AS h FROM b GROUP BY ALL)
+        SELECT doc_id, page, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id AND g.page = d.page) AS lines,
+          (SELECT {s6("list_sort(list(h))[count(*) // 2 + 1]")} FROM g WHERE g.doc_id = d.doc_id AND g.page = d.page) AS height, min(dist) AS dist FROM d GROUP BY 1, 2""",
+)
+def z10(spark, sf_dir):
+    """Printed lines of every page, their height, and how far a point is from the nearest word."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.words_of(F.col("text")).alias("words"))
+    p = laid_pages(d).withColumn("py", 0.2 + F.col("doc") % 7 * 0.05)
+    near = geometry.nearest_word(F.col("words"), F.lit(0.463), F.col("py"))
+    return p.select(F.col("doc").alias("doc_id"), "page", F.size(geometry.line_boxes(F.col("words"))).cast("long").alias("lines"), r6(geometry.median_line_height(F.col("words"))).alias("height"), r6(near.dist).alias("dist"))
+
+
+_TRIES = "o_custkey % 9 <> 0 AS claimed, CASE o_orderkey % 5 WHEN 0 THEN 'locked' WHEN 1 THEN 'unprepared' WHEN 2 THEN 'error' ELSE 'done' END AS text, CASE o_custkey % 5 WHEN 0 THEN 'locked' WHEN 1 THEN 'unprepared' WHEN 2 THEN 'error' ELSE 'done' END AS figures, CASE o_custkey % 7 WHEN 0 THEN 'text' WHEN 1 THEN 'figures' END AS removed, CASE o_orderstatus WHEN 'F' THEN 'text_ready' WHEN 'P' THEN 'ready' ELSE 'queued' END AS state"
+
+
+@query(
+    "m9_attempts",
+    f"""WITH t AS (SELECT o_orderkey, {_TRIES} FROM orders), o AS (SELECT *, CASE WHEN state = 'queued' AND text = 'unprepared' THEN 'failed text' WHEN state = 'queued' AND removed = 'text' THEN 'cancelled' WHEN state = 'queued' AND text = 'locked' THEN 'staged text'
+          WHEN state = 'queued' AND text = 'error' THEN 'failed text' WHEN figures = 'unprepared' THEN 'failed figures' WHEN removed IS NOT NULL THEN 'cancelled' WHEN figures = 'locked' THEN 'staged figures' WHEN figures = 'error' THEN 'failed figures' ELSE 'ready' END AS went FROM t),
+        r AS (SELECT *, claimed AND state <> 'ready' AS ran FROM o)
+        SELECT o_orderkey, CASE WHEN NOT ran THEN state WHEN went = 'cancelled' THEN 'deleted' WHEN went = 'staged figures' THEN 'text_ready' ELSE split_part(went, ' ', 1) END AS state,
+          CASE WHEN NOT claimed THEN 'skipped' WHEN NOT ran THEN 'ready' ELSE split_part(went, ' ', 1) END AS outcome, CASE WHEN ran AND starts_with(went, 'staged') THEN split_part(went, ' ', 2) END AS resume FROM r""",
+)
+def m9(spark, sf_dir):
+    """One attempt at every order as if it were a document to ingest."""
+    t = load(spark, sf_dir, "orders").selectExpr("o_orderkey", *_TRIES.split(", "))
+    return t.select("o_orderkey", ingest.next_state(*(F.col(c) for c in ("state", "claimed", "text", "figures", "removed"))).alias("s")).select("o_orderkey", "s.*")

@@ -140,7 +140,36 @@ def text_layer_ok(words: str = "words", text: str = "text"):
     return (marks >= 50) & (F.size(words) * 2 >= tokens)
 
 
-def markdown_edition(pages: DataFrame, key: list[str]) -> DataFrame:
-    """One marked text per document from (key, page, text)."""
-    part = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda s: F.concat(F.lit("<!-- page "), s.page, F.lit(" -->\n"), s.text))
-    return pages.groupBy(*key).agg(F.array_join(part, "\n").alias("body"))
+def write_editions(editions: DataFrame, path: str) -> None:
+    """Editions (doc, body) as text, a folder ``doc=...`` each; those of other documents stay."""
+    editions.select("doc", "body").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc").text(path)
+
+
+def read_editions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select("doc", F.expr("left(value, length(value) - 1)").alias("body"))
+
+
+# Records that wait for a store that is locked.
+
+
+def stage_records(records: DataFrame, path: str, batch: int) -> None:
+    """Keep prepared records until the store can take them; the same batch again replaces itself."""
+    records.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def staged_records(spark: SparkSession, path: str, owner: str) -> DataFrame | None:
+    """What is staged, with its ``batch``: of each owner only its newest batch. None if nothing is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.listStatus(at):
+        return None
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(owner).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [owner, "batch"], "left_semi")
+
+
+def clear_staged(spark: SparkSession, path: str, batches: list[int]) -> None:
+    """Drop batches that were committed; later ones stay."""
+    for batch in batches:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch={batch}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

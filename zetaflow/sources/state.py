@@ -155,3 +155,25 @@ class State:
         for name, at in self.snapshot()["tables"].items():
             out[name] = {"bytes": self._fs.getContentSummary(self._path(at)).getLength(), "rows": self.spark.read.parquet(at).count()}
         return out
+
+
+def cached(state: State, name: str, fingerprint: str, build) -> DataFrame:
+    """The table kept under ``fingerprint``, else what ``build()`` returns, kept from now on. One builder at a time: others
+    get :class:`Locked`."""
+
+    def fresh() -> DataFrame | None:
+        at = state.snapshot()["tables"]
+        if name not in at or state.read(f"{name}_of", "fingerprint string").first()[0] != fingerprint:
+            return None
+        return state.spark.read.parquet(at[name])
+
+    found = fresh()
+    if found is None:
+        state.lock()
+        try:
+            if (found := fresh()) is None:
+                state.commit({name: build(), f"{name}_of": state.spark.createDataFrame([(fingerprint,)], "fingerprint string")})
+                found = fresh()
+        finally:
+            state.unlock()
+    return found

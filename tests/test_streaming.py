@@ -109,3 +109,35 @@ def test_duplicate_sink_names(spark, tmp_path):
 def test_strict_consolidation(spark):
     with pytest.raises(Exception):
         zset.consolidate(feed(spark, [(1, 1, -1)]), strict=True).collect()
+
+
+def test_a_commit_rewrites_the_buckets_it_touches(spark, tmp_path):
+    root = str(tmp_path / "d")
+    p = Pipeline(spark, root, sinks())
+    p.write(feed(spark, [(i, i, 1) for i in range(300)]))
+    before = p.state.snapshot()["tables"]["last"]["at"]
+    p.write(feed(spark, [(7, 70, 1), (8, 8, -1)]).withColumn("k", F.col("k").cast("int")))  # another type of the same key
+    after = p.state.snapshot()["tables"]["last"]["at"]
+    assert len(before) > 50 and 1 <= sum(before[b] != after.get(b) for b in before) <= 2
+    n, rows, by_key, last = contents(p)
+    assert n == [(300,)] and dict(last) == {i: i for i in range(300) if i != 8} | {7: 70} and len(by_key) == 299
+    assert (7, 70, 1) in rows and (8, 8, 1) not in rows
+    p.write(feed(spark, []))
+    assert p.state.snapshot()["tables"]["last"]["at"] == after and contents(p) == [n, rows, by_key, last]
+    # another number of buckets deals everything anew
+    other = sinks()
+    other[3].buckets = 5
+    q = Pipeline(spark, root, other)
+    q.write(feed(spark, [(1, 11, 1)]))
+    assert len(q.state.snapshot()["tables"]["last"]["at"]) == 5 and dict(contents(q)[3]) == dict(last) | {1: 11}
+
+
+def test_keyed_rows_meet_only_the_buckets_of_their_keys(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long, _op string, _seq long")
+    p = KeyedPipeline(spark, str(tmp_path / "k"), ["k"], "k long, v long", [sums("all", "v", "long", {"total": "k"})])
+    p.write(rows(*((i, i % 3, "u", i) for i in range(100))))
+    near = p.pipeline.near("_rows", rows((5, 0, "u", 0)))
+    assert near.filter("k = 5").count() == 1 and near.count() < 20
+    p.write(rows((5, 9, "u", 1), (6, 0, "d", 2), (400, 9, "u", 3)))
+    assert p.rows().count() == 100 and p.get("k = 5").first().v == 9
+    assert {r.v: (r.n, r.total) for r in p.pipeline.read("all")[0].collect()}[9] == (2, 405.0)

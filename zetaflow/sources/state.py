@@ -111,14 +111,25 @@ class State:
         versions = self.manifests()
         return json.loads(self._read(f"{self.root}/manifest-{versions[-1]:012d}")) if versions else {"version": 0, "batch": None, "tables": {}}
 
-    def read(self, table: str, schema: str, snapshot: dict | None = None) -> DataFrame:
+    def read(self, table: str, schema: str, snapshot: dict | None = None, only: list[int] | None = None) -> DataFrame:
+        """A table, or ``only`` some of its buckets."""
         at = (snapshot or self.snapshot())["tables"].get(table)
-        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
+        if isinstance(at, dict):
+            at = [p for b, p in at["at"].items() if only is None or int(b) in only]
+        return self.spark.read.schema(schema).parquet(*([at] if isinstance(at, str) else at)) if at else self.spark.createDataFrame([], schema)
 
-    def commit(self, tables: dict[str, DataFrame], batch: int | None = None, partition_by: dict[str, str] | None = None) -> int:
+    @staticmethod
+    def buckets(snapshot: dict, table: str) -> int | None:
+        """Into how many buckets a table is dealt; None if into none."""
+        at = snapshot["tables"].get(table)
+        return at["of"] if isinstance(at, dict) else None
+
+    def commit(self, tables: dict[str, DataFrame], batch: int | None = None, partition_by: dict[str, str] | None = None, dealt: dict[str, tuple[int, list[int] | None]] | None = None) -> int:
         """Publish new contents of ``tables``; others stay as they are. A batch number that was committed before is a no-op.
 
-        ``partition_by`` names a column by whose values a table lies in folders of its own.
+        ``partition_by`` names a column by whose values a table lies in folders of
+        its own. ``dealt`` says of a table with the bucket of each row in ``_bucket``
+        how many buckets there are and which of them the frame replaces (None: all).
         """
         old = self.snapshot()
         if batch is not None and old["batch"] is not None and batch <= old["batch"]:
@@ -126,6 +137,9 @@ class State:
         version = old["version"] + 1
         at = dict(old["tables"])
         for name, frame in tables.items():
+            if name in (dealt or {}):
+                at[name] = self._deal(f"{self.root}/v{version:012d}-{uuid.uuid4().hex[:8]}/{name}", frame, at.get(name), *dealt[name])
+                continue
             at[name] = f"{self.root}/v{version:012d}-{uuid.uuid4().hex[:8]}/{name}"
             by = (partition_by or {}).get(name)
             (frame.repartition(by).write.partitionBy(by) if by else frame.write).parquet(at[name])
@@ -136,12 +150,26 @@ class State:
         self._clean()
         return version
 
+    def _deal(self, path: str, frame: DataFrame, old, of: int, replaced: list[int] | None) -> dict:
+        """Write buckets and name them beside the old ones that stay; large buckets take several tasks, small ones share one."""
+        kept = {b: p for b, p in old["at"].items() if int(b) not in replaced} if replaced is not None and isinstance(old, dict) else {}
+        if replaced != []:
+            frame.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+            found = [s.getPath().getName() for s in self._fs.listStatus(self._path(path))]
+            kept |= {n.removeprefix("_bucket="): f"{path}/{n}" for n in found if n.startswith("_bucket=")}
+        return {"of": of, "at": kept}
+
+    @staticmethod
+    def _paths(at) -> list[str]:
+        return list(at["at"].values()) if isinstance(at, dict) else [at]
+
     def _clean(self) -> None:
         """Drop manifests beyond the last ``keep`` and the directories none of the others names."""
         versions = self.manifests()
         used = set()
         for v in versions[-self.keep :]:
-            used |= {t.rsplit("/", 2)[-2] for t in json.loads(self._read(f"{self.root}/manifest-{v:012d}"))["tables"].values()}
+            tables = json.loads(self._read(f"{self.root}/manifest-{v:012d}"))["tables"]
+            used |= {p.removeprefix(f"{self.root}/").split("/")[0] for at in tables.values() for p in self._paths(at)}
         for v in versions[: -self.keep]:
             self._fs.delete(self._path(f"{self.root}/manifest-{v:012d}"), False)
         for s in self._fs.listStatus(self._path(self.root)):
@@ -153,7 +181,9 @@ class State:
         """Rows and bytes of each table of the current version."""
         out = {}
         for name, at in self.snapshot()["tables"].items():
-            out[name] = {"bytes": self._fs.getContentSummary(self._path(at)).getLength(), "rows": self.spark.read.parquet(at).count()}
+            paths = self._paths(at)
+            size = sum(self._fs.getContentSummary(self._path(p)).getLength() for p in paths)
+            out[name] = {"bytes": size, "rows": self.spark.read.parquet(*paths).count() if paths else 0}
         return out
 
 

@@ -175,6 +175,17 @@ def test_label_propagation_against_a_plain_version(spark):
     assert {r.node: r.label for r in atlas.label_propagation(frame).collect()} == label
 
 
+def test_labels_by_levels_are_those_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 18, (26, 2)) if a != b})
+    frame = spark.createDataFrame([(a, b, 0.1 * int(rng.integers(1, 4))) for a, b in edges], "a long, b long, sim double")
+    found = lambda: {r.node: r.label for r in atlas.label_propagation(frame).collect()}
+    want = found()
+    monkeypatch.setattr(atlas, "IN_PLACE_NODES", 0)
+    assert found() == want and len(set(want.values())) > 1
+    assert atlas.label_propagation(frame.limit(0)).count() == 0
+
+
 def test_projection_against_numpy(spark):
     x = np.random.default_rng(6).standard_normal((300, 6)) * np.array([5, 3, 1, 0.5, 0.2, 0.1])
     mean, axes = atlas.principal_axes(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>"), 6, iterations=200)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
+from ..sources.state import keep
 
-#: Nodes up to which labels are passed in place, in one task; above, in synchronous rounds.
+#: Nodes up to which labels are passed in one task; above, level by level over the cluster, with the same result.
 IN_PLACE_NODES = 200_000
 PRIOR = 500.0
 
@@ -23,21 +26,51 @@ def diversity(neighbours: DataFrame, owner: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """``node, label``: each node takes the label with the most weight around it; it keeps its own on a tie, else the smallest.
 
-    Up to ``IN_PLACE_NODES`` nodes the labels change in place, in node order, as
-    the definition has it; that is sequential and runs in one task. Larger graphs
-    take synchronous rounds, whose communities may differ.
+    Labels change in place, in node order, until a round moves none. A small graph
+    takes one task. In a larger one, nodes whose smaller neighbours have all had
+    their turn form a level; those of one level share no edge, so they take their
+    turn at once, and the result is that of the node order. The edges of one node
+    meet in one row: mutual nearest neighbours are at most k.
     """
     both = edges.select("a", "b", "sim").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     if both.select("a").distinct().limit(IN_PLACE_NODES + 1).count() <= IN_PLACE_NODES:
         return both.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: _in_place(pdf, rounds), "node long, label long")
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    return _by_levels(both, rounds)
+
+
+def _levels(both: DataFrame) -> list[DataFrame]:
+    """Nodes in levels, each after all of its smaller neighbours: what has none left goes, with its edges to larger ones."""
+    nodes = keep(both.select(F.col("a").alias("node")).distinct())
+    open_ = keep(both.filter("b < a").select("a", "b").distinct())
+    levels = []
+    while not nodes.isEmpty():
+        held = open_.select(F.col("a").alias("node")).distinct()
+        levels.append(keep(nodes.join(held, "node", "left_anti")))
+        nodes = keep(nodes.join(held, "node", "left_semi"))
+        open_ = keep(open_.join(levels[-1].withColumnRenamed("node", "b"), "b", "left_anti"))
+    return levels
+
+
+def _by_levels(both: DataFrame, rounds: int) -> DataFrame:
+    both = keep(both)
+    levels = _levels(both)
+    labels = [keep(n.withColumn("label", F.col("node"))) for n in levels]
+    near = [keep(both.join(n, both.a == n.node, "left_semi")) for n in levels]
     for _ in range(rounds):
-        votes = both.join(labels, both.b == labels.node).groupBy("a", "label").agg(F.sum("sim").alias("w"))
-        mine = votes.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
-        order = Window.partitionBy("a").orderBy(F.desc("w"), (F.col("label") != F.col("own")).cast("int"), "label")
-        labels = mine.withColumn("n", F.row_number().over(order)).filter("n = 1").select(F.col("a").alias("node"), "label")
-        labels = labels.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else labels
-    return labels
+        moved = False
+        for i, edges in enumerate(near):
+            now = reduce(DataFrame.unionByName, labels)
+            seen = edges.join(now.withColumnRenamed("node", "b"), "b").groupBy("a", "label").agg(F.array_sort(F.collect_list(F.struct("b", "sim"))).alias("of"))
+            # sums in the order of neighbours, as in one task, so that equal weights stay equal
+            votes = seen.select("a", "label", F.reduce("of", F.lit(0.0), lambda x, e: x + e.sim.cast("double")).alias("w"))
+            mine = votes.join(labels[i].select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
+            best = mine.groupBy(F.col("a").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label") != F.col("own"), "label")).alias("label"), F.first("own").alias("own"))
+            turned = keep(best)
+            moved |= not turned.filter("label <> own").isEmpty()
+            labels[i] = turned.drop("own")
+        if not moved:
+            break
+    return reduce(DataFrame.unionByName, labels)
 
 
 def _in_place(pdf: pd.DataFrame, rounds: int) -> pd.DataFrame:

@@ -174,6 +174,18 @@ def test_attempts(spark):
         assert (r.s.state, r.s.outcome, r.s.resume) == (r.a, r.b, r.c)
 
 
+def test_running_sums_over_ranges(spark):
+    r = random.Random(3)
+    rows = [(i, r.randrange(5), r.randrange(100)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc int, at int, bytes long").repartition(7)
+    got = {x.doc: x.before for x in ingest.running_before(frame, ["at", F.desc("bytes"), "doc"], "bytes", "before").collect()}
+    total, want = 0, {}
+    for doc, _, size in sorted(rows, key=lambda x: (x[1], -x[2], x[0])):
+        want[doc], total = total, total + size
+    assert got == want
+    assert ingest.running_before(frame.limit(0), ["doc"], "bytes", "before").count() == 0
+
+
 def test_staged_records(spark, tmp_path):
     at = str(tmp_path / "staged")
     rows = lambda *r: spark.createDataFrame(list(r), "doc string, idx int")

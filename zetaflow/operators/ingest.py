@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.state import keep
+
 WINDOW_WORDS, STRIDE_WORDS = 200, 160
 
 
@@ -106,18 +108,30 @@ def next_state(state: Column, claimed: Column, text: Column, figures: Column, re
     return F.struct(after.alias("state"), outcome.alias("outcome"), F.when(outcome == "staged", F.when(first.isNotNull(), "text").otherwise("figures")).alias("resume"))
 
 
+def running_before(frame: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """``frame`` and, under ``name``, the sum of ``value`` over all rows before each in ``order``, which must be total.
+
+    Rows are dealt by ranges of the order and written once, so that both passes see the same ranges.
+    """
+    dealt = keep(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))  # one row a partition
+    ranges = ranges.select("_range", F.coalesce(F.sum("_sum").over(earlier(Window.orderBy("_range"))), F.lit(0)).alias("_start"))
+    within = F.coalesce(F.sum(value).over(earlier(Window.partitionBy("_range").orderBy(*order))), F.lit(0))
+    return dealt.withColumn("_within", within).join(F.broadcast(ranges), "_range").withColumn(name, F.col("_start") + F.col("_within")).drop("_range", "_start", "_within")
+
+
 def evictions(pages: DataFrame, budget: int) -> DataFrame:
     """Page caches to drop (doc, bytes, kind, last_read): dead ones, then live ones least recently read first,
     larger first, until at most 0.9 of the budget is held; pinned ones never. A budget of 0 has no limit.
 
-    The running sum goes over documents, one row each, in one ordered pass.
+    The running sum is one of ranges and one within each range, so no task sees all documents.
     """
     dead = pages.filter("kind = 'dead'").select("doc", "bytes", "kind")
     if not budget:
         return dead
     held = pages.filter("kind <> 'dead'").agg(F.sum("bytes").alias("_held"))
-    order = Window.orderBy("last_read", F.desc("bytes"), "doc").rowsBetween(Window.unboundedPreceding, -1)
-    live = pages.filter("kind = 'live'").withColumn("_before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).crossJoin(F.broadcast(held))
+    live = running_before(pages.filter("kind = 'live'"), ["last_read", F.desc("bytes"), "doc"], "bytes", "_before").crossJoin(F.broadcast(held))
     return dead.unionByName(live.filter(F.col("_held") - F.col("_before") > 0.9 * budget).select("doc", "bytes", "kind"))
 
 

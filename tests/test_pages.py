@@ -124,7 +124,7 @@ def test_paragraphs_and_editions(spark):
         "c": "# c\n\n<!-- page 1 -->\n\n<!-- page 2 -->\n",
     }
     assert editing.editions(frame.limit(0)).count() == 0
-    one = frame.filter("doc = 'b' and page = 1").select(editing.paragraphs("words").alias("p")).first().p
+    one = frame.filter("doc = 'b' and page = 1").select(editing.paragraphs(F.col("words")).alias("p")).first().p
     assert [p[0] for p in one] == ["our", "un-"]
 
 

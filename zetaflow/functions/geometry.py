@@ -9,7 +9,8 @@ from .text import let
 
 # Reach of a press, least way out of the text, the same in line heights; height of a line on an empty page.
 SNAP, ESCAPE, ESCAPE_LINES, NO_LINE = 0.015, 0.03, 1.5, 0.02
-_EDGES = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
+_EDGE = "struct<x0: double, y0: double, x1: double, y1: double>"
+_EDGES = f"array<{_EDGE}>"
 
 
 def _box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -20,15 +21,16 @@ def line_boxes(words: Column) -> Column:
     """One box per run of words whose vertical bands overlap the run's by half of the lower height; none for no words, null for null."""
     edges = F.transform(words, lambda w: F.struct(w.x.cast("double").alias("x0"), w.y.cast("double").alias("y0"), (w.x + w.w).cast("double").alias("x1"), (w.y + w.h).cast("double").alias("y1")))
 
-    def step(lines: Column, w: Column) -> Column:
-        run = F.element_at(lines, -1)
+    def step(state: Column, w: Column) -> Column:
+        run = state.run
         shared = F.least(run.y1, w.y1) - F.greatest(run.y0, w.y0)
-        joins = (F.size(lines) > 0) & (shared >= 0.5 * F.least(run.y1 - run.y0, w.y1 - w.y0))
+        joins = shared >= 0.5 * F.least(run.y1 - run.y0, w.y1 - w.y0)
         wider = F.struct(F.least(run.x0, w.x0).alias("x0"), F.least(run.y0, w.y0).alias("y0"), F.greatest(run.x1, w.x1).alias("x1"), F.greatest(run.y1, w.y1).alias("y1"))
-        before = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
-        return F.when(joins, F.concat(before, F.array(wider))).otherwise(F.concat(lines, F.array(w)))
+        ended = F.when(run.isNull(), state.done).otherwise(F.concat(state.done, F.array(run)))
+        return F.when(joins, F.struct(state.done.alias("done"), wider.alias("run"))).otherwise(F.struct(ended.alias("done"), w.alias("run")))
 
-    runs = F.reduce(edges, F.array().cast(_EDGES), step)
+    start = F.struct(F.array().alias("done"), F.lit(None).alias("run")).cast(f"struct<done: {_EDGES}, run: {_EDGE}>")
+    runs = F.reduce(edges, start, step, lambda s: F.when(s.run.isNull(), s.done).otherwise(F.concat(s.done, F.array(s.run))))
     return F.transform(runs, lambda r: _box(r.x0, r.y0, r.x1, r.y1))
 
 
@@ -53,12 +55,17 @@ def nearest_word(words: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(words, lambda w, i: F.struct(F.hypot(away(x, w.x, w.w), away(y, w.y, w.h)).alias("dist"), i.alias("idx"))))
 
 
-def median_line_height(words: Column) -> Column:
-    """Upper median of the heights of printed lines; 0.02 without any."""
-    heights = F.array_sort(F.transform(line_boxes(words), lambda b: b.h))
+def median_height(boxes: Column) -> Column:
+    """Upper median of the heights of boxes; 0.02 without any."""
+    heights = F.array_sort(F.transform(boxes, lambda b: b.h))
     return F.coalesce(F.get(heights, F.floor(F.size(heights) / 2).cast("int")), F.lit(NO_LINE))
 
 
+def median_line_height(words: Column) -> Column:
+    """The same of the printed lines of words."""
+    return median_height(line_boxes(words))
+
+
 def drag(words: Column, press: Column, at: Column, was_text: Column, line: Column) -> Column:
     """``struct<mode, w0, w1, boxes, bbox>`` of a drag from ``press`` (x, y, word) to ``at`` (x, y).
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import core_tokens
+from ..sources.state import keep
 
 # Bytes of an edit's two sides, vertical band of a line, gap and indent of a paragraph.
 MOST_ORIGINAL, MOST_CORRECTED = 40, 48
@@ -18,7 +19,8 @@ LINE_BAND, PARAGRAPH_GAP, PARAGRAPH_INDENT = 0.6, 1.7, 0.015
 
 
 _TEXTS = ArrayType(StringType())
-_EDITED = StructType([StructField("words", ArrayType(StructType([StructField("t", StringType()), StructField("src", IntegerType())]))), StructField("verdicts", _TEXTS)])
+_EDITED = StructType([StructField("t", _TEXTS), StructField("src", ArrayType(IntegerType())), StructField("verdicts", _TEXTS)])
+_LAID = StructType([StructField("paras", ArrayType(_TEXTS)), StructField("asked", _TEXTS)])
 
 # Edits.
 
@@ -78,7 +80,7 @@ def _judge(texts: list[str], old: str, new: str, verified: bool) -> tuple[str, t
 
 @F.pandas_udf(_EDITED)
 def _edited(words: pd.Series, edits: pd.Series) -> pd.DataFrame:
-    out, verdicts = [], []
+    out = []
     for ws, es in zip(words, edits, strict=True):
         texts = [w or "" for w in ws] if ws is not None else []
         source, said = list(range(len(texts))), []
@@ -88,9 +90,8 @@ def _edited(words: pd.Series, edits: pd.Series) -> pd.DataFrame:
                 at, n, new = change
                 texts[at : at + n], source[at : at + n] = [new], [source[at]]
             said.append(verdict)
-        out.append([{"t": t, "src": s} for t, s in zip(texts, source, strict=True)])
-        verdicts.append(said)
-    return pd.DataFrame({"words": out, "verdicts": verdicts})
+        out.append((texts, source, said))
+    return pd.DataFrame(out, columns=["t", "src", "verdicts"])
 
 
 def apply_edits(words: Column, edits: Column) -> Column:
@@ -103,7 +104,8 @@ def apply_edits(words: Column, edits: Column) -> Column:
     become one; ``src`` is the position of the word whose box it keeps. A verdict
     is 'applied' or the reason against. Null words or edits are empty lists.
     """
-    return _edited(words, edits)
+    done = _edited(words, edits)
+    return F.struct(F.arrays_zip(done["t"].alias("t"), done["src"].alias("src")).alias("words"), done["verdicts"].alias("verdicts"))
 
 
 # Lines and paragraphs.
@@ -112,16 +114,16 @@ def apply_edits(words: Column, edits: Column) -> Column:
 def _lines(words) -> list[tuple[list[str], float, float]]:
     """(texts, top, left) of each line; a word that leaves the band about the mean centre of the line begins the next one."""
     lines: list[list] = []  # texts, sum of centres, sum of heights, left
-    for w in words:
-        centre = w["y"] + w["h"] / 2
+    for text, x, y, height in words:
+        centre = y + height / 2
         if lines:
             texts, c, h, _ = line = lines[-1]
             n = len(texts)
-            if abs(centre - c / n) <= LINE_BAND * max(h / n, w["h"]):
-                texts.append(w["t"])
-                line[1], line[2] = c + centre, h + w["h"]
+            if abs(centre - c / n) <= LINE_BAND * max(h / n, height):
+                texts.append(text)
+                line[1], line[2] = c + centre, h + height
                 continue
-        lines.append([[w["t"]], centre, w["h"], w["x"]])
+        lines.append([[text], centre, height, x])
     return [(t, (c - h / 2) / len(t), x) for t, c, h, x in lines]
 
 
@@ -145,15 +147,25 @@ def _paragraphs(words) -> list[list[str]]:
     return found
 
 
+def _pages(*columns: pd.Series):
+    """The paragraphs of each page, from columns of arrays."""
+    for page in zip(*columns, strict=True):
+        yield _paragraphs(zip(*(c.tolist() for c in page), strict=True)) if page[0] is not None else []
+
+
 @F.pandas_udf(ArrayType(_TEXTS))
-def paragraphs(words: pd.Series) -> pd.Series:
+def _page_paragraphs(t: pd.Series, x: pd.Series, y: pd.Series, h: pd.Series) -> pd.Series:
+    return pd.Series(list(_pages(t, x, y, h)))
+
+
+def paragraphs(words: Column) -> Column:
     """Paragraphs of a page, each a list of words, from words (t, x, y, w, h) in reading order.
 
     A line begins a paragraph if it stands further below the line before than 1.7
     times the page's median step, or is indented by 0.015 more than the median
     line. No words or null: no paragraphs. One page is one row, so no page meets another.
     """
-    return words.map(lambda ws: _paragraphs(ws) if ws is not None else [])
+    return _page_paragraphs(*(words[c] for c in "txyh"))
 
 
 # Editions.
@@ -174,17 +186,16 @@ def _join(words: list[str], whole) -> str:
     return " ".join(out)
 
 
-@F.pandas_udf(_TEXTS)
-def _asked(paras: pd.Series) -> pd.Series:
-    """The words that joining these paragraphs asks the vocabulary for; the same whatever it answers."""
-
-    def of(ps):
-        found: set[str] = set()
-        for p in ps:
-            _join(list(p), lambda t: found.add(t) or True)
-        return sorted(found)
-
-    return paras.map(of)
+@F.pandas_udf(_LAID)
+def _laid(t: pd.Series, x: pd.Series, y: pd.Series, h: pd.Series) -> pd.DataFrame:
+    """Paragraphs, and the words that joining them asks the vocabulary for; the same whatever it answers."""
+    out = []
+    for paras in _pages(t, x, y, h):
+        asked: set[str] = set()
+        for p in paras:
+            _join(p, lambda w: asked.add(w) or True)
+        out.append((paras, sorted(asked)))
+    return pd.DataFrame(out, columns=["paras", "asked"])
 
 
 @F.pandas_udf(_TEXTS)
@@ -202,13 +213,12 @@ def editions(pages: DataFrame) -> DataFrame:
     A heading, a marker per page and its paragraphs. A word broken at a hyphen is
     put together without it where the document has the whole word elsewhere, else
     with it. The vocabulary isn't collected: the words asked for meet those of the
-    same document in a semi-join. The body is one cell per document, as the
+    same document in a semi-join. Paragraphs are found once and written. The body is one cell per document, as the
     edition is one file.
     """
-    laid = pages.select("doc", "page", F.coalesce("words", F.array()).alias("words")).select("doc", "page", "words", paragraphs("words").alias("paras"))
-    laid = laid.withColumn("asked", _asked("paras"))
+    laid = keep(pages.select("doc", "page", _laid(*(F.col("words")[c] for c in "txyh")).alias("laid")).select("doc", "page", "laid.*"))
     asked = laid.select("doc", "page", F.explode("asked").alias("term"))
-    tokens = laid.select("doc", F.explode(F.array_distinct(core_tokens(F.array_join(F.col("words.t"), " ")))).alias("term")).distinct()
+    tokens = laid.select("doc", F.explode(F.array_distinct(core_tokens(F.array_join(F.flatten("paras"), " ")))).alias("term")).distinct()
     known = asked.join(tokens, ["doc", "term"], "left_semi").groupBy("doc", "page").agg(F.collect_set("term").alias("known"))
     joined = laid.select("doc", "page", "paras").join(known, ["doc", "page"], "left").select("doc", "page", _joined("paras", "known").alias("texts"))
     part = lambda s: F.concat(F.lit("\n<!-- page "), s.page.cast("string"), F.lit(" -->\n"), F.array_join(F.transform(s.texts, lambda t: F.concat(F.lit("\n"), t, F.lit("\n"))), ""))

@@ -415,7 +415,7 @@ def c5(spark, sf_dir):
     """Lines and paragraphs of all documents, set on pages."""
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.words_of(F.col("text")).alias("words"))
     paras = F.transform("paras", lambda p: F.array_join(p, " "))
-    return laid_pages(d).select(F.col("doc").alias("doc_id"), "page", editing.paragraphs("words").alias("paras")).select("doc_id", "page", F.md5(F.array_join(paras, "|")).alias("digest"))
+    return laid_pages(d).select(F.col("doc").alias("doc_id"), "page", editing.paragraphs(F.col("words")).alias("paras")).select("doc_id", "page", F.md5(F.array_join(paras, "|")).alias("digest"))
 
 
 @query(
@@ -464,7 +464,8 @@ def z10(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.words_of(F.col("text")).alias("words"))
     p = laid_pages(d).withColumn("py", 0.2 + F.col("doc") % 7 * 0.05)
     near = geometry.nearest_word(F.col("words"), F.lit(0.463), F.col("py"))
-    return p.select(F.col("doc").alias("doc_id"), "page", F.size(geometry.line_boxes(F.col("words"))).cast("long").alias("lines"), r6(geometry.median_line_height(F.col("words"))).alias("height"), r6(near.dist).alias("dist"))
+    lines = geometry.let(geometry.line_boxes(F.col("words")), lambda b: F.struct(F.size(b).cast("long").alias("lines"), geometry.median_height(b).alias("height")))
+    return p.select(F.col("doc").alias("doc_id"), "page", lines.alias("b"), near.dist.alias("dist")).select("doc_id", "page", "b.lines", r6(F.col("b.height")).alias("height"), r6(F.col("dist")).alias("dist"))
 
 
 _TRIES = "o_custkey % 9 <> 0 AS claimed, CASE o_orderkey % 5 WHEN 0 THEN 'locked' WHEN 1 THEN 'unprepared' WHEN 2 THEN 'error' ELSE 'done' END AS text, CASE o_custkey % 5 WHEN 0 THEN 'locked' WHEN 1 THEN 'unprepared' WHEN 2 THEN 'error' ELSE 'done' END AS figures, CASE o_custkey % 7 WHEN 0 THEN 'text' WHEN 1 THEN 'figures' END AS removed, CASE o_orderstatus WHEN 'F' THEN 'text_ready' WHEN 'P' THEN 'ready' ELSE 'queued' END AS state"

@@ -122,6 +122,23 @@ def test_mmr_against_a_plain_version_with_its_tail(spark):
     assert [r.doc for r in fusion.mmr(rows, depth=15).orderBy("mmr_rank").collect()] == want + order[15:]
 
 
+def test_mmr_of_hits_without_a_vector(spark):
+    rows = [(0, 1.0, [1.0, 0.0]), (1, 0.9, [1.0, 0.1]), (2, 0.8, []), (3, 0.7, None), (4, 0.6, [0.0, 1.0]), (5, 0.5, [float("nan"), 1.0]), (6, 0.4, [0.0])]
+    frame = lambda of: spark.createDataFrame([(0, d, f, of(v)) for d, f, v in rows], "qid int, doc long, fused double, v array<double>")
+    order = lambda of: [r.doc for r in fusion.mmr(frame(of)).orderBy("mmr_rank").collect()]
+    got = order(lambda v: v)
+    assert got == order(lambda v: v if v and len(v) == 2 and v[0] == v[0] else [0.0, 0.0])
+    assert sorted(got) == list(range(7)) and got[0] == 0 and got.index(2) < got.index(1)
+
+
+def test_full_search_where_some_hits_have_no_vector(spark):
+    index, terms, vectors, axis = setup(spark)
+    words = spark.createDataFrame([(0, 0, "sail")], "qid int, pos int, term string")
+    asked = spark.createDataFrame([(0, axis(0))], "qid int, q array<double>")
+    got = search.search(index, terms, words, 6, search.FULL, vectors.filter("id <> 1"), asked).orderBy("rank").collect()
+    assert got[0].doc == 0 and {r.doc for r in got} >= {0, 1, 2} and [r.rank for r in got] == list(range(len(got)))
+
+
 def test_max_sim_against_a_plain_version(spark):
     rng = np.random.default_rng(5)
     unit = lambda: (lambda v: v / np.linalg.norm(v))(rng.standard_normal(4))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,18 +92,28 @@ def max_sim(pool: DataFrame, words: DataFrame, pieces: DataFrame, queries: DataF
     return out.withColumn("reranked", F.when(hi > lo, lo + (hi - lo) * F.col("mixed")).otherwise(F.col("fused")))
 
 
+def _matrix(vectors) -> np.ndarray:
+    """A row for each vector; a shorter one ends in zeros, one that is missing or not finite is zero."""
+    rows = [np.zeros(0) if v is None else np.asarray(v, dtype=float) for v in vectors]
+    x = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for i, v in enumerate(rows):
+        if np.isfinite(v).all():
+            x[i, : len(v)] = v
+    return x
+
+
 def mmr(pool: DataFrame, lam: float = 0.7, depth: int = 100) -> DataFrame:
     """Maximal marginal relevance over the first ``depth`` hits of each query: (qid, doc, fused, v) -> mmr_rank.
 
     Greedy and sequential within a query, so each query's bounded pool is one
-    group. Hits past the pool keep their fused order behind it.
+    group. Hits past the pool keep their fused order behind it. A hit without a
+    vector (null, empty, zero) is like no other: its similarities are 0.
     """
-    import numpy as np
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["fused", "doc"], ascending=[False, True]).reset_index(drop=True)
         head = group
-        x = np.array(head["v"].tolist(), dtype=float).reshape(len(head), -1)
+        x = _matrix(head["v"])
         n = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
         top = head["fused"].iloc[0]

@@ -259,6 +259,21 @@ def test_index_changes_recall_and_versions(spark, tmp_path):
     assert {r.id for r in index.search(q, 5, probes=1, allowed=few).collect()} == {5, 6}
 
 
+def test_long_allow_lists_are_searched_exactly(spark, tmp_path, monkeypatch):
+    from zetaflow.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "CELL_ROWS", 100)
+    x = np.random.default_rng(12).standard_normal((2600, 12))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    index = VectorIndex(spark, str(tmp_path / "vx"))
+    index.build(v)
+    q = v.filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    rows = lambda found: sorted((r.qid, r["rank"], r.id, round(r.dist, 9)) for r in found.collect())
+    assert len(index.centres()) > 10
+    for allowed in (v.filter("id % 7 <> 0").select("id"), v.filter("id % 9 = 0").select("id")):
+        assert rows(index.search(q, 10, probes=1, allowed=allowed)) == rows(knn.nearest(v, q, 10, allowed=allowed))
+
+
 def metrics_recall(found, truth):
     return knn.recall(found, truth).first().recall
 

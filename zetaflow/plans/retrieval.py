@@ -105,7 +105,7 @@ def v14(spark, sf_dir):
 
 @query("v17_index_allowed", knn_sql(10, 25, "b.vec_id IN (SELECT doc_id FROM labels WHERE toxic = 0)"))
 def v17(spark, sf_dir):
-    """A short allow-list is searched exactly."""
+    """An allow-list is searched exactly, however long it is."""
     allowed = load(spark, sf_dir, "labels").filter("toxic = 0").select(F.col("doc_id").alias("id")).distinct()
     return _found(stored(spark, sf_dir).search(asks(spark, sf_dir), 10, probes=4, allowed=allowed))
 

@@ -6,9 +6,12 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from oracle import SF
 from pyspark.sql import functions as F
 
+from zetaflow import catalog
 from zetaflow.functions import text as T
+from zetaflow.functions import vector as V
 from zetaflow.operators import atlas, bm25, fusion, ingest, knn, metrics, search
 from zetaflow.operators.vector_index import VectorIndex
 from zetaflow.plans import retrieval, text
@@ -230,6 +233,24 @@ def test_trails_equal_the_walk_of_each_theme(spark):
 # Stored vectors.
 
 
+def test_unit_vectors_take_time_in_proportion_to_their_length(spark):
+    x = np.random.default_rng(2).standard_normal((40, 3000))
+    x[3] = 0
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(40, None), (41, [])], "id long, v array<double>").cache()
+    frame.count()
+    start = time.time()
+    got = {r.id: r.v for r in frame.select("id", V.unit(F.col("v")).alias("v")).collect()}
+    assert time.time() - start < 10  # some 700 million terms of norms, if every component had its own
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose([got[i] for i in range(40)], np.where(n > 0, x / np.where(n > 0, n, 1), x)) and got[40] is None and got[41] == []
+
+
+def test_unit_cosine_normalises_before_pairs_are_made(spark):
+    plan = catalog.queries()["v7_unit_cosine"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Join")
+    assert "SQRT" not in above and below.count("SQRT") == 2
+
+
 def test_index_changes_recall_and_versions(spark, tmp_path):
     rng = np.random.default_rng(9)
     centres = rng.standard_normal((25, 12))

@@ -51,13 +51,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    # the norm is bound by a lambda of its own: one that stands inside the other is added up anew for every component
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))[0]
+
+
+def of_units(a: Column, b: Column) -> Column:
+    """1 - inner product, of vectors that are normalised already."""
+    return 1.0 - dot(a, b)
 
 
 def unit_cosine(a: Column, b: Column) -> Column:
     """1 - inner product of unit vectors; 1 if either is zero."""
-    return 1.0 - dot(unit(a), unit(b))
+    return of_units(unit(a), unit(b))
 
 
 def hamming(a: Column, b: Column) -> Column:

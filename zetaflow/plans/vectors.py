@@ -46,8 +46,10 @@ def _metric(name):
         f"SELECT a.vec_id AS qid, b.vec_id AS id, {s6(SQL_METRIC[name])} AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0",
     )
     def run(spark, sf_dir):
-        pairs = knn.pairs(vectors(spark, sf_dir), asks(spark, sf_dir, 100))
-        return pairs.select("qid", "id", r6(V.METRICS[name](F.col("v"), F.col("q")).cast("double")).alias("dist"))
+        v, q, metric = vectors(spark, sf_dir), asks(spark, sf_dir, 100), V.METRICS[name]
+        if name == "unit_cosine":  # each vector is normalised once, not in every pair
+            v, q, metric = v.withColumn("v", V.unit(F.col("v"))), q.withColumn("q", V.unit(F.col("q"))), V.of_units
+        return knn.pairs(v, q).select("qid", "id", r6(metric(F.col("v"), F.col("q")).cast("double")).alias("dist"))
 
 
 for _name in V.METRICS:

@@ -5,6 +5,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SF
 from pyspark.sql import functions as F
@@ -233,6 +234,45 @@ def test_trails_equal_the_walk_of_each_theme(spark):
 # Stored vectors.
 
 
+def test_nearest_evaluates_few_rows_and_equals_every_distance(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 16))
+    x[100:140] = x[7]  # ties
+    x[200:240] = x[7] + 1e-9 * rng.standard_normal((40, 16))  # nearer to each other than single precision tells
+    x[300:310] = 0
+    x[400] = 1e-170
+    rows, asked = [], [7, 100, 139, 205, 300, 400, 2999]
+    exact = knn._distances
+    monkeypatch.setattr(knn, "_distances", lambda metric, a, b: (rows.append(len(a)), exact(metric, a, b))[1])
+
+    def found(order, skip):
+        part = lambda shard, ids, qids, v: pa.RecordBatch.from_arrays([pa.array([shard] * len(v), pa.int32()), pa.array(qids, pa.int64()), pa.array(ids, pa.int64()), pa.array([list(r) for r in v], pa.list_(pa.float64()))], names=["shard", "qid", "id", "v"])
+        none = lambda n: [None] * n
+        batches = [part(0, order[:2000], none(2000), x[order[:2000]]), part(0, order[2000:], none(1000), x[order[2000:]]), part(0, none(len(asked)), asked, x[asked])]
+        out = pa.Table.from_batches(list(knn._stream(12, "unit_cosine", skip)(iter(batches)))).to_pylist()
+        return {q: [(r["dist"], r["id"]) for r in out if r["qid"] == q] for q in asked}
+
+    unit = knn._unit(x)
+    for skip in (False, True):
+        del rows[:]
+        got = found(rng.permutation(3000), skip)
+        assert sum(rows) < 0.2 * 3000 * len(asked) + 2 * 3000  # all but the queries that are zero, to which all rows are as near
+        for q in asked:
+            assert got[q] == sorted((d, i) for i, d in enumerate(exact("unit_cosine", unit, unit[q]).tolist()) if not (skip and i == q))[:12]
+
+
+def test_labels_are_passed_on_edges_that_are_found_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        runs.add(1)
+        yield from batches
+
+    edges = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.4), (3, 4, 0.9)], "a long, b long, sim double").coalesce(1).mapInPandas(run, "a long, b long, sim double")
+    assert {r.node: r.label for r in atlas.label_propagation(edges).collect()} == {0: 1, 1: 1, 2: 1, 3: 4, 4: 4}
+    assert runs.value == 1
+
+
 def test_unit_vectors_take_time_in_proportion_to_their_length(spark):
     x = np.random.default_rng(2).standard_normal((40, 3000))
     x[3] = 0

@@ -32,7 +32,8 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     turn at once, and the result is that of the node order. The edges of one node
     meet in one row: mutual nearest neighbours are at most k.
     """
-    both = edges.select("a", "b", "sim").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    edges = keep(edges.select("a", "b", "sim"))  # they are counted first and passed on in both directions
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     if both.select("a").distinct().limit(IN_PLACE_NODES + 1).count() <= IN_PLACE_NODES:
         return both.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: _in_place(pdf, rounds), "node long, label long")
     return _by_levels(both, rounds)
@@ -52,7 +53,6 @@ def _levels(both: DataFrame) -> list[DataFrame]:
 
 
 def _by_levels(both: DataFrame, rounds: int) -> DataFrame:
-    both = keep(both)
     levels = _levels(both)
     labels = [keep(n.withColumn("label", F.col("node"))) for n in levels]
     near = [keep(both.join(n, both.a == n.node, "left_semi")) for n in levels]
@@ -77,12 +77,13 @@ def _in_place(pdf: pd.DataFrame, rounds: int) -> pd.DataFrame:
     near: dict[int, list] = {}
     for a, b, w in zip(pdf["a"], pdf["b"], pdf["sim"], strict=True):
         near.setdefault(int(a), []).append((int(b), float(w)))
+    near = {n: sorted(near[n]) for n in sorted(near)}
     label = {n: n for n in near}
     for _ in range(rounds):
         moved = False
-        for n in sorted(near):
+        for n, around in near.items():
             votes: dict[int, float] = {}
-            for b, w in sorted(near[n]):
+            for b, w in around:
                 votes[label[b]] = votes.get(label[b], 0.0) + w
             most = max(votes.values())
             if votes.get(label[n], -1.0) < most:

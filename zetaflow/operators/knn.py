@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..functions import vector
 
 #: Vectors that a task holds, queries scored at once, tasks that a small table is spread over.
 SHARD_ROWS, BATCH, LANES = 16_384, 256, 16
+#: Groups of a shard's vectors whose best ones say which vectors may be near.
+GROUPS = 1024
 
 
 def pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Distances of one query to all rows, each summed in the same order whatever the other rows are."""
+    """Distances of one query to all rows, or of a query for each row; all are summed in the same order whatever the other rows are."""
     if metric == "neg_dot":
         return -(x * q).sum(axis=1)
     if metric == "unit_cosine":
@@ -49,44 +52,82 @@ def _stream(k: int, metric: str, skip_self: bool):
 
     def run(batches):
         held: list = []
-        ids = x = of = None
+        shard = of = None
         for batch in batches:
             shards, asks = batch.column("shard").to_numpy(), batch.column("qid").is_valid().to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1]), True]) if batch.num_rows else []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 part = batch.slice(lo, hi - lo)
                 if not asks[lo]:
-                    if of != shards[lo] or x is not None:
-                        held, x, of = [], None, shards[lo]
-                    held.append((part.column("id").to_pylist(), part.column("v").flatten().to_numpy(), part.num_rows))
+                    if of != shards[lo] or shard is not None:
+                        held, shard, of = [], None, shards[lo]
+                    held.append((part.column("id"), part.column("v").flatten().to_numpy()))
                     continue
                 if of != shards[lo]:
                     continue  # a shard without vectors
-                if x is None:
-                    ids = np.array([i for h in held for i in h[0]], dtype=object)
-                    x = np.concatenate([h[1] for h in held]).reshape(len(ids), -1).astype(float)
-                    x = _unit(x) if metric == "unit_cosine" else x
-                    held = [([], x.ravel(), 0)]
-                yield from _best(part, ids, x, k, metric, skip_self)
+                if shard is None:
+                    shard, held = _Shard(held, metric), []
+                yield from _best(part, shard, k, metric, skip_self)
 
     return run
 
 
-def _best(part: pa.RecordBatch, ids: np.ndarray, x: np.ndarray, k: int, metric: str, skip_self: bool):
+class _Shard:
+    """The vectors of one shard; ``place`` is where a row stands in the order of identifiers."""
+
+    def __init__(self, held: list, metric: str):
+        self.ids = pa.concat_arrays([i for i, _ in held])
+        self.names = np.array([*self.ids.to_pylist(), None], dtype=object)[:-1]
+        x = np.concatenate([v for _, v in held]).reshape(len(self.ids), -1).astype(float)
+        self.x = _unit(x) if metric == "unit_cosine" else x
+        self.place = np.empty(len(self.ids), np.int64)
+        self.place[pc.array_sort_indices(self.ids).to_numpy()] = np.arange(len(self.ids))
+        self.single = self.x.astype(np.float32) if metric == "unit_cosine" and np.isfinite(self.x).all() else None
+        self.norm = np.sqrt((self.x * self.x).sum(axis=1).max(initial=0.0))
+
+
+def _screened(shard: _Shard, q: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all that may be among the ``room`` nearest unit vectors, and few others.
+
+    Inner products in single precision find them. The rows are dealt into groups;
+    ``room`` groups reach the product ``least`` or more, so as many rows do, and what
+    lies below it by more than twice the largest error of a product isn't nearer than those.
+    """
+    dim = q.shape[1]
+    near = q.astype(np.float32) @ shard.single[:, :dim].T
+    groups = max(room, min(GROUPS, near.shape[1]))
+    each = near.shape[1] // groups
+    best = near[:, : groups * each].reshape(len(q), each, groups).max(axis=1)
+    least = np.partition(best, groups - room, axis=1)[:, groups - room].astype(float)
+    scale = shard.norm * np.sqrt((q * q).sum(axis=1))
+    least -= 4 * (dim + 8) * np.finfo(np.float32).eps * scale + 1e-12
+    return np.nonzero(near >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
+
+
+def _best(part: pa.RecordBatch, shard: _Shard, k: int, metric: str, skip_self: bool):
     q = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1).astype(float)
     q = _unit(q) if metric == "unit_cosine" else q
-    dim = min(q.shape[1], x.shape[1])
+    dim, room = min(q.shape[1], shard.x.shape[1]), k + skip_self
+    q, x = q[:, :dim], shard.x[:, :dim]
+    screen = shard.single is not None and len(x) > room and np.isfinite(q).all()
     for at in range(0, part.num_rows, BATCH):
-        out: list = [[], [], []]
-        for qid, row in zip(part.column("qid")[at : at + BATCH].to_pylist(), q[at : at + BATCH, :dim], strict=True):
-            d = _distances(metric, x[:, :dim], row)
-            room = k + skip_self
-            near = np.flatnonzero(d <= np.partition(d, room - 1)[room - 1]) if len(d) > room else np.arange(len(d))
-            best = sorted((d[j], ids[j]) for j in near if not (skip_self and ids[j] == qid))[:k]
-            out[0] += [qid] * len(best)
-            out[1] += [i for _, i in best]
-            out[2] += [float(s) for s, _ in best]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], part.schema.field("qid").type), pa.array(out[1], part.schema.field("id").type), pa.array(out[2], pa.float64())], names=["qid", "id", "dist"])
+        rows, qids = q[at : at + BATCH], part.column("qid")[at : at + BATCH]
+        if screen:
+            of, to = _screened(shard, rows, room)
+            cut = range(0, len(to), SHARD_ROWS)  # where vectors are copies, all of a shard may be near
+            d = np.concatenate([_distances(metric, x[to[i : i + SHARD_ROWS]], rows[of[i : i + SHARD_ROWS]]) for i in cut])
+        else:
+            every = [_distances(metric, x, row) for row in rows]
+            near = [np.flatnonzero(d <= np.partition(d, room - 1)[room - 1]) if len(d) > room else np.arange(len(d)) for d in every]
+            of, to = np.repeat(np.arange(len(rows)), [len(n) for n in near]), np.concatenate(near)
+            d = np.concatenate([d[n] for d, n in zip(every, near, strict=True)])
+        if skip_self:
+            asked = np.array([*qids.to_pylist(), None], dtype=object)[:-1]
+            other = np.array(shard.names[to] != asked[of], dtype=bool)
+            of, to, d = of[other], to[other], d[other]
+        order = np.lexsort((shard.place[to], d, of))
+        order = order[np.arange(len(order)) - np.searchsorted(of[order], of[order]) < k]
+        yield pa.RecordBatch.from_arrays([qids.take(pa.array(of[order])), shard.ids.take(pa.array(to[order])), pa.array(d[order], pa.float64())], names=["qid", "id", "dist"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "unit_cosine", allowed: DataFrame | None = None, skip_self: bool = False) -> DataFrame:

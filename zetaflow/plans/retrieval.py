@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import atlas, bm25, fusion, ingest, knn, metrics, search
+from ..operators import atlas, bm25, embed, fusion, ingest, knn, metrics, search
 from ..operators.vector_index import VectorIndex
 from ..sources.state import keep, scratch
 from .base import MILLIS, load, query, r6, s6
@@ -45,12 +45,11 @@ def h1_full(spark, sf_dir):
     v = vectors(spark, sf_dir).select("id", "v")
     asked = asks(spark, sf_dir, 1).join(words.select("qid").distinct(), "qid", "left_semi")
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
-    from .vectors import vocabulary
-
-    pieces = vocabulary(spark, sf_dir).select(F.col("piece").alias("word"), V.unit(F.col("v")).alias("v"))
+    known = keep(terms(spark, sf_dir))  # expansion reads the dictionary in several places, late interaction once more
+    pieces = embed.hashed_vocabulary(known.select(F.col("term").alias("piece")), 8).select(F.col("piece").alias("word"), V.unit(F.col("v")).alias("v"))
     texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(T.default_tokens(F.col("text"))).alias("word"))
     tokens = words.select("qid", F.col("pos").alias("tok"), F.col("term").alias("word")).join(pieces, "word").select("qid", "tok", "v", F.lit(1.0).alias("w"))
-    return search.search(index(spark, sf_dir), terms(spark, sf_dir), words, 12, search.FULL, v, asked, allowed=docs, late=(texts, pieces, tokens)).withColumn("fused", r6(F.col("fused")))
+    return search.search(index(spark, sf_dir), known, words, 12, search.FULL, v, asked, allowed=docs, late=(texts, pieces, tokens)).withColumn("fused", r6(F.col("fused")))
 
 
 _ASKED = "a AS (SELECT item_id AS qid, CASE WHEN item_id % 3 = 0 THEN item_id END AS doc, 'src' || item_id % 30 AS collection FROM benchmark)"

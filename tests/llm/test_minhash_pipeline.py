@@ -73,6 +73,29 @@ def test_classes_against_brute_force(spark, monkeypatch, block):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {c for c in want.values()}
 
 
+def test_written_tables_lie_in_few_files(spark, monkeypatch):
+    """However many partitions joins deal to: each file costs processes that the executor's JVM starts."""
+    written, old = [], minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df: written.append(old(df)) or written[-1])
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows, cores = corpus(), spark.sparkContext.defaultParallelism
+    frame = docs(spark, rows).coalesce(cores)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = minhash.near_duplicates(frame)
+        assert out.rdd.getNumPartitions() <= cores
+        kept = {r.doc_id for r in minhash.keep_one(frame).collect()}
+        got = sorted((str(r.doc_id), str(r.class_id)) for r in out.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(written) > 20 and max(len(t.inputFiles()) for t in written) <= cores
+    want = brute_classes(rows, minhash.document_frequencies(frame.select("text").fillna("")))
+    assert got == sorted((str(d), str(want[i])) for i, (d, _) in enumerate(rows)) and kept == set(want.values())
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 

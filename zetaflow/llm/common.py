@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "\t\n\x0b\x0c\r "
 
+#: Short rows (digests, identifiers, labels) to a written file: about 10 MB.
+FILE_ROWS = 250_000
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -52,6 +55,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS, apart: bool = False) -> DataFrame:
+    """``df``, of about ``rows`` rows, to be written in as many files as hold them at ``each``, or as there are cores.
+
+    Without native libraries, Hadoop's local files take three processes each
+    (``chmod``), started by the executor's JVM. ``apart`` moves the rows to tasks
+    of their own; else the tasks that make them are as few.
+    """
+    files = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each))
+    return df.repartition(files) if apart else df.coalesce(files)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more; anything else is left alone."""
     path = getattr(df, "written", None)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table, text_or_empty
+from .common import few, fresh, materialize, table, text_or_empty
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -258,8 +258,9 @@ def small(rows: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node each node is connected to."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    rows = 2 * edges.count()
+    both = materialize(few(edges.select("a", "b").union(edges.select("b", "a")).distinct(), rows))
+    labels = materialize(few(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), rows))
     while True:
         known = small(labels)
         near = both.join(known, both.b == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
@@ -267,7 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
         jump = small(labels.select(F.col("node").alias("at"), F.col("comp").alias("further")))  # the label of the label
         new = step.join(jump, F.col("next") == F.col("at"), "left")
         best = F.least("next", F.coalesce("further", "next"))
-        new = materialize(new.select("node", best.alias("comp"), (F.col("comp") != best).alias("moved")))
+        new = materialize(few(new.select("node", best.alias("comp"), (F.col("comp") != best).alias("moved")), rows))
         if not new.filter("moved").head(1):
             return labels
         labels = new.select("node", "comp")
@@ -283,64 +284,70 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     other columns are ignored.
     """
     ids = docs.select(F.col(id_col).alias("id"), _node(text_col).alias("node"))
-    return ids.join(_named(docs, text_col, id_col, least), "node").select(F.col("id").alias(id_col), "class_id")
+    named, rows = _named(docs, text_col, id_col, least)
+    return few(ids.join(named, "node").select(F.col("id").alias(id_col), "class_id"), rows)
 
 
 def _node(text_col: str) -> Column:
     return F.unhex(F.md5(text_or_empty(text_col)))
 
 
-def _named(docs: DataFrame, text_col: str, id_col: str, least: float) -> DataFrame:
-    """(node, class_id, head): of each distinct text, its class and the first node that holds the class's identifier."""
+def _named(docs: DataFrame, text_col: str, id_col: str, least: float) -> tuple[DataFrame, int]:
+    """(node, class_id, head): of each distinct text, its class and the first node that holds the class's identifier.
+    With it, the number of rows of ``docs``."""
     text, node = text_or_empty(text_col), _node(text_col)
     idf = document_frequencies(docs.select(text.alias("t")))
     rows = docs.select(node.alias("node"), text.alias("t"))
     members = materialize(rows.mapInArrow(_bands(idf), "node binary, bands array<long>")).select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min(F.xxhash64("node")).alias("lo"), F.max(F.xxhash64("node")).alias("hi")).filter("lo <> hi").select("band")
-    members = materialize(members.join(shared, "band").distinct())
-    texts = materialize(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t")))
+    members = materialize(few(members.join(shared, "band").distinct(), 2 * BANDS * idf.docs))
+    most = members.count()
+    texts = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
+    texts = materialize(few(texts, min(most, idf.docs), BLOCK))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
         full = left.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return materialize(full.mapInArrow(_verify(idf, least), "a binary, b binary"))
+        return materialize(few(full.mapInArrow(_verify(idf, least), "a binary, b binary"), most, apart=True))
 
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     tested = edges = None
     for turn in range(PIVOT_ROUNDS):  # pivots: linear in the members; those already joined to their pivot leave the bucket
         left = members
         if edges is not None:
-            left = _apart(members, components(edges))
+            left = _apart(members, components(edges), most)
         pick = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("p")))
         pivots = left.groupBy("band").agg(pick.alias("x")).select("band", F.col("x.p").alias("p"))
-        pairs = left.join(materialize(pivots), "band").filter("node <> p").select(*ordered("node", "p")).distinct()
+        pairs = left.join(materialize(few(pivots, most)), "band").filter("node <> p").select(*ordered("node", "p")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        pairs = materialize(few(pairs, most))
         tested = pairs if tested is None else tested.union(pairs)
         found = verified(pairs)
         edges = found if edges is None else edges.union(found)
 
-    left = _apart(members, components(edges), keep_comp=True)
+    left = _apart(members, components(edges), most, keep_comp=True)
     edges = edges.union(_link_rest(left, texts, idf, least))
 
     labels = components(edges)
     ids = docs.select(F.col(id_col).alias("id"), node.alias("node"))
     nodes = ids.groupBy("node").agg(F.min("id").alias("low")).join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    nodes = materialize(nodes)
+    nodes = materialize(few(nodes, idf.docs))
     first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("x")
-    lowest = materialize(nodes.groupBy("comp").agg(first).select("comp", F.col("x.low").alias("class_id"), F.col("x.node").alias("head")))
-    return materialize(nodes.join(lowest, "comp").select("node", "class_id", "head"))
+    lowest = nodes.groupBy("comp").agg(first).select("comp", F.col("x.low").alias("class_id"), F.col("x.node").alias("head"))
+    lowest = materialize(few(lowest, idf.docs))
+    return materialize(few(nodes.join(lowest, "comp").select("node", "class_id", "head"), idf.docs)), idf.docs
 
 
 def _link_rest(left: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
     """Links that still join classes within buckets (band, node, comp): every member outside a bucket's largest
     class is held against all members of other classes, in blocks of at most ``BLOCK`` on either side."""
     left = materialize(left)
+    most = left.count()
     per = left.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"))
-    main = materialize(main.select("band", F.col("m.comp").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("others")))
-    bins = max(1, -(-left.count() // BLOCK))
+    main = materialize(few(main.select("band", F.col("m.comp").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("others")), most))
+    bins = max(1, -(-most // BLOCK))
     rows = left.join(small(main), "band").withColumn("is_query", F.col("comp") != F.col("main"))
     near = rows.filter(F.col("size") <= BLOCK).select(F.expr(f"pmod(xxhash64(band), {bins}L)").alias("bin"), F.lit(0).alias("qb"), F.lit(0).alias("mb"), "band", "node", "comp", "is_query", F.lit(True).alias("is_member"))
     wide = rows.filter(F.col("size") > BLOCK).withColumn("nq", F.expr(f"cast(ceil(others / {BLOCK}) as int)")).withColumn("nm", F.expr(f"cast(ceil(size / {BLOCK}) as int)"))
@@ -348,7 +355,7 @@ def _link_rest(left: DataFrame, texts: DataFrame, idf: Idf, least: float) -> Dat
     asks = wide.filter("is_query").select(F.col("band").alias("bin"), of("nq").alias("qb"), F.explode(F.expr("sequence(0, nm - 1)")).alias("mb"), "band", "node", "comp", "is_query", F.lit(False).alias("is_member"))
     held = wide.select(F.col("band").alias("bin"), F.explode(F.expr("sequence(0, nq - 1)")).alias("qb"), of("nm").alias("mb"), "band", "node", "comp", F.lit(False).alias("is_query"), F.lit(True).alias("is_member"))
     work = near.union(asks).union(held).join(texts, "node")
-    return materialize(work.groupBy("bin", "qb", "mb").applyInArrow(_links(idf, least), "a binary, b binary"))
+    return materialize(few(work.groupBy("bin", "qb", "mb").applyInArrow(_links(idf, least), "a binary, b binary"), most, apart=True))
 
 
 def _links(idf: Idf, least: float):
@@ -395,12 +402,12 @@ def _links(idf: Idf, least: float):
     return run
 
 
-def _apart(members: DataFrame, labels: DataFrame, keep_comp: bool = False) -> DataFrame:
-    """Members of buckets whose members are in more than one class so far; all of those buckets' members."""
+def _apart(members: DataFrame, labels: DataFrame, most: int, keep_comp: bool = False) -> DataFrame:
+    """Members of buckets whose members are in more than one class so far; all of those buckets' members (of ``most`` rows)."""
     placed = members.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = materialize(placed)
+    placed = materialize(few(placed, most))
     split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    out = placed.join(small(materialize(split)), "band")
+    out = placed.join(small(materialize(few(split, most))), "band")
     return out if keep_comp else out.drop("comp")
 
 
@@ -412,12 +419,12 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", le
     texts of a class share its identifier, the smallest digest stays, and of equal
     rows one; a class without any identifier keeps one row too.
     """
-    named = _named(docs, text_col, id_col, least)
+    named, most = _named(docs, text_col, id_col, least)
     id_, node_, row_ = fresh(docs, "of_id", "of_node", "of_row")
     rows = docs.select(F.col(id_col).alias(id_), _node(text_col).alias(node_)).groupBy(id_, node_).agg(F.count(F.lit(1)).alias("n"))
     is_head = F.col(id_).eqNullSafe(F.col("class_id")) & (F.col(node_) == F.col("head"))
     placed = rows.join(named, F.col(node_) == F.col("node")).select(id_, node_, is_head.alias("is_head"), "n")
-    drop = materialize(placed.filter("not is_head or n > 1").drop("n"))
+    drop = materialize(few(placed.filter("not is_head or n > 1").drop("n"), most))
     same = docs[id_col].eqNullSafe(F.col(id_)) & (_node(text_col) == F.col(node_))
     kept = docs.join(small(drop.select(id_, node_)), same, "left_anti")
     repeated = drop.filter("is_head").select(id_, node_)

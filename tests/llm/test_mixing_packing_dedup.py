@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import defaultdict
 
@@ -93,6 +94,33 @@ def test_word_ids_equal_the_tokenizer():
             assert list(np.frombuffer(ids(text), "<u4")) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_remembered_words_take_little_memory():
+    ids = WordIds(default_tokenizer())
+    for lo in range(0, 400_000, 1000):
+        ids(" ".join(f"w{i}" for i in range(lo, lo + 1000)))
+    assert len(ids.cache) <= 201_000
+
+
+def test_tasks_give_freed_memory_back():
+    from pathlib import Path
+
+    from zetaflow.llm.common import tidy
+
+    def held() -> int:
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+
+    last = []
+
+    def run(batches):
+        for n in batches:
+            blocks = [bytes(range(100)) * 1000 for _ in range(n)]
+            last.append(bytes(100_000))  # what lies above keeps the allocator from shrinking its heap
+            yield len(blocks), held()
+
+    rows = list(tidy(run)(iter([1000, 10])))
+    assert [n for n, _ in rows] == [1000, 10] and held() < rows[0][1] - 60
+
+
 def test_pack_is_a_partition_of_all_ids_without_padding(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(["alpha", "be", "delta's", "99"], int(rng.integers(0, 1500)))), "a") for i in range(120)]

@@ -63,6 +63,21 @@ def test_rejecting_keeps_every_column(spark):
     assert quality.score_texts(rows, model).columns == ["doc_id", "text", "__text", "__quality", "score"]
 
 
+def test_texts_go_to_python_once(spark, monkeypatch):
+    sent = []
+    kind = type(spark.range(0))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, f=kind.mapInArrow, **b: sent.append(self.columns) or f(self, *a, **b))
+    rows = spark.createDataFrame([(1, "the house and the river", "b"), (2, None, "c"), (3, "", None), (4, "UP!!! | | | 99", "d")], "Text int, body string, `row` string")
+    model = quality.train(rows.withColumnRenamed("Text", "doc_id"), spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int"), "body")
+    sent.clear()
+    got = quality.score_texts(rows, model, "body").collect()
+    assert sent == [["row"]]
+    want = model.score(np.array([quality.features(r.body or "") for r in rows.collect()]))
+    assert [tuple(r)[:3] for r in got] == [tuple(r) for r in rows.collect()] and np.allclose([r.score for r in got], want)
+    cast = quality.score_texts(rows.select(F.col("body").cast("binary").alias("body")), model, "body").collect()
+    assert np.allclose([r.score for r in cast], want)
+
+
 # Extraction.
 
 

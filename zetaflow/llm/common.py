@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,23 @@ def discard(df: DataFrame) -> None:
         files.delete(at, True)
 
 
+def tidy(run):
+    """``run``, a function for ``mapInArrow``; when a task ends, the memory it has freed goes back to the system.
+
+    Python workers wait for later tasks, of any query, and would keep what their
+    largest batches took.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` doesn't have, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

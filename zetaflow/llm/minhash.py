@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, fresh, materialize, table, text_or_empty
+from .common import few, fresh, materialize, table, text_or_empty, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -133,7 +133,7 @@ class Idf:
 def document_frequencies(texts: DataFrame) -> Idf:
     """Sketch over every row of a one-column frame of texts; what reaches the driver has a fixed size."""
     schema = "chunk int, salt int, counts binary"
-    parts = texts.mapInArrow(_sketch_partition, schema)
+    parts = texts.mapInArrow(tidy(_sketch_partition), schema)
     parts = parts.groupBy("chunk", "salt").applyInArrow(_add_up, schema).groupBy("chunk").applyInArrow(_add_up, schema).collect()
     counts = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), dtype=np.int64)
     docs = total = 0
@@ -298,7 +298,7 @@ def _named(docs: DataFrame, text_col: str, id_col: str, least: float) -> tuple[D
     text, node = text_or_empty(text_col), _node(text_col)
     idf = document_frequencies(docs.select(text.alias("t")))
     rows = docs.select(node.alias("node"), text.alias("t"))
-    members = materialize(rows.mapInArrow(_bands(idf), "node binary, bands array<long>")).select("node", F.explode("bands").alias("band"))
+    members = materialize(rows.mapInArrow(tidy(_bands(idf)), "node binary, bands array<long>")).select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min(F.xxhash64("node")).alias("lo"), F.max(F.xxhash64("node")).alias("hi")).filter("lo <> hi").select("band")
     members = materialize(few(members.join(shared, "band").distinct(), 2 * BANDS * idf.docs))
     most = members.count()
@@ -308,7 +308,7 @@ def _named(docs: DataFrame, text_col: str, id_col: str, least: float) -> tuple[D
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
         full = left.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return materialize(few(full.mapInArrow(_verify(idf, least), "a binary, b binary"), most, apart=True))
+        return materialize(few(full.mapInArrow(tidy(_verify(idf, least)), "a binary, b binary"), most, apart=True))
 
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     tested = edges = None

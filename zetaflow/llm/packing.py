@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 WINDOW = 4096
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -36,8 +36,8 @@ END_ID = 2
 STEP_TOKENS = 1 << 20
 #: Rests held by a task before they are packed; bounds its memory to about POOL x WINDOW x 4 bytes.
 POOL = 2048
-#: Words whose ids a task remembers; forgotten all at once beyond that.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers from task to task, some 30 MB; forgotten all at once beyond that.
+CACHE_WORDS = 200_000
 
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -251,7 +251,7 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokeni
     path = tokenizer_path or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
-    return rows.mapInArrow(_pack_partition(path, window, tuple(tiers), step_tokens, end_id), schema)
+    return rows.mapInArrow(tidy(_pack_partition(path, window, tuple(tiers), step_tokens, end_id)), schema)
 
 
 def op10_packing(spark, sf_dir):

@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table
+from .common import table, tidy
 
 MAX_FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     sample = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null and crc32(cast(id as string)) % 5 != 0")
     sample = sample.orderBy(F.xxhash64(F.lit(seed), "id"), "id", "y").limit(max_fit_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(sample), "id")
-    got = rows.select("y", "t").mapInArrow(_feature_rows, "y int, x array<double>").toPandas()
+    got = rows.select("y", "t").mapInArrow(tidy(_feature_rows), "y int, x array<double>").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy(float)
@@ -171,16 +171,20 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
 
 def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """``row`` (all columns of ``docs``, whatever their names) and ``score``, by one pass over the texts."""
+    """``row`` (all columns of ``docs``, whatever their names) and ``score``, by one pass over the texts.
+
+    A text that is a string already goes to Python within its row only.
+    """
+    at = next((i for i, f in enumerate(docs.schema) if f.name == text_col and isinstance(f.dataType, StringType)), None)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(1) if at is None else batch.column(0).field(at)
             x = np.array([features(texts[i].as_py() or "") for i in range(batch.num_rows)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["row", "score"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *([F.col(text_col).cast("string").alias("text")] if at is None else []))
+    return rows.mapInArrow(tidy(run), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

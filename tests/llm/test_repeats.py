@@ -139,6 +139,30 @@ def test_what_stays(spark):
     assert got == {1: own[0] + " ", 2: "  " + own[1], None: ""}  # the first text has no blank behind the passage, the second two
 
 
+@pytest.mark.parametrize(("module", "dedup"), [(automaton, "dedup_words"), (suffix_array, "dedup_bytes")])
+def test_written_tables_lie_in_few_files(spark, monkeypatch, module, dedup):
+    """However many partitions joins deal to: each file costs processes that the executor's JVM starts."""
+    monkeypatch.setattr(repeats, "HOT_FRAGMENTS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    frame = docs(spark, corpus()).coalesce(cores)
+    result = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    want = result(getattr(module, dedup)(frame))
+    written, old = [], repeats.materialize
+    monkeypatch.setattr(repeats, "materialize", lambda df: written.append(len((out := old(df)).inputFiles())) or out)
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = getattr(module, dedup)(frame)
+        assert out.rdd.getNumPartitions() <= cores
+        assert result(out) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(written) > 10 and max(written) <= cores
+
+
 def test_marks_of_whole_copies_come_from_the_automaton(spark, monkeypatch):
     """Without the automaton's answers nothing is removed, however often a text occurs."""
     rows = [(i, " ".join(f"w{j}" for j in range(80))) for i in range(5)]

@@ -21,7 +21,8 @@ window belongs to exactly one.
 Counts are combined before every shuffle. Keys that hold very many rows (their
 number is bounded by ``HEAVY_KEYS``) are joined by broadcast, all others by
 shuffle, so no task gathers more than ``HEAVY_ROWS`` rows of a key or a share of
-the input, whichever is more.
+the input, whichever is more. Tables lie in few files (:func:`common.few`), as each
+costs processes that the executor's JVM starts.
 
 Rows with the same text (128-bit digest) are one node; their fragments count once
 per row.
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import FILE_ROWS, discard, few, materialize
 
 _BASE = 0x9E3779B97F4A7C15
 _PLACE_BITS = 24
@@ -50,6 +51,8 @@ _PART = 1 << 23
 HOT_FRAGMENTS = 1000
 #: Distinct fragments in a bucket given to ``resolve``.
 BUCKET_FRAGMENTS = 4000
+#: Fragments with their units, and pairs of a minimiser and its count, to a written file: about 10 MB.
+UNIT_ROWS, COUNT_ROWS = FILE_ROWS // 4, FILE_ROWS * 4
 #: A key with more rows than this, and than one in ``HEAVY_KEYS`` of all, is joined by broadcast.
 HEAVY_ROWS, HEAVY_KEYS = 10_000, 10_000
 
@@ -257,9 +260,9 @@ def _resolve_bucket(resolve: Resolve):
 
 def heavy(counts: DataFrame, key: list[str], total: int) -> DataFrame | None:
     """Keys of ``counts`` (key, of) that hold very many of ``total`` rows, at most ``HEAVY_KEYS``; None if there are none."""
-    few = counts.filter(F.col("of") > max(HEAVY_ROWS, total // HEAVY_KEYS)).select(*key)
-    got = few.collect()
-    return F.broadcast(counts.sparkSession.createDataFrame(got, few.schema)) if got else None
+    most = counts.filter(F.col("of") > max(HEAVY_ROWS, total // HEAVY_KEYS)).select(*key)
+    got = most.collect()
+    return F.broadcast(counts.sparkSession.createDataFrame(got, most.schema)) if got else None
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, key: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
@@ -278,8 +281,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], reader: Reader, ranges: Reader, resolve: Resolve) -> tuple[DataFrame, DataFrame | None]:
-    """(``node, spans``, heavy nodes): for each text with repeated windows, the ranges [lo, hi) of their first units.
+def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], reader: Reader, ranges: Reader, resolve: Resolve) -> tuple[DataFrame, DataFrame | None, int]:
+    """(``node, spans``, heavy nodes, number of fragments): for each text with repeated windows, the ranges [lo, hi) of
+    their first units.
 
     ``texts`` has ``node`` (binary) and ``text``. ``reader`` reads a text's units,
     ``ranges`` those of a range of units. ``grams`` grow up to ``width``.
@@ -288,42 +292,50 @@ def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], reade
     places = F.lit(1) + F.coalesce(F.size("more"), F.lit(0))
     rows = materialize(texts.mapInArrow(_fragment_rows(reader, width, grams[0]), "node binary, anchor long, c1 long, c2 long, span long, more array<int>"))
     copies = rows.filter(f"span < {1 << 20}").groupBy("node").agg(F.count(F.lit(1)).alias("of"))  # every text has a first fragment
-    crowded = heavy(copies, ["node"], rows.count())
+    every = rows.count()
+    crowded = heavy(copies, ["node"], every)
 
-    def fetch(cut: DataFrame) -> DataFrame:
-        wanted = materialize(cut.groupBy("node").agg(F.collect_list(F.struct("anchor", "c1", "c2", "span", "m", "hot")).alias("wanted")))
+    def fetch(cut: DataFrame, n: int) -> DataFrame:
+        wanted = materialize(few(cut.groupBy("node").agg(F.collect_list(F.struct("anchor", "c1", "c2", "span", "m", "hot")).alias("wanted")), n))
         release(spark)
         once = texts.groupBy("node").agg(F.first("text").alias("text"))
-        return once.join(wanted, "node").select("text", "wanted").mapInArrow(_cut(reader, width), "anchor long, c1 long, c2 long, span long, m long, hot boolean, units binary")
+        cut = once.join(wanted, "node").select("text", "wanted").mapInArrow(_cut(reader, width), "anchor long, c1 long, c2 long, span long, m long, hot boolean, units binary")
+        return few(cut, every)  # by the texts that it reads, of which fragments are the measure
 
     def solve(rows: DataFrame, owner: list[str], level: int) -> DataFrame:
         total = rows.count()
-        shared = materialize(rows.groupBy("anchor").agg(F.sum("w").alias("c"), F.count(F.lit(1)).alias("of")).filter("c > 1").select("anchor", "of"))
-        kept = materialize(spread_join(rows, shared.select("anchor"), ["anchor"], heavy(shared, ["anchor"], total)))
+        each = UNIT_ROWS if level else FILE_ROWS
+        shared = rows.groupBy("anchor").agg(F.sum("w").alias("c"), F.count(F.lit(1)).alias("of")).filter("c > 1").select("anchor", "of")
+        shared = materialize(few(shared, total, COUNT_ROWS))
+        held = shared.agg(F.sum("of")).first()[0] or 0
+        kept = materialize(few(spread_join(rows, shared.select("anchor"), ["anchor"], heavy(shared, ["anchor"], total)), held, each))
         discard(rows)
         rows = kept
         release(spark)
         at = F.struct(*owner, "span", *(["units"] if level else []))
-        distinct = materialize(rows.groupBy("anchor", "c1", "c2").agg(F.sum("w").alias("m"), F.count(F.lit(1)).alias("holders"), F.min(at).alias("at")).select("anchor", "c1", "c2", "m", "holders", "at.*"))
+        distinct = rows.groupBy("anchor", "c1", "c2").agg(F.sum("w").alias("m"), F.count(F.lit(1)).alias("holders"), F.min(at).alias("at")).select("anchor", "c1", "c2", "m", "holders", "at.*")
+        distinct = materialize(few(distinct, held, each))
+        n = distinct.count()
         release(spark)
         last = level == len(grams) - 1
-        per = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).select("anchor", "of", F.lit(False).alias("hot") if last else (F.col("of") > HOT_FRAGMENTS).alias("hot")))
+        per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).select("anchor", "of", F.lit(False).alias("hot") if last else (F.col("of") > HOT_FRAGMENTS).alias("hot"))
+        per = materialize(few(per, n, COUNT_ROWS))
         cut = spread_join(distinct.drop("holders"), per.select("anchor", "hot"), ["anchor"], heavy(per, ["anchor"], total))
-        cut = materialize(cut if level else fetch(cut))
+        cut = materialize(few(cut, n, UNIT_ROWS) if level else fetch(cut, n))
         release(spark)
         calm, hot = cut.filter("not hot"), cut.filter("hot")
         buckets = max(1, -(-calm.count() // BUCKET_FRAGMENTS))
         marks = calm.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(anchor), {buckets}) as int)")).groupBy("bucket").applyInArrow(_resolve_bucket(resolve), f"c1 long, c2 long, ranges {_RANGES}")
         if hot.head(1):
-            finer = hot.select("c1", "c2", "m", "units").repartition(max(1, hot.count() // 1000)).mapInArrow(_finer(ranges, width, grams[level + 1]), "o1 long, o2 long, anchor long, c1 long, c2 long, span long, more array<int>, w long, units binary")
+            finer = few(hot.select("c1", "c2", "m", "units"), hot.count(), UNIT_ROWS // 8, apart=True).mapInArrow(_finer(ranges, width, grams[level + 1]), "o1 long, o2 long, anchor long, c1 long, c2 long, span long, more array<int>, w long, units binary")
             below = solve(materialize(finer), ["o1", "o2"], level + 1)
             marks = marks.unionByName(below.select(F.col("o1").alias("c1"), F.col("o2").alias("c2"), F.col("spans").alias("ranges")))
-        marks = materialize(marks)
+        marks = materialize(few(marks, n, apart=True))
         busy = heavy(distinct.select("c1", "c2", F.col("holders").alias("of")), ["c1", "c2"], total)
         found = spread_join(rows.select(*owner, "c1", "c2", "span", "more"), marks, ["c1", "c2"], busy)
         first = F.explode(F.concat(F.array(F.expr("int(shiftright(span, 20))")), F.coalesce("more", F.array().cast("array<int>")))).alias("first")
         found = found.select(*owner, "ranges", first).select(*owner, F.transform("ranges", lambda r: F.struct((r.lo + F.col("first")).alias("lo"), (r.hi + F.col("first")).alias("hi"))).alias("ranges"))
-        spans = materialize(found.groupBy(*owner).agg(F.flatten(F.collect_list("ranges")).alias("spans")))
+        spans = materialize(few(found.groupBy(*owner).agg(F.flatten(F.collect_list("ranges")).alias("spans")), held))
         for done in (rows, distinct, cut, marks):
             discard(done)
         release(spark)
@@ -331,7 +343,7 @@ def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], reade
 
     rows_w = rows.withColumn("w", places.cast("long"))
     rows_w.written = rows.written
-    return solve(rows_w, ["node"], 0), crowded
+    return solve(rows_w, ["node"], 0), crowded, every
 
 
 def covered(spans: tuple[np.ndarray, np.ndarray], n: int, width: int) -> np.ndarray:
@@ -340,8 +352,9 @@ def covered(spans: tuple[np.ndarray, np.ndarray], n: int, width: int) -> np.ndar
     return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi - 1 + width, minlength=n + 1))[:n] > 0
 
 
-def finish(docs: DataFrame, spans: DataFrame, crowded: DataFrame | None, id_col: str, text, summarise, schema: str) -> DataFrame:
-    """Per row of ``docs`` what ``summarise(text, spans)`` gives; ``summarise(text, None)`` serves texts without spans."""
+def finish(docs: DataFrame, spans: DataFrame, crowded: DataFrame | None, every: int, id_col: str, text, summarise, schema: str) -> DataFrame:
+    """Per row of ``docs``, which holds ``every`` fragments, what ``summarise(text, spans)`` gives; ``summarise(text,
+    None)`` serves texts without spans."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -356,7 +369,7 @@ def finish(docs: DataFrame, spans: DataFrame, crowded: DataFrame | None, id_col:
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), node_of(text).alias("node"))
     joined = spread_join(rows, spans, ["node"], crowded, "left").select("id", "text", "spans")
     kind = dict(rows.dtypes)["id"]
-    return joined.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    return few(joined.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col), every)
 
 
 def node_of(text):

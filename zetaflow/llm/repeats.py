@@ -307,10 +307,9 @@ def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], reade
         each = UNIT_ROWS if level else FILE_ROWS
         shared = rows.groupBy("anchor").agg(F.sum("w").alias("c"), F.count(F.lit(1)).alias("of")).filter("c > 1").select("anchor", "of")
         shared = materialize(few(shared, total, COUNT_ROWS))
-        held = shared.agg(F.sum("of")).first()[0] or 0
-        kept = materialize(few(spread_join(rows, shared.select("anchor"), ["anchor"], heavy(shared, ["anchor"], total)), held, each))
+        kept = materialize(few(spread_join(rows, shared.select("anchor"), ["anchor"], heavy(shared, ["anchor"], total)), total, each))  # by the rows it reads
         discard(rows)
-        rows = kept
+        rows, held = kept, kept.count()
         release(spark)
         at = F.struct(*owner, "span", *(["units"] if level else []))
         distinct = rows.groupBy("anchor", "c1", "c2").agg(F.sum("w").alias("m"), F.count(F.lit(1)).alias("holders"), F.min(at).alias("at")).select("anchor", "c1", "c2", "m", "holders", "at.*")

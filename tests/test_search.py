@@ -44,6 +44,21 @@ def test_words_completions_and_spellings(spark):
     assert ask(spark, "nothing") == [] and ask(spark, "") == []
 
 
+def test_near_spellings_among_very_many_words_with_one_beginning(spark):
+    terms = spark.range(4200).selectExpr("concat('ma', lpad(id, 5, '0')) AS term", "1L AS freq").union(spark.createDataFrame([("mast", 2), ("mat", 1), ("masse", 9), ("mzst", 1)], "term string, freq long"))
+    words = spark.createDataFrame([(0, 0, "masst"), (0, 1, "rope")], "qid int, pos int, term string")
+    assert {r.term for r in search.expand(terms, words, True).collect()} == {"masst", "rope", "mast", "mat", "masse"}
+
+
+def test_hits_past_the_lexical_depth_keep_their_score(spark, monkeypatch):
+    reserved = spark.createDataFrame([(5,)], "doc long")
+    asks = [lambda **k: ask(spark, "sail", search.Mode(semantic=True), hot=7, **k), lambda **k: ask(spark, "sail fire", reserved=reserved, **k)]
+    want = [a() for a in asks]
+    assert want[0][0] == 2 and want[1][0] == 5
+    monkeypatch.setattr(search, "LEXICAL_DEPTH", 1)
+    assert [[a(k=1), a(k=2)] for a in asks] == [[w[:1], w[:2]] for w in want]
+
+
 def test_scopes_bind_both_lists(spark):
     allowed = spark.createDataFrame([(2,), (5,)], "doc long")
     assert ask(spark, "sail", search.Mode(semantic=True), hot=0, allowed=allowed)[0] == 2

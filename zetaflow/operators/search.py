@@ -12,7 +12,7 @@ from . import bm25, fusion, knn
 
 # Depths of the lists, expansions of a word, sizes of the reranked pools.
 LEXICAL_DEPTH, SEMANTIC_DEPTH = 512, 40
-COMPLETIONS, CORRECTIONS, SCAN = 5, 3, 4000
+COMPLETIONS, CORRECTIONS = 5, 3
 RERANKED, DIVERSIFIED = 30, 100
 
 
@@ -37,10 +37,10 @@ def expand(terms: DataFrame, words: DataFrame, fuzzy: bool) -> DataFrame:
     out = words.select("qid", "term").unionByName(last.join(begun, "prefix").select("qid", "term"))
     if fuzzy:
         unknown = words.select("term").distinct().join(terms.select("term"), "term", "left_anti").select(F.col("term").alias("word"))
-        start = F.left("term", F.lit(2))
-        scanned = terms.withColumn("start", start).join(unknown.select(F.left("word", F.lit(2)).alias("start")).distinct(), "start", "left_semi")
-        scanned = scanned.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("term"))).filter(F.col("n") <= SCAN)
-        near = unknown.withColumn("start", F.left("word", F.lit(2))).join(scanned, "start").withColumn("d", F.levenshtein("term", "word", 2)).filter("d >= 0")
+        size = F.length("word")  # a spelling within two edits is at most two characters shorter or longer
+        unknown = unknown.select("word", F.left("word", F.lit(2)).alias("start"), F.explode(F.sequence(size - 2, size + 2)).alias("size"))
+        sized = terms.withColumn("start", F.left("term", F.lit(2))).withColumn("size", F.length("term"))
+        near = sized.join(unknown, ["start", "size"]).withColumn("d", F.levenshtein("term", "word", 2)).filter("d >= 0")
         best = Window.partitionBy("word").orderBy("d", F.desc("freq"), "term")
         near = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= CORRECTIONS).select(F.col("word").alias("term"), F.col("term").alias("spelling"))
         out = out.unionByName(words.select("qid", "term").join(near, "term").select("qid", F.col("spelling").alias("term")))
@@ -87,11 +87,21 @@ def search(
     """
     six = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6
     lexical = bm25.scores(index, expand(terms, words, mode.fuzzy), allowed).withColumn("score", six("score"))
-    lexical = bm25.best(lexical, max(offset + k, LEXICAL_DEPTH)).select("qid", "doc", "score")
+    whole, lifted = lexical, []
+    semantic = None
     if mode.semantic and vectors is not None and query_vectors is not None:
         ids = None if allowed is None else allowed.select(F.col("doc").alias("id"))
-        semantic = knn.nearest(vectors, query_vectors, SEMANTIC_DEPTH, allowed=ids).select("qid", "id", "dist")
-    else:
+        semantic = keep(knn.nearest(vectors, query_vectors, SEMANTIC_DEPTH, allowed=ids).select("qid", "id", "dist"))
+        lifted.append((semantic.select("qid", F.col("id").alias("doc")), ["qid", "doc"]))
+    if reserved is not None:
+        lifted.append((reserved.select("doc"), ["doc"]))
+    if lifted:
+        whole = keep(whole)  # read for the first hits, and for those that another list has
+    lexical = bm25.best(whole, max(offset + k, LEXICAL_DEPTH)).select("qid", "doc", "score")
+    for other, key in lifted:
+        lexical = lexical.unionByName(whole.join(other, key, "left_semi").select("qid", "doc", "score"))
+    lexical = lexical.distinct() if lifted else lexical
+    if semantic is None:
         semantic = lexical.select("qid", F.col("doc").alias("id"), F.lit(0.0).alias("dist")).limit(0)
     hits = fusion.cutoff(fusion.fuse(lexical, semantic, reserved=reserved)).withColumn("fused", six("fused"))
     hits = fusion.ranked(hits).select("qid", "doc", "fused", "rank")

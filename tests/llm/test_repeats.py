@@ -108,6 +108,49 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     assert {k[1]: v for k, v in at(whole).items() if k[0] == 2} == {k[1]: v for k, v in at(alone).items()}
 
 
+def bucket_of_one_minimiser(n):
+    """Fragments around one gram: some equal, some alike on one side, some periodic."""
+    rng = np.random.default_rng(n)
+    letters = lambda k: bytes(rng.integers(97, 100, k).astype(np.uint8))
+    sides = [letters(130) for _ in range(4)] + [b"ab" * 65]
+    units, places = [], []
+    for i in range(n):
+        left, right = (sides[int(rng.integers(5))] if rng.random() < 0.5 else letters(130) for _ in range(2))
+        place = int(rng.integers(60, 130))
+        units.append((left + b"minimiser" + right)[130 - place :][: 200 + int(rng.integers(1, 60))])
+        places.append(place)
+    units = [u if len(u) >= 200 else u + letters(200 - len(u)) for u in units]
+    windows = np.array([len(u) - 199 for u in units])
+    return units, rng.integers(1, 3, n) // 2 + 1, np.array(places), windows
+
+
+def test_a_bucket_sorted_in_parts_is_that_sorted_at_once(monkeypatch):
+    units, weights, places, windows = bucket_of_one_minimiser(300)
+    seen = Counter()
+    for u, m, p, n in zip(units, weights.tolist(), places.tolist(), windows.tolist()):
+        for j in range(n):
+            seen[p - j, u[j : j + 200]] += m
+    want = [[seen[p - j, u[j : j + 200]] > 1 for j in range(n)] for u, p, n in zip(units, places.tolist(), windows.tolist())]
+    sizes, old = [], suffix_array.Block.classes
+    monkeypatch.setattr(suffix_array, "SORTED", 500)
+    monkeypatch.setattr(suffix_array.Block, "classes", lambda self, at: sizes.append(len(at)) or old(self, at))
+    got = [m.tolist() for m in suffix_array.sort_bucket(units, weights, places, windows)]
+    assert got == want and 0 < sum(map(sum, want)) < sum(windows)
+    assert len(sizes) > 3 and sum(sizes) == sum(windows) and max(sizes) < 2 * 500
+
+
+def test_bytes_cut_finer_only_beyond_the_room_of_a_bucket(spark, monkeypatch):
+    """The same bytes go whichever way; cutting finer costs several tables of units."""
+    monkeypatch.setattr(repeats, "HOT_FRAGMENTS", 10)
+    cut, old = [], repeats._finer
+    monkeypatch.setattr(repeats, "_finer", lambda *a: cut.append(a[2]) or old(*a))
+    found = lambda: sorted(str(tuple(r)) for r in suffix_array.dedup_bytes(docs(spark, corpus())).collect())
+    got = found()
+    assert not cut
+    monkeypatch.setattr(suffix_array, "ROOM", 1)
+    assert found() == got and cut
+
+
 def test_cover_is_a_difference_cover():
     p, cover = suffix_array.PERIOD, suffix_array.COVER
     assert {(a - b) % p for a in cover for b in cover} == set(range(p)) and len(cover) * (len(cover) - 1) == p - 1

@@ -281,12 +281,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], reader: Reader, ranges: Reader, resolve: Resolve) -> tuple[DataFrame, DataFrame | None, int]:
+def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], reader: Reader, ranges: Reader, resolve: Resolve, room: int = 1) -> tuple[DataFrame, DataFrame | None, int]:
     """(``node, spans``, heavy nodes, number of fragments): for each text with repeated windows, the ranges [lo, hi) of
     their first units.
 
     ``texts`` has ``node`` (binary) and ``text``. ``reader`` reads a text's units,
-    ``ranges`` those of a range of units. ``grams`` grow up to ``width``.
+    ``ranges`` those of a range of units. ``grams`` grow up to ``width``. ``resolve``
+    takes ``room`` times ``HOT_FRAGMENTS`` fragments of one minimiser.
     """
     spark = texts.sparkSession
     places = F.lit(1) + F.coalesce(F.size("more"), F.lit(0))
@@ -317,7 +318,7 @@ def repeated_windows(texts: DataFrame, width: int, grams: tuple[int, ...], reade
         n = distinct.count()
         release(spark)
         last = level == len(grams) - 1
-        per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).select("anchor", "of", F.lit(False).alias("hot") if last else (F.col("of") > HOT_FRAGMENTS).alias("hot"))
+        per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).select("anchor", "of", F.lit(False).alias("hot") if last else (F.col("of") > HOT_FRAGMENTS * room).alias("hot"))
         per = materialize(few(per, n, COUNT_ROWS))
         cut = spread_join(distinct.drop("holders"), per.select("anchor", "hot"), ["anchor"], heavy(per, ["anchor"], total))
         cut = materialize(few(cut, n, UNIT_ROWS) if level else fetch(cut, n))

@@ -2,7 +2,8 @@
 
 Candidate suffixes are found as in :mod:`repeats` and dealt into buckets by
 minimiser, so suffixes that could share 200 bytes meet. One bucket is sorted at a
-time, which bounds the memory:
+time, a large one in parts by the place of the minimiser in the window, which bounds
+the memory:
 
 1. The bucket's fragments are laid out in one array. Positions whose residue
    modulo ``PERIOD`` is in ``COVER`` are the cover sample; any two residues have an
@@ -35,6 +36,8 @@ GRAMS = (32, 128, 184, 200)
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes by which suffixes are sorted before ties go to the cover sample; at least ``PERIOD``.
 PREFIX = 64
+#: A bucket may hold so many times the fragments of one minimiser that others can: it is sorted in parts of about so many windows.
+ROOM, SORTED = 10, 400_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 _NTH = np.full(PERIOD, -1)
@@ -162,9 +165,20 @@ def sort_bucket(units: list[bytes], weights: np.ndarray, places: np.ndarray, win
     block = Block(np.frombuffer(laid, np.uint8), WIDTH)
     owner = np.repeat(np.arange(len(units)), windows)
     at = (start + ahead)[owner] + np.arange(windows.sum()) - np.r_[0, np.cumsum(windows)[:-1]][owner]
-    classes = block.classes(at)
-    total = np.bincount(classes, weights=weights[owner])
-    return np.split(total[classes] > 1, np.cumsum(windows)[:-1])
+    into = places[owner] - (at - (start + ahead)[owner])  # equal windows have their minimiser at one place
+    repeated = np.zeros(len(at), bool)
+    for part in _parts(into):
+        classes = block.classes(at[part])
+        repeated[part] = np.bincount(classes, weights=weights[owner[part]])[classes] > 1
+    return np.split(repeated, np.cumsum(windows)[:-1])
+
+
+def _parts(into: np.ndarray) -> list:
+    """Windows in parts of about ``SORTED``, those with their minimiser at one place together."""
+    if len(into) <= SORTED:
+        return [slice(None)]
+    number = (np.cumsum(np.bincount(into)) - 1) // SORTED
+    return [x for i in range(int(number[-1]) + 1) if len(x := np.flatnonzero(number[into] == i))]
 
 
 def _hashed(raw: bytes) -> tuple[np.ndarray, bytes]:
@@ -199,7 +213,7 @@ def _summary(text: str, spans: tuple | None) -> tuple:
 
 def _finish(docs: DataFrame, id_col: str, text, summarise, schema: str) -> DataFrame:
     rows = docs.select(node_of(text).alias("node"), text.alias("text"))
-    return finish(docs, *repeated_windows(rows, WIDTH, GRAMS, TEXTS, RANGES, sort_bucket), id_col, text, summarise, schema)
+    return finish(docs, *repeated_windows(rows, WIDTH, GRAMS, TEXTS, RANGES, sort_bucket, ROOM), id_col, text, summarise, schema)
 
 
 def dedup_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
